@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import rules, warc
+from .embed import op8_embedding_dedup
+from .minhash import op4_minhash_dedup
 from .packing import op1_best_fit_packing
 from .pieces import op3_sentencepiece
-from .rules import SQL as _RULES_SQL
 from .rules import op5_quality_rules
+from .warc import op9_warc
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_sentencepiece, op5_quality_rules)}
-SQL = {"op5_quality_rules": _RULES_SQL}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_sentencepiece, op4_minhash_dedup, op5_quality_rules, op8_embedding_dedup, op9_warc)}
+SQL = {"op5_quality_rules": rules.SQL, "op9_warc": warc.SQL}
