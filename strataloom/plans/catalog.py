@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+import importlib
+
+SLICES = ("discovery", "store", "matching", "telemetry", "ledger", "metrics", "replicate", "similar", "graphs", "benchmarks", "gates", "scalars", "streams")
+
+
+def _merged(what: str) -> dict:
+    out: dict = {}
+    for name in SLICES:
+        for k, v in getattr(importlib.import_module(f"strataloom.plans.{name}"), what).items():
+            if k in out:
+                raise ValueError(f"two queries are named {k}")
+            out[k] = v
+    return out
+
 
 def flagship(spark, sf_dir: str):
-    raise NotImplementedError
+    return queries()["discovery_pipeline"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return _merged("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _merged("SQL")
