@@ -6,4 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, header: bool = False) -> DataFrame:
-    return spark.read.schema(schema).csv(path, header=header, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="", nullValue="\u0000")
+    """Rows of ``schema``; an empty field is an empty string, as nothing in the format marks a null."""
+    rows = spark.read.schema(schema).csv(path, header=header, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return rows.na.fill("")

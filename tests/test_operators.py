@@ -155,7 +155,7 @@ def test_intent_gate(spark):
     texts = ["parse", "", "parse the integer", "parse some integer from text", "convert various things into other stuff", "isEmail RFC 5321 subset", "the quick brown fox", "encode bytes into base64 text: string", "a " * 21]
     rows = G.intent_gate(spark.createDataFrame([(t,) for t in texts], "x string"), "x").collect()
     assert [r.reasons for r in rows] == [["single_word"], ["too_short"], ["too_short"], ["meta_word_present"], ["stop_word_present", "meta_word_present"], [], ["no_action_verb"], [], ["too_long"]]
-    assert rows[5].score == 0.5 and rows[7].score == pytest.approx(0.75)
+    assert rows[5].score == 0.55 and rows[7].score == pytest.approx(0.75)
 
 
 def test_routes(spark):
