@@ -77,7 +77,9 @@ def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
     df = df.withColumn("_p", F.expr("array_sort(transform(filter(_g, (x, j) -> (j > 0 AND x.h = _g[greatest(j - 1, 0)].h) OR (j + 1 < size(_g) AND x.h = _g[least(j + 1, size(_g) - 1)].h)), x -> x.i))"))
     repeat = "aggregate(_p, struct(0L AS n, -3 AS last), (a, p) -> struct(a.n + least(3, p - a.last) AS n, p AS last), a -> a.n)"
-    return df.select(id_col, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.expr(repeat).alias("n_repeat_words"), "n_stop_words", "n_upper_words")
+    # The partition id keeps filters on the measures above this projection: pushed below, they would carry copies of
+    # the sorted windows into the lambda that reads them, and a text would cost the square of its length.
+    return df.select(id_col, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", (F.expr(repeat) + 0 * F.spark_partition_id()).alias("n_repeat_words"), "n_stop_words", "n_upper_words")
 
 
 def broken(rules: tuple[Rule, ...]) -> Column:
