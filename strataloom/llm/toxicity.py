@@ -38,7 +38,8 @@ LOOKS = dict(zip("аеорсухіјѕѵԁһкмтвнαεορτυνικβκ", "
 #: Digits and signs by the letters that they stand for.
 STANDS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 _STAND = str.maketrans(STANDS)
-_MIXED = re.compile(r"(?<=[a-z])[013457@$]{1,2}(?=[a-z])|(?<![a-z0-9@$])[13457@$](?=[a-z]{2})")
+_INNER = re.compile(r"(?<=[a-z])[013457@$]{1,2}(?=[a-z])")
+_FIRST = re.compile(r"(?<![a-z0-9@$])[13457@$](?=[a-z]{2})")
 
 
 def _table() -> dict[int, str | None]:
@@ -58,12 +59,17 @@ _FOLD = _table()
 _GAP = str.maketrans({chr(c): " " for c in range(128) if not chr(c).isalnum()})
 
 
+def _letters(found: re.Match) -> str:
+    return found.group().translate(_STAND)
+
+
 def fold(text: str) -> str:
     """Folded words with single spaces between and around."""
     t = text.lower()
     if not t.isascii():
         t = t.translate(_FOLD)
-    t = _MIXED.sub(lambda m: m.group().translate(_STAND), t)
+    for signs in (_INNER, _FIRST):
+        t = signs.sub(_letters, t)
     return f" {' '.join(t.translate(_GAP).split())} "
 
 
