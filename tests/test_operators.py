@@ -136,6 +136,24 @@ def test_tasks_within_inclusive(spark):
     assert sorted(map(tuple, got)) == [(1, 10), (1, 20), (2, 20)]
 
 
+def test_reach_has_no_bound(spark):
+    pairs = [(i, i + 1) for i in range(1, 20)] + [(30, 31), (31, 30), (31, 32), (20, 5)]
+    e = spark.createDataFrame(pairs, "a long, b long")
+    want = {}
+    for s in {a for a, _ in pairs}:
+        front, hops = {s}, 0
+        while front:
+            hops += 1
+            front = {b for a, b in pairs if a in front} - {b for a, b in want if a == s}
+            want |= {(s, b): hops for b in front}
+    assert {(r.a, r.b): r.hops for r in GR.closure(e).collect()} == want
+    chain = spark.createDataFrame(pairs[:19], "a long, b long")
+    ends = spark.createDataFrame([(1,), (20,), (40,)], "node long")
+    assert {r.node for r in GR.maximal(ends, GR.closure(chain), "node").collect()} == {1, 40}
+    some = spark.createDataFrame([(1,), (7,), (19,), (30,), (32,)], "node long")
+    assert {r.node for r in GR.maximal(some, GR.closure(e), "node").collect()} == {1, 30}
+
+
 def test_graph_small(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (4, 3)], "a long, b long")
     assert {tuple(r) for r in GR.closure(e).collect()} == {(1, 2, 1), (2, 3, 1), (1, 3, 1), (4, 3, 1)}
