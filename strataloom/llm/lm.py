@@ -7,8 +7,8 @@ the whole training corpus give the id within its class. One attention layer with
 first scores all its ids and each later one its last STRIDE, so every id is scored once, with context.
 
 Word counts, subword counts and classes come from all training texts by grouped sums. Parameters are fitted in ROUNDS
-rounds: each task trains a copy on its windows, and grouped means over the tasks are the next start; windows
-come from a share of the training documents (1 / TRAIN_SHARE, at least TRAIN_DOCS of them), so they grow with the corpus.
+rounds: each task trains a copy on the windows of all its training documents, and grouped means over the tasks are the
+next start. Windows are cut anew in each round, so none are stored.
 The TOP most frequent words are broadcast; the others meet their counts in a join.
 """
 
@@ -35,10 +35,9 @@ TOP = 200_000
 GROUPS, MEMBERS = 32, 32
 CLASSES = GROUPS * MEMBERS
 OWN = CLASSES - MEMBERS
-WINDOW, STRIDE = 24, 19
+WINDOW, STRIDE = 32, 24
 DIM, HIDDEN = 16, 32
 ROUNDS, EPOCHS = 2, 1
-TRAIN_SHARE, TRAIN_DOCS = 64, 2_000
 HELD = 1
 _coders: dict[str, tv.Coded] = {}
 
@@ -352,12 +351,12 @@ def train_part(batches: Iterator[pa.RecordBatch], start: np.ndarray, epochs: int
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat.astype(np.float64) * seen), pa.array(np.full(len(flat), float(seen)))], names=["i", "s", "n"])
 
 
-def fitted(sample: DataFrame, prior: np.ndarray) -> np.ndarray:
+def fitted(train: DataFrame, prior: np.ndarray) -> np.ndarray:
     """Parameters after ROUNDS rounds of training in parallel and averaging; the driver holds one parameter vector."""
     flat = fresh(prior)
     for _ in range(ROUNDS):
-        start = sample.sparkSession.sparkContext.broadcast(flat)
-        mean = sample.mapInArrow(lambda it: train_part(it, start.value, EPOCHS), "i int, s double, n double").groupBy("i").agg((F.sum("s") / F.sum("n")).alias("v"))  # noqa: B023
+        start = train.sparkSession.sparkContext.broadcast(flat)
+        mean = train.mapInArrow(lambda it: train_part(it, start.value, EPOCHS), "i int, s double, n double").groupBy("i").agg((F.sum("s") / F.sum("n")).alias("v"))  # noqa: B023
         got = mean.orderBy("i").toPandas()  # one row a parameter
         if not len(got):
             break
@@ -435,11 +434,8 @@ def lm_scores(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col
         subword[r["id"]] = r["c"]
     cls, within, prior = classes_of(subword)
     given = spark.sparkContext.broadcast(cls)
-    n_docs = int(subword[END_ID])
-    share = max(1 / TRAIN_SHARE, min(1.0, TRAIN_DOCS / max(1, n_docs)))
-    picked = train.where(F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    sample = cut(picked.select("text").mapInArrow(lambda it: cut_windows(it, ranks_path, given), "w binary"))
-    flat = fitted(sample, prior)
+    all_windows = train.select("text").mapInArrow(lambda it: cut_windows(it, ranks_path, given), "w binary")
+    flat = fitted(all_windows, prior)
     model = spark.sparkContext.broadcast((top, int(total), int(distinct), cls, within, flat))
     out = cut(rows.mapInArrow(lambda it: scored(it, ranks_path, model), SCORED))
     asked = out.select("rid", F.explode("rare").alias("r")).select("rid", F.col("r.w").alias("word"), F.col("r.k").alias("k"))

@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from strataloom.llm import embed, graph, licenses, lines, lm, minhash, packing, pieces, registry, rules, toxicity, warc
 
@@ -376,3 +377,12 @@ def test_components(spark):
     found = {r["id"]: r["component"] for r in rows(graph.components(spark.createDataFrame(edges, "u long, v long")))}
     ids = {x for a, b in edges if a != b for x in (a, b)}
     assert found == {i: r for i, r in reach(ids, [e for e in edges if e[0] != e[1]]).items()}
+
+
+def test_language_model_reads_all_training_documents(spark, monkeypatch):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("one short text").alias("text"))
+    seen = []
+    monkeypatch.setattr(lm, "fitted", lambda train, prior: seen.append(train.count()) or lm.fresh(prior))
+    found = lm.lm_scores(docs, BPE)
+    assert seen == [found.where("not held_out").count()]  # one window a text
+    assert lm.WINDOW - lm.STRIDE >= 8  # earlier ids before the first scored one of a later window
