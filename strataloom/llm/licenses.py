@@ -1,12 +1,14 @@
-"""License scans: lines, blocks and whole texts against license templates by the Dice coefficient of word bigrams.
+"""License scans: lines, blocks, whole texts and spans of words against license templates by the Dice coefficient of word bigrams.
 
 Words are runs of letters and digits, lower-cased. A unit of n bigrams can reach a coefficient d only with templates
 of n * d / (2 - d) to n * (2 - d) / d bigrams; units that no template's size allows are never looked at, and for the others
 an index from bigram to templates counts what is shared, so only templates with a common bigram are weighed.
+Spans run over line ends and within lines, from one shared bigram to another; where too few lie close together, none is weighed.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
@@ -99,8 +101,38 @@ class Scanner:
                 both[i] += min(k, m)
         return [(i, 2 * c / (n + self.size[i])) for i, c in sorted(both.items()) if 2 * c >= self.least * (n + self.size[i])]
 
+    def spans(self, words: list[str]) -> list[tuple[int, int, int, int, float]]:
+        """(template, first word, last word, shared bigrams, coefficient): for each first shared bigram the span that fits best, where one reaches the threshold."""
+        d, hits, out = self.least, {}, []
+        for at, b in enumerate(zip(words, words[1:], strict=False)):
+            for i, _ in self.index.get(b, ()):
+                hits.setdefault(i, []).append(at)
+        for i, h in hits.items():
+            n, gram = self.size[i], self.grams[i]
+            need, most = max(1, math.ceil(n * d / (2 - d) - 1e-9)), n * (2 - d) / d + 1e-9
+            for j in range(len(h) - need + 1):
+                if h[j + need - 1] - h[j] + 1 > most:
+                    continue
+                seen: Counter = Counter()
+                c, best = 0, None
+                for at in h[j:]:
+                    size = at - h[j] + 1
+                    if size > most:
+                        break
+                    b = (words[at], words[at + 1])
+                    seen[b] += 1
+                    if seen[b] <= gram[b]:
+                        c += 1
+                        if 2 * c >= d * (size + n) and (best is None or 2 * c / (size + n) > best[4]):
+                            best = (i, h[j], at + 1, c, 2 * c / (size + n))
+                if best:
+                    out.append(best)
+        return out
+
     def scan(self, text: str) -> list[tuple[str, int, int, float]]:
-        """(license, first line, last line, coefficient) of the lines, the blocks between blank lines and the whole text that match, the best template each."""
+        """(license, first line, last line, coefficient) of the lines, the blocks between blank lines and the whole text that match, the best template each.
+
+        Then of the spans of words, those with the most shared bigrams first, that overlap no better match and none of the same license."""
         lines = text.split("\n")
         parts = [words_of(x) for x in lines]
         units = [(i, i) for i in range(len(parts))]
@@ -123,6 +155,13 @@ class Scanner:
                 if got:
                     best = max(got, key=lambda x: (x[1], -x[0]))
                     out.append((self.name[best[0]], a, b, best[1]))
+        words = [w for p in parts for w in p]
+        taken = [(total[a], total[b + 1] - 1, name, dice) for name, a, b, dice in out]
+        for i, a, b, _, dice in sorted(self.spans(words), key=lambda x: (-x[3], -x[4], x[0], x[1])):
+            name = self.name[i]
+            if all(b < u or v < a or (name != other and dice > least) for u, v, other, least in taken):
+                taken.append((a, b, name, 2.0))  # no other span over this one
+                out.append((name, bisect_right(total, a) - 1, bisect_right(total, b) - 1, dice))
         return sorted(out, key=lambda x: (x[1], x[2]))
 
 

@@ -246,6 +246,22 @@ def test_licenses(spark, odd_docs, no_docs):
     assert licenses.scan_licenses(odd_docs).count() == 11 and licenses.scan_licenses(no_docs).count() == 0
 
 
+def test_licenses_over_blank_lines_and_within_lines():
+    scan = licenses.Scanner().scan
+    body = [t for n, t in licenses.TEMPLATES if n == "MIT"][3]
+    paragraphs = body.replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE")
+    assert paragraphs.count("\n\n") == 2
+    filler = "\n".join(f"alpha{i} beta{i} gamma{i}" for i in range(200))
+    found = scan(f"{filler}\n\n{paragraphs}\n\n{filler}")
+    assert [m[:3] for m in found] == [("MIT", 201, 205)]
+    gpl = [t for n, t in licenses.TEMPLATES if n == "GPL-3.0"][1].split()
+    wrapped = "\n".join("# " + " ".join(gpl[i : i + 9]) for i in range(0, len(gpl), 9))
+    assert {m[0] for m in scan(f"{wrapped}\nimport os\n{filler}")} == {"GPL-3.0"}
+    line = "see the notes of the authors for more; released under the MIT License. All the rest is told in another file of this folder"
+    assert [m[:3] for m in scan(f"one\n{line}\ntwo")] == [("MIT", 1, 1)]
+    assert scan("the notes of the authors are under the table\n" + filler) == []
+
+
 def test_license_bounds_prune_nothing():
     """The pruned scan against all templates weighed without bounds or index."""
     rng = random.Random(4)
