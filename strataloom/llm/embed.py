@@ -132,8 +132,8 @@ def linked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
 def near_vectors(table: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
-    Null and zero vectors, and those with null or non-finite components, link with nothing, and so do vectors of
-    another length than the most frequent one. Rows with equal ids are vectors of their own but share a component;
+    Null and zero vectors, and those with null or non-finite components, link with nothing. Only
+    vectors of one length are compared; each length has cells of its own. Rows with equal ids are vectors of their own but share a component;
     null ids link with nothing. An empty table gives an empty one; other columns aren't read.
     """
     spark = table.sparkSession
@@ -141,24 +141,25 @@ def near_vectors(table: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("e"))
     fine = "vec_id is not null and e is not null and size(e) > 0 and forall(e, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(e, x -> x != 0)"
     rows = cut(rows.withColumn("e", F.expr(f"CASE WHEN {fine} THEN transform(e, x -> x + 0D) END")))
-    lengths = rows.where("e is not null").groupBy(F.size("e").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    dim = lengths["dim"] if lengths else 0
-    good = rows.where(F.size("e") == dim) if dim else rows.where("false")
+    good = rows.where("e is not null")
     classes = cut(good.groupBy("e").agg(F.min("vec_id").alias("cid"), F.count("*").alias("copies")).select("cid", "copies", "e"))
-    total = classes.count()
-    if total:
+    links, known = spark.createDataFrame([], LINKS), None
+    for r in classes.groupBy(F.size("e").alias("dim")).count().orderBy("dim").collect():  # one row a length
+        dim, total = r["dim"], r["count"]
+        some = classes.where(F.size("e") == dim)
         k = max(1, min(MOST_CELLS, -(-total // CELL)))
         share = min(1.0, 1.2 * SAMPLE / total)
-        seen = [r["e"] for r in classes.select("e").sample(fraction=share, seed=7).limit(SAMPLE).collect()] if share < 1 else [r["e"] for r in classes.select("e").limit(SAMPLE).collect()]
-        centroids = spherical_kmeans(unit_rows(seen, dim), min(k, len(seen)))
-        links = _links(classes, centroids, threshold, dim)
-    else:
-        links = spark.createDataFrame([], LINKS)
+        seen = [r["e"] for r in some.select("e").sample(fraction=share, seed=7).limit(SAMPLE).collect()] if share < 1 else [r["e"] for r in some.select("e").limit(SAMPLE).collect()]
+        own = _links(some, spherical_kmeans(unit_rows(seen, dim), min(k, len(seen))), threshold, dim)
+        sums = own.groupBy(F.col("u").alias("cid")).agg(F.sum("n").alias("n"))
+        counted = some.join(sums, "cid", "left")
+        known = counted if known is None else known.unionByName(counted)
+        links = links.unionByName(own)
+    known = known if known is not None else classes.withColumn("n", F.lit(0).cast("long"))
     found = components(links.where("v is not null").select("u", "v")).select(F.col("id").alias("cid"), "component")
-    sums = links.groupBy(F.col("u").alias("cid")).agg(F.sum("n").alias("n"))
-    known = classes.join(sums, "cid", "left").join(found, "cid", "left").select("e", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component_id"))
+    known = known.join(found, "cid", "left").select("e", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component_id"))
     out = good.join(known, "e").select("vec_id", "n_links", "component_id")
-    rest = rows.where(f"e is null or size(e) != {dim}").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    rest = rows.where("e is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 

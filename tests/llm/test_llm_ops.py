@@ -296,6 +296,12 @@ def test_vectors_brute(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(n + 2, n + 8))
 
 
+def test_vectors_of_each_length(spark):
+    data = [(1, [1.0, 0.0, 0.0]), (2, [2.0, 0.0, 0.0]), (3, [0.0, 1.0, 0.0]), (4, [1.0, 0.0]), (5, [1.0, 0.01]), (6, [1.0, 0.0]), (7, [0.0, 1.0]), (8, [3.0]), (9, None)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rows(embed.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")))}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (2, 4), 5: (2, 4), 6: (2, 4), 7: (0, 7), 8: (0, 8), 9: (0, 9)}
+
+
 def test_vectors_real(spark, sf):
     t = table(spark, sf, "embeddings")
     got = embed.near_vectors(t).toPandas().set_index("vec_id")
