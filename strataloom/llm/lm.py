@@ -39,28 +39,20 @@ WINDOW, STRIDE = 32, 24
 DIM, HIDDEN = 16, 32
 ROUNDS, EPOCHS = 2, 1
 HELD = 1
-_coders: dict[str, tv.Coded] = {}
+_vocabularies: dict = {}
 
 
 def coder_of(ranks_path: str) -> tv.Coded:
-    """Subword ids of " word"."""
-    if ranks_path not in _coders:
-        enc = bpe(ranks_path)
-        _coders[ranks_path] = tv.Coded(lambda ws: [enc.encode_ordinary(" " + w) for w in ws])
-    return _coders[ranks_path]
+    """Subword ids of " word", for one task; only the vocabulary outlives it."""
+    if ranks_path not in _vocabularies:
+        _vocabularies[ranks_path] = bpe(ranks_path)
+    enc = _vocabularies[ranks_path]
+    return tv.Coded(lambda ws: [enc.encode_ordinary(" " + w) for w in ws])
 
 
 def batch_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
     """(hashes of the distinct words, the words, each word's number among them, first word of each text)."""
-    keys, starts, first = tv.words(data, off)
-    if not len(keys):
-        return keys, [], np.zeros(0, np.int64), first
-    ws = tv._WS[data]
-    last = np.ones(len(data), bool)
-    last[:-1] = ws[1:]
-    inner = off[(off > 0) & (off < len(data))]
-    last[inner - 1] = True
-    ends = np.flatnonzero(last & ~ws) + 1
+    keys, starts, ends, first = tv.words(data, off)
     uniq, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
     raw = data.tobytes()
     return uniq, [raw[a:b].lower().decode("utf-8", "replace") for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)], inverse, first
@@ -294,7 +286,7 @@ def windows(n: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray
 def streams(data: np.ndarray, off: np.ndarray, coder: tv.Coded) -> tuple[np.ndarray, np.ndarray, tuple]:
     """(subword ids of all texts with an end each, first id of each text, what batch_words gave)."""
     keys, names, inverse, first = batch_words(data, off)
-    at = coder.look(keys, lambda i: names[i])[inverse] if len(keys) else np.zeros(0, np.int64)
+    at = coder.look(keys, keys, lambda i: names[i])[inverse] if len(keys) else np.zeros(0, np.int64)
     size = coder.size[at]
     ids = tv.ragged(coder.flat, coder.first[at], size) if len(at) else np.zeros(0, np.uint32)
     cuts = np.append(0, np.cumsum(size))[first]

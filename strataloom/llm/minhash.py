@@ -4,11 +4,14 @@ SuperMinHash gives every element of a set a random permutation of the registers;
 j plus a uniform number, and each register keeps its least. The ranks of an element are correlated, which lowers
 the variance against independent hashes, and a text stops as soon as all registers are below the next rank.
 
-Texts of equal shingle sets form one class, so exact copies meet nowhere again. Classes that share a band are
-compared by their signatures in blocks; only a spanning forest of the similar ones is kept (links = classes - 1
-at most), never all pairs. Its components, the clusters, hold every pair of a similarity over the threshold
-that shares a band. Inside a cluster all pairs are confirmed on full sets in blocks, again keeping a forest of
-the true links. Buckets and clusters of any size are split into blocks of bounded rows.
+Texts of equal shingle sets form one class, so exact copies meet nowhere again. Two steps look alike: classes that
+share a band are compared by their signatures, and the clusters of these links are confirmed on full sets. In
+both a group (a bucket, a cluster) of any size is dealt to blocks of bounded rows. First each block is compared within
+itself, with a few rows of the group (anchors) shown to all its blocks, and gives the trees of its links as
+stars, so rows stay in proportion to the group; components label each class with its tree. Then only groups that
+still hold several labels go on: their classes outside the commonest label meet all others, and a block
+pair gives at most one link less than it has labels. So no link is lost, and a group that is one tree after the first
+step, as groups of copies are, costs nothing more.
 """
 
 from __future__ import annotations
@@ -29,15 +32,18 @@ REGISTERS, BAND = 128, 4
 #: Two classes go on to verification if at least this share of their registers agrees. At a true similarity of
 #: 0.8 the share has a standard deviation under 0.036, so 0.6 lies 5.6 deviations below.
 SOFT = 0.6
+#: Rows of a block, and shingles of a block of full sets, about.
 BLOCK = 256
 BLOCK_SHINGLES = 1 << 18
+#: Rows of a group that are shown to all its blocks, about.
+ANCHORS = 8
 
 
 def shingles(data: np.ndarray, off: np.ndarray, width: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text; a shorter text's words are one shingle, no words none."""
-    h, _, first = tv.words(data, off)
-    odd = [U(0x9E3779B97F4A7C15) * U(2 * i + 1) | U(1) for i in range(width)]
+    h, _, _, first = tv.words(data, off)
     with np.errstate(over="ignore"):
+        odd = [U(0x9E3779B97F4A7C15) * U(2 * i + 1) | U(1) for i in range(width)]
         if len(h) >= width:
             n = len(h) - width + 1
             rolled = np.zeros(n, U)
@@ -145,13 +151,6 @@ def signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(hi), pa.array(lo), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1))), pa.array(shorts, pa.binary())], names=["doc_id", "n", "hi", "lo", "bands", "short"])
 
 
-def blocked(df: DataFrame, member: str, number: Column) -> DataFrame:
-    """Rows of each key dealt to ``number`` blocks, each row once for every pair of blocks it is part of (columns bi <= bj, mine)."""
-    df = df.withColumn("_n", number).withColumn("mine", F.pmod(F.xxhash64(member), "_n").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int"))).alias("_o")
-    return df.select("*", other).withColumns({"bi": F.least("mine", "_o"), "bj": F.greatest("mine", "_o")}).drop("_n", "_o")
-
-
 def grouped(batches: Iterator[pa.RecordBatch], key: list[str], most: int = 1 << 15) -> Iterator[pa.Table]:
     """Tables of whole groups from rows sorted by ``key``: one table may hold many small groups, none is cut."""
     held: list[pa.RecordBatch] = []
@@ -207,84 +206,166 @@ class Forest:
         return True
 
 
-def pairs_of(first: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows within each group, many small groups at once."""
-    size = np.diff(first)
-    for s in np.unique(size[size > 1]).tolist():
-        i, j = np.triu_indices(s, 1)
-        step = max(1, most // len(i))
-        base = first[:-1][size == s]
-        for a in range(0, len(base), step):
-            b = base[a : a + step, None]
-            yield (b + i).reshape(-1), (b + j).reshape(-1)
-
-
 EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def soft_links(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, bi, bj) -> a spanning forest of the pairs that agree in at least ``least`` registers."""
-    key = ["key", "bi", "bj"]
-    said: set[tuple[int, int]] = set()
-    for t in grouped(batches, key):
-        cid = t.column("cid").to_numpy()
-        sig = np.frombuffer(b"".join(t.column("short").to_pylist()), np.uint8).reshape(t.num_rows, -1)
-        forest = Forest(t.num_rows)
-        us, vs = [], []
-        for i, j in pairs_of(bounds(t, key), 1 << 16):
-            ok = (sig[i] == sig[j]).sum(1) >= least
-            for a, b in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
-                if forest.join(a, b):
-                    e = (int(cid[a]), int(cid[b]))
-                    if e not in said:
-                        said.add(e)
-                        us.append(e[0])
-                        vs.append(e[1])
-        if len(said) > 1_000_000:
-            said.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], schema=EDGES)
-
-
-def overlaps(sets: list[np.ndarray], columns: int = 1 << 13) -> np.ndarray:
-    """Sizes of all intersections: products of 0/1 matrices over the shingles that two sets or more hold."""
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count > 1
-    number = np.cumsum(shared) - 1
-    keep = shared[inverse]
-    owner, inverse = owner[keep], number[inverse[keep]]
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    order = np.argsort(inverse, kind="stable")
-    owner, inverse = owner[order], inverse[order]
-    for a in range(0, int(shared.sum()), columns):
-        lo, hi = np.searchsorted(inverse, (a, a + columns))
-        m = np.zeros((len(sets), columns), np.float32)
-        m[owner[lo:hi], inverse[lo:hi] - a] = 1
-        out += m @ m.T  # counts under 2**24 are exact
+def _edges(us: list[int], vs: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], schema=EDGES)
+
+
+class Signatures:
+    """Links of classes that agree in at least ``least`` registers."""
+
+    def __init__(self, least: int):
+        self.least, self.held = least, 1 << 15
+
+    def of(self, t: pa.Table) -> np.ndarray:
+        return np.frombuffer(b"".join(t.column("payload").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+
+    def between(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which rows of x are linked with which of y."""
+        out = np.empty((len(x), len(y)), bool)
+        for k, row in enumerate(x):
+            out[k] = (y == row).sum(1) >= self.least
+        return out
+
+
+class Sets:
+    """Links of full sets with 100 * both >= percent * either."""
+
+    def __init__(self, percent: int):
+        self.percent, self.held = percent, 64
+
+    def of(self, t: pa.Table) -> list[np.ndarray]:
+        return [np.frombuffer(r, U) for r in t.column("payload").to_pylist()]
+
+    def between(self, x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+        both = overlaps(x, y).astype(np.float64)
+        n, m = (np.array([len(s) for s in sets], np.float64) for sets in (x, y))
+        return 100 * both >= self.percent * (n[:, None] + m[None, :] - both)
+
+
+def overlaps(x: list[np.ndarray], y: list[np.ndarray], columns: int = 1 << 13) -> np.ndarray:
+    """Sizes of the intersections of each set of x with each other one of y: products of 0/1 matrices over the shingles that both sides hold."""
+    parts = [np.concatenate(sets) if sets else np.zeros(0, U) for sets in (x, y)]
+    if x is y:
+        shared, times = np.unique(parts[0], return_counts=True)
+        shared = shared[times > 1]
+    else:
+        shared = np.intersect1d(*parts)
+    out = np.zeros((len(x), len(y)), np.float32)
+    if not len(shared):
+        return out
+    placed = []
+    for sets, flat in ((x, parts[0]), (y, parts[1])):
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(shared, flat), len(shared) - 1)
+        keep = shared[at] == flat
+        owner, at = owner[keep], at[keep]
+        order = np.argsort(at, kind="stable")
+        placed.append((len(sets), owner[order], at[order]))
+    for a in range(0, len(shared), columns):
+        m = []
+        for n, owner, at in placed:
+            lo, hi = np.searchsorted(at, (a, a + columns))
+            part = np.zeros((n, min(columns, len(shared) - a)), np.float32)
+            part[owner[lo:hi], at[lo:hi] - a] = 1
+            m.append(part)
+        out += m[0] @ m[1].T  # counts under 2**24 are exact
     return out
 
 
-def true_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (cluster, bi, bj) with full sets -> a spanning forest of pairs with 100 * both >= percent * either."""
-    key = ["cluster", "bi", "bj"]
-    for t in grouped(batches, key, 64):
-        cid = t.column("cid").to_numpy()
-        raw = t.column("shingles").to_pylist()
-        at = bounds(t, key)
+def within(batches: Iterator[pa.RecordBatch], kind: Signatures | Sets) -> Iterator[pa.RecordBatch]:
+    """Rows (key, b, cid, payload) sorted by these -> each tree of the links within a block as a star around its lowest id."""
+    key = ["key", "b"]
+    said: set[tuple[int, int]] = set()
+    for t in grouped(batches, key, kind.held):
+        cid, at, payload = t.column("cid").to_numpy(), bounds(t, key), kind.of(t)
         us, vs = [], []
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             if b - a < 2:
                 continue
-            sets = [np.frombuffer(r, U) for r in raw[a:b]]
-            n = np.array([len(s) for s in sets], np.float64)
-            both = overlaps(sets).astype(np.float64)
-            ok = 100 * both >= percent * (n[:, None] + n[None, :] - both)
             forest = Forest(b - a)
+            own = payload[a:b]
+            ok = kind.between(own, own)
             for i, j in np.argwhere(np.triu(ok, 1)).tolist():
-                if forest.join(i, j):
-                    us.append(int(cid[a + i]))
-                    vs.append(int(cid[a + j]))
-        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], schema=EDGES)
+                forest.join(i, j)
+            for i in range(b - a):
+                e = (int(cid[a + i]), int(cid[a + forest.root(i)]))
+                if e[0] != e[1] and e not in said:
+                    said.add(e)
+                    us.append(e[0])
+                    vs.append(e[1])
+        if len(said) > 500_000:
+            said.clear()
+        yield _edges(us, vs)
+
+
+def across(batches: Iterator[pa.RecordBatch], kind: Signatures | Sets) -> Iterator[pa.RecordBatch]:
+    """Rows (key, li, aj, few, cid, label, payload) sorted by these -> links that join two labels, from the few to all."""
+    key = ["key", "li", "aj"]
+    for t in grouped(batches, key, kind.held):
+        label, few, at, payload = t.column("label").to_numpy(), t.column("few").to_numpy(), bounds(t, key), kind.of(t)
+        us, vs = [], []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            mid = a + int((few[a:b] == 0).sum())
+            if a == mid or mid == b:
+                continue
+            names, number = np.unique(label[a:b], return_inverse=True)
+            forest = Forest(len(names))
+            ok = kind.between(payload[mid:b], payload[a:mid])
+            ok &= number[mid - a :, None] != number[None, : mid - a]
+            i, j = np.nonzero(ok)
+            pairs = np.unique(number[mid - a + i] * len(names) + number[j])
+            for p in pairs.tolist():
+                if forest.join(p // len(names), p % len(names)):
+                    us.append(int(names[p // len(names)]))
+                    vs.append(int(names[p % len(names)]))
+        yield _edges(us, vs)
+
+
+def _blocks(rows: str, weight: str) -> Column:
+    return F.greatest(F.ceil(F.col(rows) / BLOCK), F.ceil(F.col(weight) / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+
+def _parts(df: DataFrame, *key: str) -> DataFrame:
+    """Dealt by ``key`` and sorted by all columns but the payload."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *key).sortWithinPartitions(*[c for c in df.columns if c != "payload"])
+
+
+def _within(members: DataFrame, kind: Signatures | Sets) -> DataFrame:
+    """Links of members (key, cid, w, payload, s and t: rows and weight of the key) inside blocks."""
+    own = F.pmod(F.xxhash64("cid"), "n").cast("int")
+    anchor = F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(1 << 30)) * F.col("s") < ANCHORS << 30
+    b = F.explode(F.when(anchor & (F.col("n") > 1), F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array(own)))
+    dealt = members.withColumn("n", _blocks("s", "t")).select("key", b.alias("b"), "cid", "payload")
+    return _parts(dealt, "key", "b").mapInArrow(lambda it: within(it, kind), "u long, v long")
+
+
+def _across(members: DataFrame, labels: DataFrame, kind: Signatures | Sets) -> DataFrame:
+    """Links between the labels of keys that hold several."""
+    known = members.join(labels.withColumnRenamed("id", "cid"), "cid", "left").select("key", "cid", "w", "payload", F.coalesce("component", "cid").alias("label"))
+    per = known.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("w").alias("t"))
+    most = F.max(F.struct("c", "t", "label"))
+    open_keys = per.groupBy("key").agg(F.count("*").alias("k"), F.sum("c").alias("s"), F.sum("t").alias("t"), most.alias("top")).where("k > 1")
+    sized = open_keys.select("key", F.col("top.label").alias("common"), _blocks("s", "t").alias("na"), F.col("s") - F.col("top.c"), F.col("t") - F.col("top.t")).toDF("key", "common", "na", "ls", "lt").withColumn("nl", _blocks("ls", "lt"))
+    both = known.join(sized, "key").withColumns({"own_a": F.pmod(F.xxhash64("cid"), "na").cast("int"), "own_l": F.pmod(F.xxhash64("cid", F.lit(2)), "nl").cast("int")})
+    every = F.transform(F.sequence(F.lit(0), F.col("nl") - 1), lambda i: F.struct(i.alias("li"), F.col("own_a").alias("aj"), F.lit(0).alias("few")))
+    light = F.transform(F.sequence(F.lit(0), F.col("na") - 1), lambda j: F.struct(F.col("own_l").alias("li"), j.alias("aj"), F.lit(1).alias("few")))
+    place = F.explode(F.when(F.col("label") != F.col("common"), F.concat(every, light)).otherwise(every))
+    dealt = both.select("key", place.alias("p"), "cid", "label", "payload").select("key", "p.li", "p.aj", "p.few", "cid", "label", "payload")
+    return _parts(dealt, "key", "li", "aj").mapInArrow(lambda it: across(it, kind), "u long, v long")
+
+
+def _trees(members: DataFrame, kind: Signatures | Sets) -> DataFrame:
+    """(id, component) of all links inside the keys of ``members``, a table that is cut already."""
+    first = cut(_within(members, kind))
+    labels = components(first)
+    large = members.where(_blocks("s", "t") > 1)
+    if large.isEmpty():
+        return labels
+    return components(first.unionByName(_across(large, labels, kind)))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -305,14 +386,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     heads = full.join(classes.withColumnRenamed("cid", "doc_id"), [*same, "doc_id"]).select(F.col("doc_id").alias("cid"), "bands", "short")
     bands = heads.select("cid", F.explode("bands").alias("key"))
     crowd = bands.groupBy("key").agg(F.count("*").alias("s")).where("s > 1")
-    members = bands.join(crowd, "key")
-    by_key = blocked(members.join(heads.select("cid", "short"), "cid"), "cid", F.ceil(F.col("s") / BLOCK)).select("key", "bi", "bj", "cid", "short")
-    least = int(SOFT * REGISTERS)
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    soft = by_key.repartition(n_parts, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(lambda it: soft_links(it, least), "u long, v long")
-    cluster = cut(components(soft).select(F.col("id").alias("cid"), F.col("component").alias("cluster")))
-    links = _confirmed(rows, cluster, classes, width, percent, n_parts)
-    found = components(links).select(F.col("id").alias("cid"), "component")
+    none = F.lit(0).cast("long")
+    shared = bands.join(crowd, "key").join(heads.select("cid", F.col("short").alias("payload")), "cid").select("key", "cid", none.alias("w"), "payload", "s", none.alias("t"))
+    cluster = _trees(cut(shared), Signatures(int(SOFT * REGISTERS)))
+    found = _trees(_full_sets(rows, cluster, width), Sets(percent)).select(F.col("id").alias("cid"), "component")
     known = classes.join(found, "cid", "left").select(*same, F.coalesce("component", "cid").alias("component"))
     out = small.where("n > 0 and doc_id is not null").join(known, same).select("doc_id", "n", "component")
     alone = small.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component"))
@@ -321,31 +398,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
 
 #: Ids of clustered classes are broadcast up to this many (16 MB of longs); beyond it the texts are joined by shuffle.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 1_000_000
 
 
-def _confirmed(rows: DataFrame, cluster: DataFrame, classes: DataFrame, width: int, percent: int, n_parts: int) -> DataFrame:
-    many = cluster.count()
-    wanted = cluster.select(F.col("cid").alias("doc_id"), "cluster")
-    texts = rows.join(F.broadcast(wanted) if many <= BROADCAST_IDS else wanted, "doc_id")
+def _full_sets(rows: DataFrame, cluster: DataFrame, width: int) -> DataFrame:
+    """The members of each cluster with their sets."""
+    wanted = cluster.select(F.col("id").alias("doc_id"), F.col("component").alias("key"))
+    texts = rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in tv.slices(whole, "text"):
                 sets = shingles(*tv.utf8(b.column("text")), width)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("cluster"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.large_binary()).cast(pa.binary())], names=["cid", "cluster", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "cid", "w", "payload"])
 
-    sets = cut(texts.select("doc_id", "cluster", "text").mapInArrow(full, "cid long, cluster long, n long, shingles binary").where("n > 0"))
-    sizes = sets.groupBy("cluster").agg(F.count("*").alias("s"), F.sum("n").alias("total"))
-    number = F.greatest(F.ceil(F.col("s") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("long")
-    split = blocked(sets.join(sizes, "cluster"), "cid", number).select("cluster", "bi", "bj", "cid", "shingles")
-    return split.repartition(n_parts, "cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj").mapInArrow(lambda it: true_links(it, percent), "u long, v long")
+    sets = cut(texts.select("doc_id", "key", "text").mapInArrow(full, "key long, cid long, w long, payload binary").where("w > 0"))
+    return sets.join(sets.groupBy("key").agg(F.count("*").alias("s"), F.sum("w").alias("t")), "key")
 
 
 def keep_firsts(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, all columns as they came: rows whose id is their group's smallest."""
-    found = near_duplicates(docs, width, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    """One document of each group, all columns as they came: rows whose id is their group's smallest.
+
+    Rows of a null id and texts without words are kept. An empty table gives an empty one.
+    """
+    found = near_duplicates(docs, width, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("key"))
+    left = packed.join(found, packed["key"] == found["gone"], "left_anti")
+    return left.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op4_minhash_dedup(spark, sf_dir: str) -> DataFrame:

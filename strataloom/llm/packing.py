@@ -25,7 +25,7 @@ from .store import cut, ship
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, slot long"
 #: Unicode white space outside ASCII, as UTF-8. A text with any of it is coded whole, as segments would not be independent.
 WIDE_SPACE = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", *(b"\xe2\x80" + bytes([x]) for x in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), b"\xe2\x81\x9f", b"\xe3\x80\x80"]
-_coders: dict[str, tv.Coded] = {}
+_vocabularies: dict = {}
 
 
 def bpe(ranks_path: str):
@@ -40,14 +40,14 @@ def bpe(ranks_path: str):
 
 def token_ids(data: np.ndarray, off: np.ndarray, coder: tv.Coded) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, one after another, and each text's first id (one more than texts)."""
-    keys, starts, first = tv.segments(data, off)
+    keys, checks, starts, first = tv.segments(data, off)
     raw = data.tobytes()
     if not len(keys):
         return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
     odd = any(s in raw for s in WIDE_SPACE)
     ends = np.append(starts[1:], len(raw))
-    uniq, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    at = coder.look(uniq, lambda i: raw[starts[where[i]] : ends[where[i]]].decode("utf-8", "replace"))[inverse]
+    uniq, check, where, inverse = tv.distinct(keys, checks)
+    at = coder.look(uniq, check, lambda i: raw[starts[where[i]] : ends[where[i]]].decode("utf-8", "replace"))[inverse]
     size = coder.size[at]
     ids = tv.ragged(coder.flat, coder.first[at], size)
     bounds = np.append(0, np.cumsum(size))[first]
@@ -63,10 +63,11 @@ def token_ids(data: np.ndarray, off: np.ndarray, coder: tv.Coded) -> tuple[np.nd
 
 
 def coder_of(ranks_path: str) -> tv.Coded:
-    if ranks_path not in _coders:
-        enc = bpe(ranks_path)
-        _coders[ranks_path] = tv.Coded(lambda texts: [enc.encode_ordinary(t) for t in texts])
-    return _coders[ranks_path]
+    """A table for one task; only the vocabulary outlives it."""
+    if ranks_path not in _vocabularies:
+        _vocabularies[ranks_path] = bpe(ranks_path)
+    enc = _vocabularies[ranks_path]
+    return tv.Coded(lambda texts: [enc.encode_ordinary(t) for t in texts])
 
 
 def cut_pieces(batches: Iterator[pa.RecordBatch], ranks_path: str, width: int, end_id: int) -> Iterator[pa.RecordBatch]:

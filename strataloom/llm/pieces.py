@@ -213,47 +213,43 @@ def model_of(path: str) -> PieceModel:
 
 
 class _Segments:
-    """Coded segments: ids as text ("1,2,3"), their number and their decoded bytes. Bounded like textvec.Coded."""
+    """Coded segments of a task: ids as text ("1,2,3"), their number and their decoded bytes. Bounded like textvec.Coded."""
 
-    def __init__(self, model: PieceModel, most: int = 400_000):
+    def __init__(self, model: PieceModel, most: int = 200_000):
         self.model, self.most = model, most
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[int, int] = {}
+        self.known, self.held = tv.Known(), 0
         self.ids: list[bytes] = []
         self.text: list[bytes] = []
         self.count: list[int] = []
 
-    def look(self, keys: list[int], raw: bytes, begin: list[int], end: list[int], first: list[bool]) -> list[int]:
-        if len(self.at) > self.most:
+    def look(self, keys: np.ndarray, checks: np.ndarray, raw: bytes, begin: np.ndarray, end: np.ndarray, first: np.ndarray) -> list[int]:
+        if len(self.known) > self.most or self.held > 64 * self.most:
             self.clear()
-        at, out = self.at, []
-        for k, a, b, f in zip(keys, begin, end, first, strict=True):
-            j = at.get(k, -1)
-            if j < 0:
-                j = at[k] = len(self.ids)
-                s = raw[a:b].decode("utf-8", "replace").replace(" ", MARK)
-                ids = self.model.encode(MARK + s if f else s)
-                self.ids.append(",".join(map(str, ids)).encode())
-                self.count.append(len(ids))
-                self.text.append(self.model.decode(ids, first=f).encode())
-            out.append(j)
-        return out
-
-
-_tables: dict[str, _Segments] = {}
+        got, new = self.known.look(keys, checks)
+        for a, b, f in zip(begin[new].tolist(), end[new].tolist(), first[new].tolist(), strict=True):
+            s = raw[a:b].decode("utf-8", "replace").replace(" ", MARK)
+            ids = self.model.encode(MARK + s if f else s)
+            self.ids.append(",".join(map(str, ids)).encode())
+            self.count.append(len(ids))
+            self.text.append(self.model.decode(ids, first=f).encode())
+            self.held += len(self.ids[-1]) + len(self.text[-1])
+        return got.tolist()
+
+
 _MARK = MARK.encode()
 _FIRST = np.uint64(0x5851F42D4C957F2D)
 
 
 def digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """Rows (id, text) -> id, number of ids, sha256 of the ids and of the decoded text."""
-    table = _tables.setdefault(path, _Segments(model_of(path)))
+    table = _Segments(model_of(path))
     for whole in batches:
         for batch in tv.slices(whole, "text"):
             data, off = tv.utf8(batch.column(1))
-            keys, starts, first = tv.segments(data, off, table.model.space)
+            keys, checks, starts, first = tv.segments(data, off, table.model.space)
             raw = data.tobytes()
             marked = _MARK in raw
             n_tokens, ids_sha, text_sha = [], [], []
@@ -261,9 +257,10 @@ def digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
                 heads = np.zeros(len(keys), bool)
                 heads[first[:-1][np.diff(first) > 0]] = True
                 keys = np.where(heads, tv.mix(keys ^ _FIRST), keys)
-                uniq, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
+                checks = np.where(heads, ~checks, checks)
+                uniq, check, where, inverse = tv.distinct(keys, checks)
                 ends = np.append(starts[1:], len(raw))
-                got = table.look(uniq.tolist(), raw, starts[where].tolist(), ends[where].tolist(), heads[where].tolist())
+                got = table.look(uniq, check, raw, starts[where], ends[where], heads[where])
                 count = np.array([table.count[j] for j in got], np.int64)[inverse]
                 total = np.append(0, np.cumsum(count))[first]
                 n_tokens = np.diff(total).tolist()
@@ -303,7 +300,7 @@ def whole_ids(model: PieceModel, text: str) -> list[int]:
     if MARK in text:  # a mark in the text itself may join the space after it
         return model.encode(MARK + text.replace(" ", MARK))
     data = np.frombuffer(text.encode(), np.uint8)
-    _, starts, _ = tv.segments(data, np.array([0, len(data)]), model.space)
+    _, _, starts, _ = tv.segments(data, np.array([0, len(data)]), model.space)
     raw, ends = data.tobytes(), [*starts[1:].tolist(), len(data)]
     out: list[int] = []
     for k, (a, b) in enumerate(zip(starts.tolist(), ends, strict=True)):

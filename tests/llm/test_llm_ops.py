@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from strataloom.llm import embed, graph, licenses, lines, lm, minhash, packing, pieces, registry, rules, toxicity, warc
+from strataloom.llm import embed, graph, licenses, lines, lm, minhash, packing, pieces, registry, rules, textvec, toxicity, warc
 
 BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECE = public_tokenizers.path("piece_bpe_32k.model")
@@ -180,6 +180,67 @@ def test_near_duplicates_large_group(spark):
     assert found == reach(ids, edges)
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_hashes_tell_regular_words_apart():
+    """Sums of byte values times powers modulo 2**64 are equal for a Thue-Morse word and its complement."""
+    for n in (1024, 2048, 4096):
+        a = thue_morse(n)
+        data = f"{a} {a.translate(str.maketrans('ab', 'ba'))}".encode()
+        found = textvec.words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0]
+        assert len(found) == 2 and found[0] != found[1]
+    rng = random.Random(8)
+    words = {"".join(rng.choice("ab") for _ in range(rng.randint(1, 40))) for _ in range(5000)}
+    data = " ".join(words).encode()
+    key, check, starts, _ = textvec.segments(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert len(np.unique(key)) == len(np.unique(check)) == len(starts) == len(words)
+
+
+def test_known_keys_with_clashing_first_hashes():
+    known = textvec.Known()
+    a, b, c = (np.array([x], np.uint64) for x in (5, 70, 80))
+    assert known.look(a, b)[0].tolist() == [0]
+    slot, new = known.look(a, c)
+    assert slot.tolist() == [1] and new.tolist() == [0]
+    assert known.look(a, b)[0].tolist() == [0]
+    keys, checks, where, inverse = textvec.distinct(np.array([5, 5, 9], np.uint64), np.array([1, 2, 3], np.uint64))
+    assert len(keys) == 3 and sorted(checks[inverse].tolist()) == [1, 2, 3]
+
+
+def test_near_duplicates_several_trees_in_a_large_cluster(spark, monkeypatch):
+    """Clusters of several blocks that hold several components: only links over block borders join some of them."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "ANCHORS", 2)
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    data = []
+    for family in range(12):
+        own = list(base)
+        for k in rng.sample(range(150), 7):
+            own[k] = f"f{family}-{k}"
+        for i in range(25):
+            w = list(own)
+            for k in rng.sample(range(150), rng.randrange(5)):
+                w[k] = f"z{family}-{i}-{k}"
+            data.append((len(data), " ".join(w)))
+    rng.shuffle(data)
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(8)
+    sets = brute_sets(docs, 4)
+    ids = sorted(sets)
+    edges = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = reach(ids, edges)
+    assert 1 < len(set(want.values())) < 300
+    assert {r["doc_id"]: r["component_id"] for r in rows(minhash.near_duplicates(docs, width=4))} == want
+
+
+def test_keep_firsts_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 1, 2, 3, 4), (2, "a b c d e f", 1, 2, 3, 4), (3, None, 1, 2, 3, 4)], "doc_id long, text string, gone int, _gone int, row int, `key` int")
+    out = minhash.keep_firsts(docs)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
+
+
 def test_near_duplicates_odd(spark, odd_docs, no_docs):
     found = rows(minhash.near_duplicates(odd_docs, width=4))
     by = {r["doc_id"]: r for r in found}
