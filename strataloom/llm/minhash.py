@@ -365,7 +365,12 @@ def _trees(members: DataFrame, kind: Signatures | Sets) -> DataFrame:
     large = members.where(_blocks("s", "t") > 1)
     if large.isEmpty():
         return labels
-    return components(first.unionByName(_across(large, labels, kind)))
+    more = components(_across(large, labels, kind))
+    if more.isEmpty():
+        return labels
+    new = more.select(F.col("id").alias("label"), F.col("component").alias("joined"))
+    known = labels.join(new, labels["component"] == new["label"], "left").select("id", F.coalesce("joined", "component").alias("component"))
+    return cut(known.unionByName(more.join(labels.select("id"), "id", "left_anti")))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

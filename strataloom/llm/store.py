@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests, one machine)."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one where that is unset and the master is local, an error elsewhere."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -17,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(found)
         return found
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="strataloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -27,6 +30,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables that were cut and are read no more."""
+    for t in tables:
+        found = t._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if found.isDefined():
+            delete(t.sparkSession, found.get())
+
+
 def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
