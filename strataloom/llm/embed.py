@@ -4,11 +4,11 @@ Equal vectors form one class with a count. Centroids are fitted on a bounded sam
 belongs to its nearest cell, and is also shown to each cell whose cosine is within MARGIN of that of its own. A pair
 is compared in the home cell of one of the two if the other is shown there. For cosine c between two vectors the
 difference of their scores on a centroid is at most sqrt(2 - 2c) and has, over directions that the centroid knows
-nothing of, a standard deviation of sqrt((1 - c*c) / dim); MARGIN is six of these differences for two scores.
-Recall against brute force is measured in the tests.
+nothing of, a standard deviation of sqrt((1 - c*c) / dim); the margin is DEVIATIONS of these for two scores, and a pair
+is lost only if both of its vectors miss the other's home cell. Recall against brute force is measured in the tests.
 
-Cells are split into blocks of BLOCK homes and BLOCK shown vectors; each block pair is one matrix product, which
-emits sums of links and a spanning forest, not the links. So a cell of any size is many bounded groups.
+Cells are split into blocks of BLOCK homes and SHOWN shown vectors; a block pair is compared by matrix products of bounded
+size and emits sums of links and a spanning forest, not the links. So a cell of any size is many bounded groups.
 """
 
 from __future__ import annotations
@@ -28,11 +28,14 @@ from .store import cut, ship
 SAMPLE = 16_384
 CELL = 512
 MOST_CELLS = 4096
-BLOCK = 1024
+BLOCK, SHOWN = 1024, 8192
+DEVIATIONS = 4
 
 
-def unit_rows(vectors: list[list[float] | None], dim: int) -> np.ndarray:
-    x = np.array(vectors, np.float64).reshape(-1, dim)
+def unit_rows(vectors: pa.ListArray, dim: int) -> np.ndarray:
+    """Rows of length 1; the largest component is divided out first, so squares neither overflow nor vanish."""
+    x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    x = x / np.abs(x).max(1)[:, None]
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -57,7 +60,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> n
 def margin(threshold: float, dim: int) -> float:
     """How far below its own a cell's cosine may be for a vector to be shown there."""
     c = max(min(threshold, 1.0), -1.0)
-    return min(math.sqrt(2 - 2 * c) * 2, 6 * math.sqrt(2 * (1 - c * c) / dim)) if c > 0 else 2.0
+    return min(math.sqrt(2 - 2 * c) * 2, DEVIATIONS * math.sqrt(2 * (1 - c * c) / dim)) if c > 0 else 2.0
 
 
 def dealt(batches: Iterator[pa.RecordBatch], centroids: np.ndarray, slack: float) -> Iterator[pa.RecordBatch]:
@@ -66,7 +69,7 @@ def dealt(batches: Iterator[pa.RecordBatch], centroids: np.ndarray, slack: float
     for whole in batches:
         for a in range(0, whole.num_rows, 4096):
             b = whole.slice(a, 4096)
-            x = unit_rows(b.column(2).to_pylist(), dim)
+            x = unit_rows(b.column(2), dim)
             s = x @ centroids.T
             home = s.argmax(1)
             row, cell = np.nonzero(s >= (s.max(1) - slack)[:, None])
@@ -99,15 +102,18 @@ def linked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
             x = np.frombuffer(b"".join(unit[i] for i in hs), np.float64).reshape(len(hs), -1)
             y = np.frombuffer(b"".join(unit[i] for i in os), np.float64).reshape(len(os), -1)
             here = int(cell[a])
-            i, j = np.nonzero(x @ y.T >= threshold)
-            p, q = hs[i], os[j]
+            found = [np.nonzero(x @ y[k : k + BLOCK].T >= threshold) for k in range(0, len(os), BLOCK)]
+            p = hs[np.concatenate([i for i, _ in found])]
+            q = os[np.concatenate([j + k * BLOCK for k, (_, j) in enumerate(found)])]
             inner = home[q] == here
             ok = np.where(inner, cid[p] < cid[q], True)
             far = np.flatnonzero(~inner)
             if len(far):
                 # The home cell of the other sees the pair as well if this vector is shown there.
-                sees = np.array([int(home[q[f]]) in cells[int(p[f])].as_py() for f in far], bool)
-                ok[far] = ~sees | (here < home[q[far]])
+                lower = far[home[q[far]] < here]
+                for one in np.unique(p[lower]).tolist():
+                    own = lower[p[lower] == one]
+                    ok[own] = ~np.isin(home[q[own]], cells[one].values.to_numpy())
             p, q = p[ok], q[ok]
             if not len(p):
                 continue
@@ -149,7 +155,7 @@ def near_vectors(table: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
         some = classes.where(F.size("e") == dim)
         k = max(1, min(MOST_CELLS, -(-total // CELL)))
         share = min(1.0, 1.2 * SAMPLE / total)
-        seen = [r["e"] for r in some.select("e").sample(fraction=share, seed=7).limit(SAMPLE).collect()] if share < 1 else [r["e"] for r in some.select("e").limit(SAMPLE).collect()]
+        seen = (some.sample(fraction=share, seed=7) if share < 1 else some).select("e").limit(SAMPLE).toArrow().column(0).combine_chunks()
         own = _links(some, spherical_kmeans(unit_rows(seen, dim), min(k, len(seen))), threshold, dim)
         sums = own.groupBy(F.col("u").alias("cid")).agg(F.sum("n").alias("n"))
         counted = some.join(sums, "cid", "left")
@@ -169,7 +175,7 @@ def _links(classes: DataFrame, centroids: np.ndarray, threshold: float, dim: int
     slack = margin(threshold, dim)
     shown = cut(classes.select("cid", "copies", "e").mapInArrow(lambda it: dealt(it, given.value, slack), "cid long, copies long, cell int, home int, unit binary"))
     size = shown.groupBy("cell").agg(F.sum(F.expr("int(cell = home)")).alias("homes"), F.count("*").alias("all"))
-    cells = F.broadcast(size.select("cell", F.ceil(F.col("homes") / BLOCK).cast("int").alias("nh"), F.ceil(F.col("all") / BLOCK).cast("int").alias("no")))  # MOST_CELLS rows at most
+    cells = F.broadcast(size.select("cell", F.ceil(F.col("homes") / BLOCK).cast("int").alias("nh"), F.ceil(F.col("all") / SHOWN).cast("int").alias("no")))  # MOST_CELLS rows at most
     lists = shown.where("cell != home").groupBy("cid").agg(F.collect_list("cell").alias("cells"))  # bounded by MOST_CELLS
     part = shown.join(cells, "cell").withColumns({"own_h": F.expr("int(pmod(xxhash64(cid), greatest(nh, 1)))"), "own_o": F.expr("int(pmod(xxhash64(cid), no))")})
     as_home = part.where("cell = home").join(lists, "cid", "left").select("cell", F.col("own_h").alias("hb"), F.explode(F.expr("sequence(0, no - 1)")).alias("ob"), F.lit(True).alias("as_home"), "cid", "copies", "home", "unit", F.coalesce("cells", F.array().cast("array<int>")).alias("cells"))

@@ -4,16 +4,20 @@ Words are runs of letters and digits, lower-cased. A unit of n bigrams can reach
 of n * d / (2 - d) to n * (2 - d) / d bigrams; units that no template's size allows are never looked at, and for the others
 an index from bigram to templates counts what is shared, so only templates with a common bigram are weighed.
 Spans run over line ends and within lines, from one shared bigram to another; where too few lie close together, none is weighed.
+Long templates (whole licenses, in the folder spdx) aren't in the index: a text is looked at for one only if it is long enough
+and shares as many different bigrams as the coefficient needs at least.
 """
 
 from __future__ import annotations
 
 import math
+import pathlib
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +25,8 @@ from pyspark.sql import functions as F
 from .store import ship
 
 LEAST = 0.8
+#: Bigrams from which a template counts as long.
+LONG = 400
 _WORD = re.compile(r"[^\W_]+")
 #: Public notices and license texts by SPDX id; several templates may share one.
 TEMPLATES = (
@@ -52,14 +58,32 @@ TEMPLATES = (
         "ISC",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
     (
         "BSD-3-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
 )
 
 
+def all_templates() -> tuple[tuple[str, str], ...]:
+    """The notices above and the whole licenses of the folder spdx, read on the driver."""
+    folder = pathlib.Path(__file__).resolve().parent / "spdx"
+    return TEMPLATES + tuple((p.name[:-4], p.read_text("utf-8")) for p in sorted(folder.glob("*.txt")))
+
+
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
@@ -69,7 +93,7 @@ def bigrams(words: list[str]) -> Counter:
 
 
 class Scanner:
-    """Templates by size, and the index from bigram to (template, count)."""
+    """Templates by size, the index from bigram to (template, count) for short ones, and bounds for long ones."""
 
     def __init__(self, templates=TEMPLATES, least: float = LEAST):
         self.least = least
@@ -77,9 +101,13 @@ class Scanner:
         self.size = [sum(g.values()) for g in self.grams]
         self.name = [n for n, _ in templates]
         self.sizes = sorted(self.size)
+        self.need = [max(1, math.ceil(n * least / (2 - least) - 1e-9)) for n in self.size]
+        self.long = [i for i, n in enumerate(self.size) if n >= LONG]
+        # Shared bigrams are at most the different ones shared and the template's repeats.
+        self.different = {i: self.need[i] - (self.size[i] - len(self.grams[i])) for i in self.long}
         self.index: dict[tuple[str, str], list[tuple[int, int]]] = {}
         for i, g in enumerate(self.grams):
-            for b, n in g.items():
+            for b, n in g.items() if i not in self.different else ():
                 self.index.setdefault(b, []).append((i, n))
 
     def possible(self, n: int) -> bool:
@@ -93,46 +121,66 @@ class Scanner:
         if n < 1 or not self.possible(n):
             return []
         index = self.index
-        if not any(b in index for b in zip(words, words[1:], strict=False)):
+        large = [i for i in self.long if 2 * min(n, self.size[i]) >= self.least * (n + self.size[i])]
+        if not large and not any(b in index for b in zip(words, words[1:], strict=False)):
             return []
-        both: Counter = Counter()
-        for b, k in bigrams(words).items():
+        own, both = bigrams(words), Counter()
+        for b, k in own.items():
             for i, m in index.get(b, ()):
                 both[i] += min(k, m)
+        for i in large:
+            gram = self.grams[i]
+            both[i] = sum(min(k, gram[b]) for b, k in own.items() if b in gram)
         return [(i, 2 * c / (n + self.size[i])) for i, c in sorted(both.items()) if 2 * c >= self.least * (n + self.size[i])]
 
-    def spans(self, words: list[str]) -> list[tuple[int, int, int, int, float]]:
-        """(template, first word, last word, shared bigrams, coefficient): for each first shared bigram the span that fits best, where one reaches the threshold."""
-        d, hits, out = self.least, {}, []
-        for at, b in enumerate(zip(words, words[1:], strict=False)):
+    def _hits(self, words: list[str]) -> dict[int, list[int]]:
+        """Places of the bigrams that a template shares, for templates that the text may hold."""
+        pairs = list(zip(words, words[1:], strict=False))
+        hits: dict[int, list[int]] = {}
+        for at, b in enumerate(pairs):
             for i, _ in self.index.get(b, ()):
                 hits.setdefault(i, []).append(at)
-        for i, h in hits.items():
-            n, gram = self.size[i], self.grams[i]
-            need, most = max(1, math.ceil(n * d / (2 - d) - 1e-9)), n * (2 - d) / d + 1e-9
-            for j in range(len(h) - need + 1):
-                if h[j + need - 1] - h[j] + 1 > most:
-                    continue
-                seen: Counter = Counter()
-                c, best = 0, None
-                for at in h[j:]:
-                    size = at - h[j] + 1
-                    if size > most:
-                        break
-                    b = (words[at], words[at + 1])
-                    seen[b] += 1
-                    if seen[b] <= gram[b]:
-                        c += 1
-                        if 2 * c >= d * (size + n) and (best is None or 2 * c / (size + n) > best[4]):
-                            best = (i, h[j], at + 1, c, 2 * c / (size + n))
-                if best:
-                    out.append(best)
+        large = [i for i in self.long if self.need[i] <= len(pairs)]
+        if large:
+            seen = set(pairs)
+            for i in large:
+                gram = self.grams[i]
+                if len(seen & gram.keys()) >= self.different[i]:
+                    hits[i] = [at for at, b in enumerate(pairs) if b in gram]
+        return hits
+
+    def spans(self, words: list[str]) -> list[tuple[int, int, int, int, float]]:
+        """(template, first word, last word, shared bigrams, coefficient): for each first shared bigram the span that fits best, where one reaches the threshold."""
+        d, out = self.least, []
+        for i, h in self._hits(words).items():
+            n, gram, need = self.size[i], self.grams[i], self.need[i]
+            most = n * (2 - d) / d + 1e-9
+            starts = [j for j in range(len(h) - need + 1) if h[j + need - 1] - h[j] + 1 <= most]
+            if not starts:
+                continue
+            # A bigram counts in a span unless as many of its kind as the template has stand before it there.
+            place, before, kinds = np.array(h), np.full(len(h), -1), {}
+            for t, at in enumerate(h):
+                own = kinds.setdefault((words[at], words[at + 1]), [])
+                own.append(t)
+                times = gram[words[at], words[at + 1]]
+                if len(own) > times:
+                    before[t] = own[-1 - times]
+            for j in starts:
+                end = int(np.searchsorted(place, h[j] + most - 1 + 1e-6, "right"))
+                size = place[j:end] - h[j] + 1
+                counts = before[j:end] < j
+                c = np.cumsum(counts)
+                dice = np.where(counts & (2 * c >= d * (size + n)), 2 * c / (size + n), 0)
+                k = int(dice.argmax())
+                if dice[k]:
+                    out.append((i, h[j], h[j + k] + 1, int(c[k]), float(dice[k])))
         return out
 
     def scan(self, text: str) -> list[tuple[str, int, int, float]]:
         """(license, first line, last line, coefficient) of the lines, the blocks between blank lines and the whole text that match, the best template each.
 
-        Then of the spans of words, those with the most shared bigrams first, that overlap no better match and none of the same license."""
+        Then of the spans of words, those with the most shared bigrams first, that overlap no better match and none of the same license but for a whole license around it."""
         lines = text.split("\n")
         parts = [words_of(x) for x in lines]
         units = [(i, i) for i in range(len(parts))]
@@ -159,7 +207,8 @@ class Scanner:
         taken = [(total[a], total[b + 1] - 1, name, dice) for name, a, b, dice in out]
         for i, a, b, _, dice in sorted(self.spans(words), key=lambda x: (-x[3], -x[4], x[0], x[1])):
             name = self.name[i]
-            if all(b < u or v < a or (name != other and dice > least) for u, v, other, least in taken):
+            whole = i in self.different  # a whole license may hold its own notice
+            if all(b < u or v < a or (name != other and dice > least) or (whole and a <= u and v <= b and least <= 1) for u, v, other, least in taken):
                 taken.append((a, b, name, 2.0))  # no other span over this one
                 out.append((name, bisect_right(total, a) - 1, bisect_right(total, b) - 1, dice))
         return sorted(out, key=lambda x: (x[1], x[2]))
@@ -169,12 +218,17 @@ MATCHES = "doc_id long, matches array<struct<license:string,first_line:int,last_
 _MATCH = pa.list_(pa.struct([("license", pa.string()), ("first_line", pa.int32()), ("last_line", pa.int32()), ("dice", pa.float64())]))
 
 
-def scan_licenses(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the matches of every row, in text order; null and empty texts match nothing. Equal coefficients go to the first template."""
+def scan_licenses(docs: DataFrame, templates=None, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and the matches of every row, in text order; null and empty texts match nothing. Equal coefficients go to the first template.
+
+    ``templates`` are (license, text) pairs, ``all_templates()`` if not given. Repeated rows give a row each, an empty table
+    an empty one, a text of any length is read whole; other columns aren't read.
+    """
     ship(docs.sparkSession)
+    given = docs.sparkSession.sparkContext.broadcast(all_templates() if templates is None else tuple(templates))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Scanner(templates, least)
+        s = Scanner(given.value, least)
         for b in batches:
             got = [[dict(zip(("license", "first_line", "last_line", "dice"), m, strict=True)) for m in s.scan(t or "")] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, _MATCH)], names=["doc_id", "matches"])

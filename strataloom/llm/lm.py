@@ -6,10 +6,9 @@ their own), the model gives the class from the ids before (its group, then the c
 the whole training corpus give the id within its class. One attention layer with a ReLU layer reads windows of WINDOW ids; windows overlap, the
 first scores all its ids and each later one its last STRIDE, so every id is scored once, with context.
 
-Word counts, subword counts and classes come from all training texts by grouped sums. Parameters are fitted in ROUNDS
-rounds: each task trains a copy on the windows of all its training documents, and grouped means over the tasks are the
-next start. Windows are cut anew in each round, so none are stored.
-The TOP most frequent words are broadcast; the others meet their counts in a join.
+Word counts, subword counts and classes come from all training texts by grouped sums. Parameters are fitted on all training
+texts, in ROUNDS rounds that share them out: each task trains a copy on all windows of its texts, and grouped means over the
+tasks are the next start. The TOP most frequent words are broadcast; the others meet their counts in a join.
 """
 
 from __future__ import annotations
@@ -35,9 +34,13 @@ TOP = 200_000
 GROUPS, MEMBERS = 32, 32
 CLASSES = GROUPS * MEMBERS
 OWN = CLASSES - MEMBERS
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 64, 56
 DIM, HIDDEN = 16, 32
-ROUNDS, EPOCHS = 2, 1
+#: Windows of a training step, and of a scored batch.
+BATCH, SCORE_BATCH = 64, 64
+ROUNDS, RATE = 2, 0.01
+#: Longer words aren't broadcast, so what is has a bound in bytes; they meet their counts in the join.
+TOP_CHARS = 40
 HELD = 1
 _vocabularies: dict = {}
 
@@ -134,125 +137,100 @@ def fresh(prior: np.ndarray, seed: int = 11) -> np.ndarray:
 
 
 _EARLIER = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+#: A column of ones: sums over the last axis are products with it.
+_ONES = {n: np.ones((n, 1), np.float32) for n in (GROUPS, MEMBERS, WINDOW)}
 
 
 def hidden(p: dict[str, np.ndarray], x_in: np.ndarray) -> tuple:
     """States (B * WINDOW, DIM) of windows of input classes, and what the backward pass needs.
 
-    Scores stay small (they are scaled, and parameters are fitted from small ones), so the exponentials need no shift.
+    Attention to later places is masked out. Scores stay small (they are scaled, and parameters are fitted from
+    small ones), so the exponentials need a bound but no shift.
     """
     n = len(x_in)
     x = p["emb"][x_in]
     x += p["pos"]
-    flat = x.reshape(-1, DIM)
-    qkv = (flat @ np.concatenate([p["q"] * np.asarray(DIM**-0.5, p["q"].dtype), p["k"], p["v"]], 1)).reshape(n, WINDOW, 3 * DIM)
-    q, k, v = qkv[:, :, :DIM], qkv[:, :, DIM : 2 * DIM], qkv[:, :, 2 * DIM :]
+    x = x.reshape(-1, DIM)
+    q, k, v = ((x @ w).reshape(n, WINDOW, DIM) for w in (p["q"] * np.asarray(DIM**-0.5, p["q"].dtype), p["k"], p["v"]))
     a = q @ k.transpose(0, 2, 1)
     np.minimum(a, 60, out=a)
     np.exp(a, out=a)
     a *= _EARLIER
-    a /= a.sum(2, keepdims=True)
+    a /= a @ _ONES[WINDOW]
     z = (a @ v).reshape(-1, DIM)
-    y = flat + z @ p["o"]
+    y = x + z @ p["o"]
     u = y @ p["w1"]
     u += p["b1"]
     np.maximum(u, 0, out=u)
-    return y + u @ p["w2"], (flat, q, k, v, a, z, y, u)
+    return y + u @ p["w2"], (x, q, k, v, a, z, y, u)
 
 
 def by_group(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the places by the group of their target, and the first place of each group in it."""
-    group = target // MEMBERS
+    group = (target // MEMBERS).astype(np.uint8)
     order = np.argsort(group, kind="stable")
-    return order, np.searchsorted(group[order], np.arange(GROUPS + 1))
-
-
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(1, keepdims=True))
-    return logits
-
-
-_ONES = {n: np.ones((n, 1), np.float32) for n in (GROUPS, MEMBERS, WINDOW)}
-
-
-def states(p: dict[str, np.ndarray], x_in: np.ndarray) -> np.ndarray:
-    """hidden() alone, in fewer passes: sums are products with ones, and values are divided instead of weights."""
-    n = len(x_in)
-    x = p["emb"][x_in]
-    x += p["pos"]
-    x = x.reshape(-1, DIM)
-    q, k, v = ((x @ w).reshape(n, WINDOW, DIM) for w in (p["q"] * np.float32(DIM**-0.5), p["k"], p["v"]))
-    a = q @ k.transpose(0, 2, 1)
-    np.exp(a, out=a)
-    a *= _EARLIER
-    z = a @ v
-    z /= a @ _ONES[WINDOW]
-    x += z.reshape(-1, DIM) @ p["o"]
-    u = x @ p["w1"]
-    u += p["b1"]
-    np.maximum(u, 0, out=u)
-    x += u @ p["w2"]
-    return x
+    return order, np.append(0, np.cumsum(np.bincount(group, minlength=GROUPS)))
 
 
-def _picked(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log-softmax at one place a row; not finite where an exponential is too large."""
+def _softmax(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log-softmax at one place a row; ``logits``, taken within +-60 so that no exponential or sum leaves the range, become the probabilities."""
+    np.clip(logits, -60, 60, out=logits)
     got = logits[np.arange(len(at)), at]
     np.exp(logits, out=logits)
-    return got - np.log(logits @ _ONES[logits.shape[1]])[:, 0]
+    total = logits @ _ONES[logits.shape[1]].astype(logits.dtype)
+    logits /= total
+    return got - np.log(total[:, 0])
 
 
 def log_probs(p: dict[str, np.ndarray], x_in: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log of each target class's probability, (B, WINDOW)."""
     t = target.reshape(-1)
     order, first = by_group(t)
-    with np.errstate(all="ignore"):
-        h = states(p, x_in)[order]
-        got = _picked(h @ p["grp"] + p["gb"], t[order] // MEMBERS)
-        member = t[order] % MEMBERS
-        for g in np.flatnonzero(np.diff(first)).tolist():
-            a, b = first[g], first[g + 1]
-            got[a:b] += _picked(h[a:b] @ p["out"][g] + p["b"][g], member[a:b])
+    t = t[order]
+    h = hidden(p, x_in)[0][order]
+    got = _softmax(h @ p["grp"] + p["gb"], t // MEMBERS)
+    member = t % MEMBERS
+    for g in np.flatnonzero(np.diff(first)).tolist():
+        a, b = first[g], first[g + 1]
+        got[a:b] += _softmax(h[a:b] @ p["out"][g] + p["b"][g], member[a:b])
     out = np.empty_like(got)
     out[order] = got
-    if not np.isfinite(out).all():  # too large for plain exponentials: once more with shifted ones
-        h, _ = hidden(p, x_in)
-        out = _log_softmax(h @ p["grp"] + p["gb"])[np.arange(len(t)), t // MEMBERS]
-        for g in np.flatnonzero(np.diff(first)).tolist():
-            at = order[first[g] : first[g + 1]]
-            out[at] += _log_softmax(h[at] @ p["out"][g] + p["b"][g])[np.arange(len(at)), t[at] % MEMBERS]
     return out.reshape(target.shape)
 
 
 def gradient(flat: np.ndarray, x_in: np.ndarray, target: np.ndarray, mask: np.ndarray) -> tuple[float, np.ndarray]:
     """Mean cross-entropy over the masked places and its gradient."""
     p = parts(flat)
+    out = np.zeros_like(flat)
+    g = parts(out)
     h, (x, q, k, v, a, z, y, u) = hidden(p, x_in)
-    n, t, m = max(1.0, float(mask.sum())), target.reshape(-1), mask.reshape(-1).astype(flat.dtype)
-    g = parts(np.zeros_like(flat))
+    n, t = max(1.0, float(mask.sum())), target.reshape(-1)
+    order, first = by_group(t)
+    t, m = t[order], (mask.reshape(-1)[order] / n).astype(flat.dtype)
+    h = h[order]
     rows = np.arange(len(t))
-    log = _log_softmax(h @ p["grp"] + p["gb"])
-    loss = -float((log[rows, t // MEMBERS] * m).sum())
-    d = np.exp(log)
+    d = h @ p["grp"] + p["gb"]
+    loss = -float(_softmax(d, t // MEMBERS) @ m)
     d[rows, t // MEMBERS] -= 1
-    d *= (m / n)[:, None]
+    d *= m[:, None]
     g["grp"][:] = h.T @ d
     g["gb"][:] = d.sum(0)
     dh = d @ p["grp"].T
-    order, first = by_group(t)
+    member = t % MEMBERS
     for j in np.flatnonzero(np.diff(first)).tolist():
-        at = order[first[j] : first[j + 1]]
-        log = _log_softmax(h[at] @ p["out"][j] + p["b"][j])
-        place = (np.arange(len(at)), t[at] % MEMBERS)
-        loss -= float((log[place] * m[at]).sum())
-        d = np.exp(log)
-        d[place] -= 1
-        d *= (m[at] / n)[:, None]
+        at = slice(first[j], first[j + 1])
+        d = h[at] @ p["out"][j] + p["b"][j]
+        loss -= float(_softmax(d, member[at]) @ m[at])
+        d[rows[: len(d)], member[at]] -= 1
+        d *= m[at][:, None]
         g["out"][j] = h[at].T @ d
         g["b"][j] = d.sum(0)
         dh[at] += d @ p["out"][j].T
-    du = (dh @ p["w2"].T) * (u > 0)
+    back = np.empty_like(dh)
+    back[order] = dh
+    dh = back
+    du = dh @ p["w2"].T
+    du *= u > 0
     g["w2"][:] = u.T @ dh
     g["w1"][:] = y.T @ du
     g["b1"][:] = du.sum(0)
@@ -261,17 +239,21 @@ def gradient(flat: np.ndarray, x_in: np.ndarray, target: np.ndarray, mask: np.nd
     dz = (dy @ p["o"].T).reshape(v.shape)
     da = dz @ v.transpose(0, 2, 1)
     dv = a.transpose(0, 2, 1) @ dz
-    ds = a * (da - (da * a).sum(2, keepdims=True))
+    da -= (dz * z.reshape(v.shape)).sum(2, keepdims=True)  # z is the weights' product with v
+    da *= a
     scale = np.asarray(DIM**-0.5, flat.dtype)
-    dq, dk = (ds @ k) * scale, ds.transpose(0, 2, 1) @ q  # q is scaled already
-    dx = dy.copy()
+    dq, dk = (da @ k) * scale, da.transpose(0, 2, 1) @ q  # q is scaled already
+    dx = dy
     for name, part in (("q", dq), ("k", dk), ("v", dv)):
         part = part.reshape(-1, DIM)
         g[name][:] = x.T @ part
-        dx += part @ p[name].T
+        dx = dx + part @ p[name].T
     g["pos"][:] = dx.reshape(-1, WINDOW, DIM).sum(0)
-    np.add.at(g["emb"], x_in.reshape(-1), dx)
-    return loss / n, np.concatenate([g[k].reshape(-1) for k in SHAPES])
+    ids = x_in.reshape(-1).astype(np.uint16)
+    order = np.argsort(ids, kind="stable")
+    seen, first = np.unique(ids[order], return_index=True)
+    g["emb"][seen] = np.add.reduceat(dx[order], first)
+    return loss, out
 
 
 def windows(n: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -307,52 +289,49 @@ def _classed(before: np.ndarray, ids: np.ndarray, cls: np.ndarray) -> np.ndarray
     return np.where(before < 0, cls[END_ID], cls[ids[np.maximum(before, 0)]])
 
 
-def cut_windows(batches: Iterator[pa.RecordBatch], ranks_path: str, given) -> Iterator[pa.RecordBatch]:
-    """Rows (text) -> training windows: input and target classes and the mask, as bytes."""
-    cls, coder = given.value, coder_of(ranks_path)
-    for whole in batches:
-        for b in tv.slices(whole, "text", 1 << 20):
-            ids, first, _ = streams(*tv.utf8(b.column(0)), coder)
-            text, begin, _ = windows(np.diff(first), WINDOW)
-            before, at, inside = tokens_at(first, text, begin)
-            both = np.concatenate([_classed(before, ids, cls), cls[ids[at]], inside], 1).astype(np.int16)
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in both], pa.binary())], names=["w"])
+def cut_windows(b: pa.RecordBatch, coder: tv.Coded, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (text) -> training windows, one after another without overlap: input classes, target classes, and which places count."""
+    ids, first, _ = streams(*tv.utf8(b.column(0)), coder)
+    text, begin, _ = windows(np.diff(first), WINDOW)
+    before, at, inside = tokens_at(first, text, begin)
+    return _classed(before, ids, cls), cls[ids[at]], inside
 
 
-def train_part(batches: Iterator[pa.RecordBatch], start: np.ndarray, epochs: int, batch: int = 32) -> Iterator[pa.RecordBatch]:
-    """Rows (window) -> this task's parameters after Adam over its windows, weighted by their number: place, value, weight."""
-    flat = start.copy()
+def train_part(batches: Iterator[pa.RecordBatch], ranks_path: str, cls: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (text) -> this task's parameters after Adam over all windows of its texts, weighted by their number: place, value, weight."""
+    coder, flat = coder_of(ranks_path), start.copy()
     mom, var, step, seen = np.zeros_like(flat), np.zeros_like(flat), 0, 0
-    for b in batches:
-        raw = b.column(0).to_pylist()
-        if not raw:
-            continue
-        w = np.frombuffer(b"".join(raw), np.int16).reshape(len(raw), 3, WINDOW).astype(np.int64)
-        seen += len(w)
-        for e in range(epochs):
-            order = np.random.default_rng(e).permutation(len(w))
-            for a in range(0, len(w), batch):
-                i = order[a : a + batch]
-                _, g = gradient(flat, w[i, 0], w[i, 1], w[i, 2])
+    for whole in batches:
+        for b in tv.slices(whole, "text"):
+            x, y, m = cut_windows(b, coder, cls)
+            order = np.random.default_rng(len(x)).permutation(len(x))
+            seen += len(x)
+            for a in range(0, len(x), BATCH):
+                i = order[a : a + BATCH]
+                _, g = gradient(flat, x[i], y[i], m[i])
                 step += 1
-                mom = 0.9 * mom + 0.1 * g
-                var = 0.99 * var + 0.01 * g * g
-                rate = 0.01 * min(1.0, step / 20)
-                flat = (flat - rate * (mom / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                mom += (g - mom) * np.float32(0.1)
+                var += (g * g - var) * np.float32(0.01)
+                rate = RATE * min(1.0, step / 20) * (1 - 0.99**step) ** 0.5 / (1 - 0.9**step)
+                flat -= np.float32(rate) * mom / (np.sqrt(var) + np.float32(1e-8))
     if seen:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat.astype(np.float64) * seen), pa.array(np.full(len(flat), float(seen)))], names=["i", "s", "n"])
 
 
-def fitted(train: DataFrame, prior: np.ndarray) -> np.ndarray:
-    """Parameters after ROUNDS rounds of training in parallel and averaging; the driver holds one parameter vector."""
+def fitted(train: DataFrame, prior: np.ndarray, ranks_path: str, cls: np.ndarray) -> np.ndarray:
+    """Parameters after ROUNDS rounds of training in parallel and averaging; the driver holds one parameter vector.
+
+    Each training text is read in one of the rounds, by its hash.
+    """
     flat = fresh(prior)
-    for _ in range(ROUNDS):
-        start = train.sparkSession.sparkContext.broadcast(flat)
-        mean = train.mapInArrow(lambda it: train_part(it, start.value, EPOCHS), "i int, s double, n double").groupBy("i").agg((F.sum("s") / F.sum("n")).alias("v"))  # noqa: B023
-        got = mean.orderBy("i").toPandas()  # one row a parameter
-        if not len(got):
-            break
-        flat = got.v.to_numpy(np.float32)
+    sc = train.sparkSession.sparkContext
+    for r in range(ROUNDS):
+        given = sc.broadcast((cls, flat))
+        own = train.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == r).select("text")
+        mean = own.mapInArrow(lambda it, given=given: train_part(it, ranks_path, *given.value), "i int, s double, n double").groupBy("i").agg((F.sum("s") / F.sum("n")).alias("v"))
+        got = mean.toPandas()  # one row a parameter
+        if len(got):
+            flat = got.sort_values("i").v.to_numpy(np.float32)
     return flat
 
 
@@ -368,7 +347,7 @@ def scored(batches: Iterator[pa.RecordBatch], ranks_path: str, given) -> Iterato
     rid = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
     rare_type = pa.list_(pa.struct([("w", pa.string()), ("k", pa.int64())]))
     for whole in batches:
-        for b in tv.slices(whole, "text", 6 << 20):
+        for b in tv.slices(whole, "text"):
             rows = b.num_rows
             ids, first, (names, inverse, word_first) = streams(*tv.utf8(b.column(2)), coder)
             n_words = np.diff(word_first)
@@ -384,19 +363,20 @@ def scored(batches: Iterator[pa.RecordBatch], ranks_path: str, given) -> Iterato
             rare = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array([names[i] for i in what.tolist()], pa.string()), pa.array(k.astype(np.int64))], names=["w", "k"]))
             score = np.bincount(np.repeat(np.arange(rows), np.diff(first)), weights=within[ids], minlength=rows)
             text, begin, fresh_from = windows(np.diff(first))
-            for a in range(0, len(text), 128):
-                before, at, inside = tokens_at(first, text[a : a + 128], begin[a : a + 128])
+            for a in range(0, len(text), SCORE_BATCH):
+                own, start = text[a : a + SCORE_BATCH], begin[a : a + SCORE_BATCH]
+                before, at, inside = tokens_at(first, own, start)
                 lp = log_probs(p, _classed(before, ids, cls), cls[ids[at]])
-                place = begin[a : a + 128, None] + np.arange(WINDOW)
-                lp = np.where(inside & (place >= fresh_from[a : a + 128, None]), lp, 0).sum(1, dtype=np.float64)
-                score += np.bincount(text[a : a + 128], weights=lp, minlength=rows)
+                inside &= start[:, None] + np.arange(WINDOW) >= fresh_from[a : a + SCORE_BATCH, None]
+                score += np.bincount(own, weights=(lp * inside).sum(1, dtype=np.float64), minlength=rows)
             out = [pa.array(rid + np.arange(rows)), b.column(0), b.column(1), pa.array(n_words + 1), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(score / np.log(10)), rare.cast(rare_type)]
             rid += rows
             yield pa.RecordBatch.from_arrays(out, names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
 
 
 def frequent(counts: DataFrame) -> DataFrame:
-    """The words over a count that at most TOP words reach, from a histogram of eighths of powers of two (a few hundred rows)."""
+    """The words over a count that at most TOP words reach, from a histogram of eighths of powers of two (a few hundred rows), but for long ones."""
+    counts = counts.where(F.length("word") <= TOP_CHARS)
     step = F.floor(8 * F.log2("c")).cast("int")
     seen, least = 0, None
     for r in counts.groupBy(step.alias("k")).count().orderBy(F.desc("k")).collect():
@@ -425,9 +405,7 @@ def lm_scores(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col
     for r in counts.mapInArrow(lambda it: id_counts(it, ranks_path), "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).collect():  # VOCAB rows at most
         subword[r["id"]] = r["c"]
     cls, within, prior = classes_of(subword)
-    given = spark.sparkContext.broadcast(cls)
-    all_windows = train.select("text").mapInArrow(lambda it: cut_windows(it, ranks_path, given), "w binary")
-    flat = fitted(all_windows, prior)
+    flat = fitted(train, prior, ranks_path, cls)
     model = spark.sparkContext.broadcast((top, int(total), int(distinct), cls, within, flat))
     out = cut(rows.mapInArrow(lambda it: scored(it, ranks_path, model), SCORED))
     asked = out.select("rid", F.explode("rare").alias("r")).select("rid", F.col("r.w").alias("word"), F.col("r.k").alias("k"))

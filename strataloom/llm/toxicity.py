@@ -11,8 +11,10 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -127,11 +129,15 @@ class Matcher:
         self.a.make_automaton()
 
     def measure(self, text: str) -> tuple[float, float]:
-        """(sum of weights, the sum per root of length), each entry three times at most in effect."""
+        """(sum of the weights of all matches outside exceptions, the sum per root of length)."""
         folded = fold(text)
         hits = [(end - n + 1, end, w) for end, (n, w) in self.a.iter(folded)]
-        free = [(a, b) for a, b, w in hits if not w]
-        total = sum(w for a, b, w in hits if w and not any(x <= a and b <= y for x, y in free))
+        free = sorted((a, b) for a, b, w in hits if not w)
+        if free:
+            begins, reach = [a for a, _ in free], list(accumulate((b for _, b in free), max))
+            inside = lambda a, b: (k := bisect_right(begins, a)) > 0 and reach[k - 1] >= b
+            hits = [h for h in hits if not inside(h[0], h[1])]
+        total = sum(w for _, _, w in hits)
         return total, total / math.sqrt(1 + folded.count(" ") / 100)
 
 
@@ -202,14 +208,16 @@ def score(docs: DataFrame, lexicon: dict[str, float], coef: np.ndarray, id_col:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``; null ids aren't held out. An empty table gives an empty one."""
+    """doc_id, held_out, score, predicted for every row of ``docs``, repeated rows too; null ids aren't held out, null and empty
+    texts score as texts without a match. Labels of several rows of one id count as the highest. An empty table gives an empty
+    one; other columns aren't read."""
     lexicon, coef = train(docs, labels, id_col, text_col)
     found = score(docs, lexicon, coef, id_col, text_col)
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score under 0.5, all columns as they came."""
+    """The rows of ``docs`` that score under 0.5, all columns as they came; null and empty texts stay if texts without a match do."""
     lexicon, coef = train(docs, labels, id_col, text_col)
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{text_col}`").alias("_text"))

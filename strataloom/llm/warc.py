@@ -25,6 +25,7 @@ CHUNK = 1 << 20
 REVISIT_FROM = 100
 #: Groups of equal payloads, about 100 bytes each, that may be broadcast.
 BROADCAST_GROUPS = 200_000
+DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -39,8 +40,9 @@ def _uri(path: str) -> str:
     return "file://" + path[len("file:") :] if path.startswith("file:/") and not path.startswith("file://") else path
 
 
-def record_id(page_id: int | None, salt: int = 0) -> str:
-    return str(uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}:{salt}"))
+def record_id(page_id: int | None, url: str, digest: str) -> str:
+    """Rows of equal id, address and payload are one record, written once a row."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{url}:{digest}')}>"
 
 
 def header(fields: list[tuple[str, str]]) -> bytes:
@@ -53,7 +55,7 @@ def _line(value: str) -> str:
 
 
 def write_records(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    """Rows (page_id, url, html, digest, n_bytes, refers_to) -> the archive's name and its number of records."""
+    """Rows (page_id, url, html, digest, n_bytes, refers_to, refers_url) -> the archive's name and its number of records. A warcinfo record comes first."""
     ctx = TaskContext.get()
     name = f"{ctx.partitionId():06d}-{ctx.taskAttemptId()}.warc" if ctx else f"{uuid.uuid4().hex}.warc"
     out, n = None, 0
@@ -64,13 +66,17 @@ def write_records(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa
             fs, base = _fs(_uri(folder))
             fs.create_dir(base, recursive=True)
             out = fs.open_output_stream(f"{base}/{name}")
-        cols = [b.column(c) for c in ("page_id", "url", "html", "digest", "n_bytes", "refers_to")]
+            info = b"software: strataloom\r\nformat: WARC File Format 1.1\r\n"
+            out.write(header([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{folder}/{name}')}>"), ("WARC-Date", DATE), ("WARC-Filename", name), ("Content-Type", "application/warc-fields"), ("Content-Length", str(len(info)))]) + info + b"\r\n\r\n")
+        cols = [b.column(c) for c in ("page_id", "url", "html", "digest", "n_bytes", "refers_to", "refers_url")]
         for i in range(b.num_rows):
-            page, url, digest, size, refers = (cols[k][i].as_py() for k in (0, 1, 3, 4, 5))
+            page, url, digest, size, refers, refers_url = (cols[k][i].as_py() for k in (0, 1, 3, 4, 5, 6))
+            uri = _line(url or "")
             body = cols[2][i].as_buffer() if cols[2][i].is_valid and refers is None else None
-            fields = [("WARC-Type", "response" if refers is None else "revisit"), ("WARC-Record-ID", f"<urn:uuid:{record_id(page, n)}>"), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", _line(url or "")), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Page-ID", "" if page is None else str(page)), ("X-Payload-Length", str(size))]
+            fields = [("WARC-Type", "response" if refers is None else "revisit"), ("WARC-Record-ID", record_id(page, uri, digest)), ("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Page-ID", "" if page is None else str(page)), ("X-Payload-Length", str(size))]
             if refers is not None:
-                fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{refers}>")]
+                target = _line(refers_url or "")
+                fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers, target, digest)), ("WARC-Refers-To-Target-URI", target), ("X-Refers-To-Page-ID", str(refers))]
             out.write(header([*fields, ("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(body) if body is not None else 0))]))
             for a in range(0, len(body) if body is not None else 0, CHUNK):
                 out.write(body.slice(a, min(CHUNK, len(body) - a)))
@@ -113,9 +119,12 @@ def chunk_rows(folder: str, archive: str, chunk: int, payloads: bool) -> Iterato
     with fs.open_input_stream(f"{base}/{archive}") as raw, io.BufferedReader(raw, 1 << 16) as stream:
         for f in _heads(stream):
             left, digest, done, k = int(f["content-length"]), hashlib.sha256(), 0, 0
+            if f["warc-type"] == "warcinfo":
+                stream.read(left)
+                continue
             page = int(f["x-page-id"]) if f.get("x-page-id") else None
             declared = f.get("warc-payload-digest", "").partition(":")[2]
-            refers = int(f["warc-refers-to"].strip("<>").rpartition(":")[2]) if "warc-refers-to" in f else None
+            refers = int(f["x-refers-to-page-id"]) if "warc-refers-to" in f else None
             base_row = (page, f["warc-record-id"], f["warc-type"], refers)
             if refers is not None:
                 yield (*base_row, 0, 0, int(f["x-payload-length"]), declared, declared, None, True)
@@ -157,7 +166,7 @@ def read_chunks(archives: DataFrame, folder: str, chunk: int = CHUNK, payloads:
 
 
 def planned(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Pages with digest, n_bytes and refers_to (the smallest page id of an equal payload of REVISIT_FROM bytes or more, not for itself).
+    """Pages with digest, n_bytes, refers_to (the smallest page id of an equal payload of REVISIT_FROM bytes or more, not for itself) and its address.
 
     The digests are Spark's; groups are reduced by partial minima before the shuffle, and only groups of two or
     more are joined back, by digest and length: broadcast up to BROADCAST_GROUPS of them, else by shuffle.
@@ -166,11 +175,11 @@ def planned(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), body.alias("html"))
     rows = rows.withColumns({"digest": F.sha2(F.col("html").cast("binary"), 256), "n_bytes": F.octet_length("html").cast("long")})
     big = rows.where((F.col("n_bytes") >= REVISIT_FROM) & F.col("page_id").isNotNull())
-    firsts = cut(big.groupBy("digest", "n_bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies"))
+    firsts = cut(big.groupBy("digest", "n_bytes").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "n_bytes", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url")))
     if firsts.count() <= BROADCAST_GROUPS:
         firsts = F.broadcast(firsts)
     refers = F.when((F.col("first") != F.col("page_id")), F.col("first"))
-    return rows.join(firsts, ["digest", "n_bytes"], "left").select("page_id", "url", "html", "digest", "n_bytes", refers.alias("refers_to"))
+    return rows.join(firsts, ["digest", "n_bytes"], "left").select("page_id", "url", "html", "digest", "n_bytes", refers.alias("refers_to"), F.when(refers.isNotNull(), F.col("first_url")).alias("refers_url"))
 
 
 def archive_pages(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -12,6 +12,8 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from test_pipeline import plain_lines
+
 from strataloom.llm import embed, graph, licenses, lines, lm, minhash, packing, pieces, registry, rules, textvec, toxicity, warc
 
 BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -87,9 +89,19 @@ def test_packing_equals_tokenizers(spark, sf):
 
 
 def test_packing_odd(spark, odd_docs, no_docs):
+    from tokenizers import Tokenizer
+
     found = rows(packing.pack(odd_docs, BPE, width=64))
     assert packed_whole(found, 64)
     assert Counter(r["doc_id"] for r in found)[1] == 1
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter()
+    for r in odd_docs.collect():
+        ids = np.array([*tok.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4")
+        head = len(ids) % 64 or min(len(ids), 64)
+        cuts = [0, *range(head, len(ids) + 1, 64)]
+        want.update((r.doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)))
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in found) == want
     assert rows(packing.pack(no_docs, BPE)) == []
 
 
@@ -293,10 +305,34 @@ def test_line_dedup_small(spark):
     assert left[5].count("\n") == 4
 
 
-def test_line_dedup_odd(odd_docs, no_docs):
+def test_line_dedup_odd(spark, odd_docs, no_docs):
     out = lines.drop_repeated_lines(odd_docs)
     assert out.columns == odd_docs.columns and out.count() == 11
+    texts = {r.doc_id: r.text for r in odd_docs.collect()}
+    for r in out.collect():
+        # 4 repeats 3 (twice, as equal rows); the second of 7's equal lines is a later copy; null stays null.
+        assert r.text == {4: "", 7: texts[7].split("\n")[0]}.get(r.doc_id, texts[r.doc_id])
+        assert r.n_chars == (len(r.text) if r.text is not None else None)
+    run = "alpha beta gamma delta " * 20
+    clash = spark.createDataFrame([(1, run, 1, 2, "x"), (2, f"{run}\nrest", 3, 4, "y")], "doc_id long, text string, doc int, gone int, _row string")
     assert lines.drop_repeated_lines(no_docs).count() == 0
+    left = sorted(tuple(r) for r in lines.drop_repeated_lines(clash, length_col=None).collect())
+    assert left == [(1, run, 1, 2, "x"), (2, "rest", 3, 4, "y")]
+
+
+def test_line_dedup_over_partition_borders(spark):
+    """Classes that go on over many sorted partitions, and runs of many lengths, against plain loops."""
+    rng = random.Random(7)
+    pool = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.randint(1, 30))) for _ in range(40)]
+    data = {}
+    for i in range(120):
+        own = []
+        while len(own) < 12:
+            a = rng.randrange(len(pool))
+            own += pool[a : a + rng.randint(1, 9)] if rng.random() < 0.7 else [f"only {i} {len(own)}", ""]
+        data[i] = "\n".join(own)
+    docs = spark.createDataFrame(sorted(data.items()), "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.text for r in lines.drop_repeated_lines(docs).collect()} == plain_lines(data)
 
 
 def test_licenses(spark, odd_docs, no_docs):
@@ -337,6 +373,60 @@ def test_license_bounds_prune_nothing():
         assert dict(scanner.weigh(words)) == {i: v for i, v in want.items() if v >= scanner.least}
 
 
+def test_whole_licenses_are_found():
+    scanner = licenses.Scanner(licenses.all_templates())
+    rng = random.Random(2)
+    other = "\n".join(" ".join(f"alpha{rng.randrange(400)}" for _ in range(12)) for _ in range(60))
+    wanted = {"Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Artistic-1.0", "ISC", "BSD-2-Clause", "BSD-3-Clause", "MIT"}
+    longest = {}
+    for name, text in licenses.all_templates():
+        if len(text) > len(longest.get(name, "")):
+            longest[name] = text
+    assert wanted <= longest.keys()
+    for name in sorted(wanted):
+        words = longest[name].split(" ")
+        for k in rng.sample(range(len(words)), len(words) // 40):
+            words[k] = f"changed{k}"
+        found = scanner.scan(f"{other}\n\nCopyright of the authors\n{' '.join(words)}\n{other}")
+        assert name in {m[0] for m in found}, name
+    assert scanner.scan(other) == []
+
+
+def test_license_spans_brute():
+    """Spans against all pairs of shared bigrams, each weighed anew."""
+    rng = random.Random(12)
+    templates = [("A", "a b c d e f a b g h"), ("B", "c d e f g h i j k l m n"), ("C", "a a a b b"), ("A", "x y z")]
+    scanner = licenses.Scanner(templates)
+    for _ in range(400):
+        words = []
+        while len(words) < 40:
+            words += rng.choice([t.split() for _, t in templates])[rng.randrange(3) :] if rng.random() < 0.6 else [rng.choice("abcdefghijklmnxyz") for _ in range(rng.randrange(6))]
+        words = [w if rng.random() > 0.05 else "noise" for w in words]
+        want = []
+        for i, g in enumerate(scanner.grams):
+            h = [at for at in range(len(words) - 1) if (words[at], words[at + 1]) in g]
+            for a in h:
+                best = None
+                for b in (x for x in h if x >= a):
+                    own = licenses.bigrams(words[a : b + 2])
+                    c, size = sum((own & g).values()), b - a + 1
+                    dice = 2 * c / (size + scanner.size[i])
+                    if dice >= scanner.least and (best is None or dice > best[4] + 1e-12):
+                        best = (i, a, b + 1, c, dice)
+                if best:
+                    want.append(best)
+        got = scanner.spans(words)
+        assert [m[:4] for m in sorted(got)] == [m[:4] for m in sorted(want)]
+
+
+def test_licenses_of_odd_rows(spark, odd_docs):
+    found = sorted((r["doc_id"] is None, r["doc_id"] or 0, len(r["matches"])) for r in rows(licenses.scan_licenses(odd_docs)))
+    assert found == sorted((r.doc_id is None, r.doc_id or 0, 0) for r in odd_docs.collect())
+    tie = [("First", "one two three four five"), ("Second", "one two three four five")]
+    docs = spark.createDataFrame([(1, "one two three four five", 2, 3)], "doc_id long, text string, matches int, license int")
+    assert [m["license"] for m in rows(licenses.scan_licenses(docs, tie))[0]["matches"]] == ["First"]
+
+
 def test_vectors_brute(spark):
     rng = np.random.default_rng(1)
     centers = rng.standard_normal((150, 16))
@@ -363,6 +453,13 @@ def test_vectors_of_each_length(spark):
     assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (2, 4), 5: (2, 4), 6: (2, 4), 7: (0, 7), 8: (0, 8), 9: (0, 9)}
 
 
+def test_vectors_of_odd_sizes_and_repeated_ids(spark):
+    data = [(1, [1e200, 2e200], 0), (2, [1.01e200, 2e200], 0), (3, [1e-200, -2e-200], 0), (4, [1e-200, -2.01e-200], 0), (5, [0.0, 1.0], 0), (5, [0.0, 1.0], 0), (None, [0.0, 1.0], 0), (6, [float("inf"), 1.0], 0)]
+    table = spark.createDataFrame(data, "vec_id long, embedding array<double>, n_links int").withColumn("cid", F.lit(1)).withColumn("e", F.lit("x"))
+    got = sorted(((r["vec_id"] or 0), r["n_links"], r["component_id"], r["kept"]) for r in rows(embed.near_vectors(table)))
+    assert got == [(0, 0, None, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 1, 5, True), (5, 1, 5, True), (6, 0, 6, True)]
+
+
 def test_vectors_real(spark, sf):
     t = table(spark, sf, "embeddings")
     got = embed.near_vectors(t).toPandas().set_index("vec_id")
@@ -391,6 +488,18 @@ def test_warc_streams_chunks(spark, tmp_path):
     got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in rows(warc.round_trip(spark, pages))}
     assert got == {1: ("response", None), 2: ("response", None), 3: ("revisit", 1), 4: ("response", None), 5: ("response", None), 6: ("response", None), 7: ("revisit", 6), None: ("response", None)}
     assert warc.round_trip(spark, pages.where("false")).count() == 0
+    import glob
+
+    heads = [h for f in glob.glob(f"{folder}/*.warc") for h in open(f, "rb").read().split(b"WARC/1.1\r\nWARC-Type: ")[1:]]
+    records = [dict(line.split(b": ", 1) for line in (b"WARC-Type: " + h).split(b"\r\n\r\n")[0].split(b"\r\n")) for h in heads]
+    by_id = {r[b"WARC-Record-ID"]: r for r in records}
+    assert len(by_id) == len(records) and sum(r[b"WARC-Type"] == b"warcinfo" for r in records) == len(glob.glob(f"{folder}/*.warc"))
+    for r in records:
+        if r[b"WARC-Type"] == b"revisit":
+            target = by_id[r[b"WARC-Refers-To"]]
+            assert target[b"WARC-Type"] == b"response" and target[b"WARC-Payload-Digest"] == r[b"WARC-Payload-Digest"] and target[b"X-Page-ID"] == r[b"X-Refers-To-Page-ID"]
+    clash = pages.withColumns({"digest": F.lit("x"), "first": F.lit(1), "n_bytes": F.lit(2), "refers_to": F.lit(3)})
+    assert sorted((r["page_id"] or 0, r["record_type"]) for r in rows(warc.round_trip(spark, clash))) == sorted((k or 0, v[0]) for k, v in got.items())
 
 
 def test_folding():
@@ -401,6 +510,29 @@ def test_folding():
     assert m.measure("trash " * 2 + "x " * 500)[1] < m.measure("trash " * 2)[1]
 
 
+def test_toxicity_scores_brute(spark, sf, odd_docs):
+    """The automaton and the exceptions against plain searches, through the whole score."""
+    lexicon = {" trash ": 3.0, " idio": 2.5, " scum ": 3.0, " an": 0.5, " the ": 0.25, " a ": 0.125, " clown ": 3.0}
+    coef = np.array([-2.0, 0.7, 0.9])
+    extra = [(10**6, "a trash can and a trash bin, pond scum, 1d10t trash"), (10**6 + 1, "trash " * 300 + "trash can " * 300), (10**6 + 2, "clown fish clown class clown fish")]
+    docs = table(spark, sf, "documents").select("doc_id", "text").union(odd_docs.select("doc_id", "text")).union(spark.createDataFrame(extra, "doc_id long, text string"))
+
+    def places(t, entry):
+        at = t.find(entry)
+        while at >= 0:
+            yield at, at + len(entry) - 1
+            at = t.find(entry, at + 1)
+
+    want = Counter()
+    for r in docs.collect():
+        t = toxicity.fold(r.text or "")
+        free = [x for e in toxicity.EXCEPTIONS for x in places(t, f" {e} ")]
+        total = sum(w for e, w in lexicon.items() for a, b in places(t, e) if not any(x <= a and b <= y for x, y in free))
+        z = coef @ [1, math.log1p(total), math.log1p(total / math.sqrt(1 + t.count(" ") / 100))]
+        want[r.doc_id, round(1 / (1 + math.exp(-z)), 9)] += 1
+    assert Counter((r["doc_id"], round(r["score"], 9)) for r in rows(toxicity.score(docs, lexicon, coef))) == want
+
+
 def test_toxicity_held_out(spark, sf, odd_docs, no_docs):
     big = sf.replace("sf0.001", "sf0.1")
     found = toxicity.toxicity(table(spark, big, "documents"), table(spark, big, "labels"))
@@ -427,6 +559,56 @@ def test_lm_gradient():
         assert abs(slope - g[i]) < 1e-5 + 1e-3 * abs(slope)
 
 
+def plain_states(p, x_in):
+    """One window, place by place."""
+    out = []
+    x = [p["emb"][c] + p["pos"][t] for t, c in enumerate(x_in)]
+    for t in range(len(x)):
+        w = np.array([math.exp((x[t] @ p["q"]) @ (x[u] @ p["k"]) / math.sqrt(lm.DIM)) for u in range(t + 1)])
+        z = sum(a * (x[u] @ p["v"]) for u, a in enumerate(w / w.sum()))
+        y = x[t] + z @ p["o"]
+        out.append(y + np.maximum(y @ p["w1"] + p["b1"], 0) @ p["w2"])
+    return out
+
+
+def log_softmax(x):
+    return x - x.max() - math.log(np.exp(x - x.max()).sum())
+
+
+def plain_score(p, ids, cls, within):
+    """log10 of a text's probability: each id once, in the windows that ``windows`` names."""
+    total = 0.0
+    for _, begin, fresh in zip(*lm.windows(np.array([len(ids)])), strict=True):
+        own = ids[begin : begin + lm.WINDOW]
+        before = [cls[lm.END_ID] if t + begin == 0 else cls[ids[t + begin - 1]] for t in range(len(own))]
+        for t, h in enumerate(plain_states(p, before)):
+            if t + begin >= fresh:
+                c = cls[own[t]]
+                g, m = divmod(int(c), lm.MEMBERS)
+                total += log_softmax(h @ p["grp"] + p["gb"])[g] + log_softmax(h @ p["out"][g] + p["b"][g])[m] + within[own[t]]
+    return total / math.log(10)
+
+
+def test_lm_scores_brute(spark, monkeypatch):
+    """Whole-text scores against a plain loop over windows, places and weights."""
+    rng = np.random.default_rng(5)
+    counts = rng.integers(0, 1000, lm.VOCAB)
+    cls, within, prior = lm.classes_of(counts)
+    for k in range(0, lm.CLASSES, 97):
+        assert abs(np.exp(within[cls == k]).sum() - 1) < 1e-6
+    flat = lm.fresh(prior) + rng.standard_normal(len(lm.fresh(prior))).astype(np.float32) * 0.1
+    texts = ["", "one", "The quick brown fox, é 漢字 " * 3, " ".join(f"w{rng.integers(99)}" for _ in range(90)), "x y " * 100]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(lm, "fitted", lambda train, prior, path, cls: flat)
+    monkeypatch.setattr(lm, "classes_of", lambda counts: (cls, within, prior))
+    enc = packing.bpe(BPE)
+    p = lm.parts(flat.astype(np.float64))
+    for r in rows(lm.lm_scores(docs, BPE)):
+        words = texts[r["doc_id"]].encode().lower().decode().split()
+        ids = [i for w in words for i in enc.encode_ordinary(" " + w)] + [lm.END_ID]
+        assert abs(r["score"] - plain_score(p, np.array(ids), cls, within)) < 1e-4 * len(ids)
+
+
 def test_lm_windows_score_each_id_once():
     for n in (1, 5, 31, 32, 33, 56, 57, 200):
         text, begin, fresh = lm.windows(np.array([n, 0, n]))
@@ -450,7 +632,9 @@ def test_lm_base_brute(spark, sf, odd_docs, no_docs, monkeypatch):
         assert r["n_known"] == sum(c[w] > 0 for w in ws)
         assert abs(r["base_score"] - sum(math.log10(c[w] + 0.5) - low for w in ws)) < 1e-6 * len(ws)
         assert r["score"] < 0
-    assert len(rows(lm.lm_scores(odd_docs, BPE))) == 11
+    odd = rows(lm.lm_scores(odd_docs, BPE))
+    want = Counter((r.doc_id, len((r.text or "").encode().split()) + 1) for r in odd_docs.collect())
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in odd) == want and all(r["score"] < 0 and r["base_score"] < 0 for r in odd)
     assert rows(lm.lm_scores(no_docs, BPE)) == []
 
 
@@ -468,7 +652,7 @@ def test_components(spark):
 def test_language_model_reads_all_training_documents(spark, monkeypatch):
     docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("one short text").alias("text"))
     seen = []
-    monkeypatch.setattr(lm, "fitted", lambda train, prior: seen.append(train.count()) or lm.fresh(prior))
+    monkeypatch.setattr(lm, "fitted", lambda train, prior, path, cls: seen.append(train.count()) or lm.fresh(prior))
     found = lm.lm_scores(docs, BPE)
     assert seen == [found.where("not held_out").count()]  # one window a text
     assert lm.WINDOW - lm.STRIDE >= 8  # earlier ids before the first scored one of a later window
