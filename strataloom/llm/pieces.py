@@ -213,7 +213,8 @@ def model_of(path: str) -> PieceModel:
 
 
 class _Segments:
-    """Coded segments of a task: ids as text ("1,2,3"), their number and their decoded bytes. Bounded like textvec.Coded."""
+    """Coded segments: ids as text ("1,2,3"), their number and their decoded bytes. Bounded like textvec.Coded; what came in several
+    batches outlives a task, as coding it anew costs more than all else."""
 
     def __init__(self, model: PieceModel, most: int = 200_000):
         self.model, self.most = model, most
@@ -225,9 +226,16 @@ class _Segments:
         self.text: list[bytes] = []
         self.count: list[int] = []
 
+    def trim(self) -> None:
+        kept = self.known.again().tolist()
+        self.ids, self.text, self.count = ([x[k] for k in kept] for x in (self.ids, self.text, self.count))
+        self.held = sum(map(len, self.ids)) + sum(map(len, self.text))
+        if len(kept) > self.most // 2 or self.held > 32 * self.most:
+            self.clear()
+
     def look(self, keys: np.ndarray, checks: np.ndarray, raw: bytes, begin: np.ndarray, end: np.ndarray, first: np.ndarray) -> list[int]:
         if len(self.known) > self.most or self.held > 64 * self.most:
-            self.clear()
+            self.trim()
         got, new = self.known.look(keys, checks)
         for a, b, f in zip(begin[new].tolist(), end[new].tolist(), first[new].tolist(), strict=True):
             s = raw[a:b].decode("utf-8", "replace").replace(" ", MARK)
@@ -239,13 +247,14 @@ class _Segments:
         return got.tolist()
 
 
+_tables: dict[str, _Segments] = {}
 _MARK = MARK.encode()
 _FIRST = np.uint64(0x5851F42D4C957F2D)
 
 
 def digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """Rows (id, text) -> id, number of ids, sha256 of the ids and of the decoded text."""
-    table = _Segments(model_of(path))
+    table = _tables.setdefault(path, _Segments(model_of(path)))
     for whole in batches:
         for batch in tv.slices(whole, "text"):
             data, off = tv.utf8(batch.column(1))
@@ -278,6 +287,7 @@ def digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
                 text_sha.append(hashlib.sha256(b"".join([texts[j] for j in own])).hexdigest())
             n_tokens = n_tokens or [0] * batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    table.trim()
 
 
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

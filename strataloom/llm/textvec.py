@@ -133,6 +133,17 @@ class Known:
 
     def __init__(self):
         self.keys, self.slot, self.check = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, U)
+        self.asked = np.zeros(0, np.int32)
+
+    def again(self) -> np.ndarray:
+        """Numbers of the keys that were asked for twice or more; only they are kept, under new numbers in this order."""
+        kept = np.flatnonzero(self.asked > 1)
+        new = np.full(len(self.check), -1)
+        new[kept] = np.arange(len(kept))
+        there = new[self.slot] >= 0
+        self.keys, self.slot = self.keys[there], new[self.slot[there]]
+        self.check, self.asked = self.check[kept], np.ones(len(kept), np.int32)
+        return kept
 
     def __len__(self) -> int:
         return len(self.check)
@@ -149,6 +160,8 @@ class Known:
         new = np.flatnonzero(slot < 0)
         slot[new] = len(self.check) + np.arange(len(new))
         self.check = np.append(self.check, checks[new])
+        self.asked = np.append(self.asked, np.zeros(len(new), np.int32))
+        self.asked[slot] += 1
         fresh = np.flatnonzero(~there)  # of two keys with one first hash only the older one is kept
         self.keys = np.insert(self.keys, at[fresh], keys[fresh])
         self.slot = np.insert(self.slot, at[fresh], slot[fresh])
@@ -158,8 +171,8 @@ class Known:
 class Coded:
     """What a slow function makes of distinct segments, kept between the batches of a task.
 
-    Each value is a run of uint32 ids. Beyond ``most`` segments or 16 * ``most`` ids the table starts again, so memory
-    stays bounded and every segment is still coded in full.
+    Each value is a run of uint32 ids. Beyond ``most`` segments or 16 * ``most`` ids only those that came in several batches stay, or none
+    if these are many as well, so memory stays bounded and every segment is still coded in full.
     """
 
     def __init__(self, code, most: int = 200_000):
@@ -173,6 +186,16 @@ class Coded:
         self.first = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int64)
 
+    def _trim(self) -> None:
+        kept = self.known.again()
+        first, size = self.first[kept], self.size[kept]
+        if len(kept) > self.most // 2 or size.sum() > 8 * self.most:
+            self.clear()
+            return
+        self.flat = ragged(self.flat, first, size)
+        self.used = len(self.flat)
+        self.size, self.first = size, np.cumsum(size) - size
+
     def _grow(self, name: str, n: int) -> None:
         old = getattr(self, name)
         if n > len(old):
@@ -183,7 +206,7 @@ class Coded:
     def look(self, keys: np.ndarray, checks: np.ndarray, text_of) -> np.ndarray:
         """Place in first/size of each key; ``text_of(i)`` gives the i-th key's segment. Keys rise and are distinct."""
         if len(self.known) > self.most or self.used > 16 * self.most:
-            self.clear()
+            self._trim()
         got, new = self.known.look(keys, checks)
         if len(new):
             runs = self.code([text_of(i) for i in new.tolist()])

@@ -221,6 +221,27 @@ def test_known_keys_with_clashing_first_hashes():
     assert len(keys) == 3 and sorted(checks[inverse].tolist()) == [1, 2, 3]
 
 
+def test_tables_keep_what_comes_again():
+    """Tables far smaller than the vocabulary give the same ids, and keep the segments of several batches."""
+    rng = random.Random(11)
+    often = [f"often{i}" for i in range(30)]
+    coder = textvec.Coded(lambda words: [[len(w), *w.encode()] for w in words], most=100)
+    asked = 0
+    for _ in range(40):
+        words = [rng.choice(often) if rng.random() < 0.5 else f"once{rng.random()}" for _ in range(60)]
+        data = " ".join(words).encode()
+        raw = np.frombuffer(data, np.uint8)
+        key, check, starts, first = textvec.segments(raw, np.array([0, len(raw)]))
+        uniq, checks, where, inverse = textvec.distinct(key, check)
+        ends = np.append(starts[1:], len(data))
+        before = len(coder.known)
+        at = coder.look(uniq, checks, lambda i: data[starts[where[i]] : ends[where[i]]].decode())[inverse]
+        asked += len(coder.known) > before
+        got = textvec.ragged(coder.flat, coder.first[at], coder.size[at]).tolist()
+        assert got == [x for a, b in zip(starts, ends, strict=True) for x in (b - a, *data[a:b])]
+        assert len(coder.known) < 300
+
+
 def test_near_duplicates_several_trees_in_a_large_cluster(spark, monkeypatch):
     """Clusters of several blocks that hold several components: only links over block borders join some of them."""
     monkeypatch.setattr(minhash, "BLOCK", 16)
