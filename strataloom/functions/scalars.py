@@ -228,6 +228,10 @@ def arithmetic_column(s: Column) -> Column:
 
     def run(texts):
         import ast
+        import re
+
+        # Numbers are digits, a point and an exponent; separators and other bases of the host language aren't.
+        plain = re.compile(r"(?:[ \t\n()+*/%-]|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?(?![\w.]))+")
 
         def value(n) -> float:
             if isinstance(n, ast.Constant) and type(n.value) in (int, float):
@@ -250,10 +254,18 @@ def arithmetic_column(s: Column) -> Column:
 
         def one(t):
             try:
-                return value(ast.parse(t.strip(), mode="eval").body)
-            except (ValueError, SyntaxError, ZeroDivisionError, AttributeError):
+                return value(ast.parse(t.strip(), mode="eval").body) if plain.fullmatch(t) else None
+            except (ValueError, SyntaxError, ZeroDivisionError, TypeError, OverflowError, RecursionError, MemoryError):
                 return None
 
         return pd.Series([one(t) for t in texts], dtype="float64")
 
     return F.pandas_udf(run, "double", F.PandasUDFType.SCALAR)(s)
+
+
+NANO = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz-"
+
+
+def nano_id(size: int = 21, alphabet: str = NANO) -> Column:
+    """A random id of ``size`` characters of the alphabet, another one in each row and run."""
+    return F.concat(*[F.substr(F.lit(alphabet), (F.floor(F.rand() * len(alphabet)) + 1).cast("int"), F.lit(1)) for _ in range(size)])

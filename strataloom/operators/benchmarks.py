@@ -60,8 +60,8 @@ def differing(a: DataFrame, b: DataFrame, on: str, value: str, error: str) -> Da
 
 
 def costs(runs: DataFrame, prices: DataFrame, default: tuple[float, float]) -> DataFrame:
-    """Cost in dollars by the model's price per million tokens, or the default's. prices: one row per model, a fixed list."""
-    rows = runs.join(F.broadcast(prices), "model", "left")
+    """Cost in dollars by the model's price per million tokens, or the default's. prices: one row per model."""
+    rows = runs.join(prices, "model", "left")
     p_in, p_out = F.coalesce("p_in", F.lit(default[0])), F.coalesce("p_out", F.lit(default[1]))
     return rows.withColumn("cost", (F.col("input_tokens") * p_in + F.col("output_tokens") * p_out) / 1e6)
 
@@ -72,3 +72,74 @@ def re_emitted(body: Column, text: Column, size: int = 50, stride: int = 25) ->
     b, t = flat(body), flat(text)
     starts = F.sequence(F.lit(1), F.length(b) - size + 1, F.lit(stride))
     return F.when(F.length(b) >= size, F.exists(F.when(F.length(b) >= size, starts), lambda i: F.contains(t, F.substr(b, i, F.lit(size))))).otherwise(False)
+
+
+def refusals(rows: DataFrame, by: list[str], rate: str, escapes: str) -> DataFrame:
+    """Median, least and greatest refusal rate, and most escapes."""
+    return rows.groupBy(*by).agg(F.median(rate).alias("median_rate"), F.min(rate).alias("least_rate"), F.max(rate).alias("greatest_rate"), F.max(escapes).alias("most_escapes"))
+
+
+def mutants(rows: DataFrame, by: list[str], outcome: str, reason: str) -> DataFrame:
+    """Killed over all that aren't equivalent, and the survivors by reason (a map)."""
+    count = lambda c, name: F.count_if(c).alias(name)
+    o = F.col(outcome)
+    total = rows.groupBy(*by).agg(count(o != "equivalent", "non_equivalent"), count(o == "killed", "killed"))
+    left = rows.where(o == "survived").groupBy(*by, reason).agg(F.count("*").alias("_n")).groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(reason, "_n")))).alias("survivors"))
+    return total.join(left, by, "left").withColumn("score", F.round(F.try_divide("killed", "non_equivalent"), 6))
+
+
+def hypotheses(runs: DataFrame, by: str = "task") -> DataFrame:
+    """by, hc1..hc4, validated. runs: by, cell (A: strong without help, E: weak without, F: weak with help), passed, cost, cycles, failed (left out).
+
+    hc1: E never passes, or takes five times the cycles of A; hc2: F passes at least once; hc3: F costs a fifth of A at most; hc4: F and A pass equally often.
+    """
+    rows = runs.where(~F.coalesce(F.col("failed"), F.lit(False)))
+    of = lambda cell, value: F.when(F.col("cell") == cell, value)
+    passed = F.col("passed").cast("double")
+    cells = rows.groupBy(by).agg(*[f(of(c, v)).alias(f"{c}_{n}") for c in "AEF" for n, v, f in (("rate", passed, F.avg), ("any", passed, F.max), ("cost", F.col("cost"), F.avg), ("cycles", F.col("cycles"), F.avg))])
+    no = F.lit(0.0)
+    hc1 = (F.coalesce("E_any", no) == 0) | F.coalesce((F.col("A_cycles") > 0) & (F.col("E_cycles") >= 5 * F.col("A_cycles")), F.lit(False))
+    hc2 = F.coalesce("F_any", no) > 0
+    hc3 = F.coalesce((F.col("A_cost") > 0) & (F.coalesce("F_cost", no) / F.col("A_cost") <= 0.2), F.lit(False))
+    hc4 = F.abs(F.coalesce("F_rate", no) - F.coalesce("A_rate", no)) < 0.001
+    out = cells.select(by, hc1.alias("hc1"), hc2.alias("hc2"), hc3.alias("hc3"), hc4.alias("hc4"))
+    return out.withColumn("validated", F.col("hc1") & F.col("hc2") & F.col("hc3") & F.col("hc4"))
+
+
+def coherence_verdict(mean: Column, good: Column, bad: Column) -> list[Column]:
+    """passed, killed: killed under a mean of 2.5 or over 15 % bad turns; passed from a mean of 4, 90 % good and at most 5 % bad turns, if not killed."""
+    killed = F.coalesce((mean < 2.5) | (bad > 0.15), F.lit(False))
+    return [(F.coalesce((mean >= 4) & (good >= 0.9) & (bad <= 0.05), F.lit(False)) & ~killed).alias("passed"), killed.alias("killed")]
+
+
+def suite_verdict(verdicts: DataFrame, by: list[str], verdict: str = "verdict") -> DataFrame:
+    """Counts of PASS, WARN, INCONCLUSIVE and PENDING tasks, and the suite's own: PENDING or INCONCLUSIVE if all are, PASS if some pass and none warn."""
+    count = lambda v: F.count_if(F.col(verdict) == v)
+    out = verdicts.groupBy(*by).agg(F.count("*").alias("tasks"), *[count(v).alias(v.lower()) for v in ("PASS", "WARN", "INCONCLUSIVE", "PENDING")])
+    all_ = lambda v: F.col(v) == F.col("tasks")
+    own = F.when(all_("pending"), "PENDING").when(all_("inconclusive"), "INCONCLUSIVE").when((F.col("pass") > 0) & (F.col("warn") == 0), "PASS").otherwise("WARN")
+    return out.withColumn("suite", own)
+
+
+def curve(blocks: DataFrame, hits: dict[str, tuple[Column, Column]], populations: dict[str, Column], steps: int = 10) -> DataFrame:
+    """share, comparator, population, tasks, hit_rate, mean_of_ratios, ratio_of_sums: savings when a share of the registry is there.
+
+    blocks: task, place (0 to 1: the share from which a block is covered), raw. hits: by comparator whether a covered block hits, and what a hit costs.
+    populations: by name which blocks count. The shares are a spine of steps + 1 rows, so tasks are read once.
+    """
+    spine = F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("_i")
+    kinds = F.explode(F.array(*[F.struct(F.lit(n).alias("comparator"), h.alias("hit"), c.cast("double").alias("cost")) for n, (h, c) in hits.items()])).alias("_h")
+    names = F.array_compact(F.array(*[F.when(p, F.lit(n)) for n, p in populations.items()]))
+    rows = blocks.withColumn("_g", names).select("task", "place", "raw", "_g", kinds).select("task", "place", "raw", "_h", F.explode("_g").alias("population"))
+    rows = rows.select("task", "place", "raw", "population", "_h.*", spine)
+    hit = F.col("hit") & (F.col("place") * steps < F.col("_i"))
+    spent = F.when(hit, F.col("cost")).otherwise(F.col("raw"))
+    per = rows.groupBy("_i", "comparator", "population", "task").agg(F.avg(hit.cast("double")).alias("h"), F.sum("raw").alias("r"), F.sum(spent).alias("s"))
+    saved = F.coalesce(F.try_divide(F.col("r") - F.col("s"), F.col("r")), F.lit(0.0))
+    return per.groupBy((F.col("_i") / steps).alias("share"), "comparator", "population").agg(F.count("*").alias("tasks"), F.avg("h").alias("hit_rate"), F.avg(saved).alias("mean_of_ratios"), F.coalesce(F.try_divide(F.sum(F.col("r") - F.col("s")), F.sum("r")), F.lit(0.0)).alias("ratio_of_sums"))
+
+
+def economics(runs: DataFrame, by: list[str]) -> DataFrame:
+    """Runs, pass rate, mean input, output and cache tokens, dollars a run and turns of each cell."""
+    mean = lambda c: F.round(F.avg(c), 5).alias(c)
+    return runs.groupBy(*by).agg(F.count("*").alias("runs"), F.round(F.avg(F.col("passed").cast("double")), 6).alias("pass_rate"), *[mean(c) for c in ("tokens_in", "tokens_out", "tokens_cached", "cost", "turns")])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words of the intent gate.
@@ -17,8 +17,8 @@ ACTION_VERBS = (
     "lerp round truncate abs sum count measure"
 ).split()
 LEAST_WORDS, MOST_WORDS = 4, 20
-#: Fixed value: signs of an input or output in an intent.
-IO_HINT = r"(?is):\s*(string|number|boolean|object|array|uint8array|buffer|date|bigint|symbol|null|undefined|void|never)\b|\bfrom\s+|\bto\s+|\([^\n]*\)"
+#: Signs of an input or output in an intent; any of them, case aside.
+IO_HINTS = (r":\s*(string|number|boolean|object|array|uint8array|buffer|date|bigint|symbol|null|undefined|void|never)\b", r"\bfrom\s+", r"\bto\s+", r"\(.*\)")
 #: Modules of the runtime itself.
 CORE_MODULES = (
     "assert buffer child_process cluster console constants crypto dgram dns domain events fs http http2 https inspector module net "
@@ -27,6 +27,13 @@ CORE_MODULES = (
 ).split()
 
 
+def _any_of(c: Column, patterns: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for p in patterns:
+        out = out | c.rlike(f"(?i){p}")
+    return out
+
+
 def intent_tokens(text: Column) -> Column:
     raw = F.filter(F.split(F.trim(text), r"\s+"), lambda t: t != "")
     return F.transform(raw, lambda t: F.regexp_replace(F.lower(t), "^[^a-z0-9]+|[^a-z0-9]+$", ""))
@@ -41,7 +48,7 @@ def intent_gate(rows: DataFrame, text: str) -> DataFrame:
     first = F.array_compact(F.array(F.when(n < LEAST_WORDS, "too_short"), F.when(n > MOST_WORDS, "too_long"), F.when(has(STOP_WORDS), "stop_word_present"), F.when(has(META_WORDS), "meta_word_present")))
     reasons = F.when(n == 1, F.array(F.lit("single_word"))).when((F.size(first) == 0) & ~has(ACTION_VERBS) & ~predicate, F.array(F.lit("no_action_verb"))).otherwise(first)
     specific = F.size(F.filter("_t", lambda t: t.isin(ACTION_VERBS) | (F.length(t) > 6)))
-    raw = 0.5 + F.when(F.col(text).rlike(IO_HINT), 0.1).otherwise(0.0) + F.when(n.between(6, 14), 0.1).otherwise(0.0) + F.least(F.lit(0.3), 0.05 * specific)
+    raw = 0.5 + F.when(_any_of(F.col(text), IO_HINTS), 0.1).otherwise(0.0) + F.when(n.between(6, 14), 0.1).otherwise(0.0) + F.least(F.lit(0.3), 0.05 * specific)
     rows = rows.withColumn("reasons", reasons)
     return rows.withColumn("score", F.when(F.size("reasons") == 0, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 6))).drop("_t")
 
@@ -65,21 +72,25 @@ def import_class(spec: Column, workspace: str, allowed: list[str]) -> Column:
 
 
 def routed(paths: DataFrame, rules: DataFrame) -> DataFrame:
-    """path_id, rule_id, captures: the most specific rule that a path matches (literal before :name before *, left to right).
+    """path_id, rule_id, captures: the most specific rule that a path matches (literal before :name before *, left to right; then the least id).
 
-    paths: path_id, segments. rules: rule_id, parts; a last part * takes all the rest. Rules are keyed by number of parts and
-    first literal (or none); each path probes the few keys that it can match, so it is an equality join.
+    paths: path_id, segments. rules: rule_id, parts; a last part * takes all the rest. A rule's shape says which parts are literal, and its
+    key is these literals; a path makes one key for each shape of its length (and for open ones up to it), so rules meet paths in an equality
+    join, however many share a first part. Shapes are few whatever the rules.
     """
-    head = F.when(F.get("parts", 0).rlike("^(:|\\*)"), F.lit("")).otherwise(F.get("parts", 0))
-    open_end = F.element_at("parts", -1) == "*"
-    keyed = rules.withColumns({"k_n": F.when(open_end, F.lit(-1)).otherwise(F.size("parts")), "k_head": head})
-    probe = F.explode(F.array(*[F.struct(n.alias("k_n"), h.alias("k_head")) for n in (F.size("segments"), F.lit(-1)) for h in (F.get("segments", 0), F.lit(""))])).alias("k")
-    rows = paths.select("path_id", "segments", probe).select("path_id", "segments", "k.*").join(keyed, ["k_n", "k_head"])
-    fixed = F.when(F.col("k_n") == -1, F.size("parts") - 1).otherwise(F.size("parts"))
-    rows = rows.withColumn("_fixed", fixed).where(F.size("segments") >= F.col("_fixed"))
-    ok = F.forall(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: F.get("parts", i).rlike("^(:|\\*$)") | (F.get("parts", i) == F.get("segments", i)))
-    rank = F.transform("parts", lambda p: F.when(p == "*", 2).when(p.startswith(":"), 1).otherwise(0))
-    captures = F.array_compact(F.transform(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: F.when(F.get("parts", i).startswith(":"), F.get("segments", i))))
-    rows = rows.where(ok).withColumns({"_rank": rank, "captures": captures})
-    best = F.row_number().over(Window.partitionBy("path_id").orderBy("_rank", F.desc(F.size("parts")), "rule_id"))
-    return rows.withColumn("_b", best).where("_b = 1").select("path_id", "rule_id", "captures")
+    mark = lambda p: F.when(p == "*", "*").when(p.startswith(":"), ":").otherwise("L")
+    shape = F.array_join(F.transform("parts", mark), "")
+    literals = F.array_join(F.filter("parts", lambda p: mark(p) == "L"), "\x01")
+    known = rules.select("rule_id", "parts", shape.alias("shape"), literals.alias("key"))
+    open_end = F.col("shape").endswith("*")
+    shapes = known.select("shape").distinct().withColumns({"n": F.length("shape") - open_end.cast("int"), "is_open": open_end})
+    size = F.size("segments")
+    ends = F.concat(F.array(F.struct(size.alias("n"), F.lit(False).alias("is_open"))), F.transform(F.sequence(F.lit(0), size), lambda n: F.struct(n.alias("n"), F.lit(True).alias("is_open"))))
+    asked = paths.select("path_id", "segments", F.explode(ends).alias("e")).select("path_id", "segments", "e.*").join(shapes, ["n", "is_open"])
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length("shape"), F.lit(1))), lambda i: F.substr(F.col("shape"), i, F.lit(1)) == "L")
+    own = F.array_join(F.transform(at, lambda i: F.get("segments", i - 1)), "\x01")
+    rows = asked.withColumn("key", own).join(known, ["shape", "key"])
+    rank = F.translate("shape", "L:*", "012")
+    captures = F.array_compact(F.transform("parts", lambda p, i: F.when(p.startswith(":"), F.get("segments", i))))
+    least = F.min(F.struct(rank.alias("rank"), (-F.length("shape")).alias("longer"), "rule_id", captures.alias("captures"))).alias("b")
+    return rows.groupBy("path_id").agg(least).select("path_id", "b.rule_id", "b.captures")

@@ -21,8 +21,10 @@ def nf_score(purity: Column, thread: Column) -> Column:
     return 10 * purity + thread
 
 
-def reasons(want_in: Column, have_in: Column, want_out: Column, have_out: Column, want_errors: Column, have_errors: Column, want_purity: Column, have_purity: Column, want_thread: Column, have_thread: Column) -> Column:
-    """All reasons why a candidate doesn't do for a caller; none where it matches. Inputs and outputs are arrays compared place by place."""
+def reasons(want_in: Column, have_in: Column, want_out: Column, have_out: Column, want_errors: Column, have_errors: Column, want_purity: Column, have_purity: Column, want_thread: Column, have_thread: Column, costs: dict[str, tuple[Column, Column]] | None = None) -> Column:
+    """All reasons why a candidate doesn't do for a caller; none where it matches. Inputs and outputs are arrays, of (name, type) or of one
+    of these, compared place by place. costs: time and space of both sides by name, equal where both are given.
+    """
     extra = F.array_except(have_errors, want_errors)
     return F.array_compact(
         F.array(
@@ -33,6 +35,7 @@ def reasons(want_in: Column, have_in: Column, want_out: Column, have_out: Column
             F.when(F.size(extra) > 0, "undeclared_error"),
             F.when(have_purity < want_purity, "purity"),
             F.when(have_thread < want_thread, "thread_safety"),
+            *[F.when(want != have, name) for name, (want, have) in (costs or {}).items()],
         )
     )
 
@@ -44,3 +47,60 @@ def strict_enough(want: Column, have: Column) -> Column:
 
 def best_per(rows: DataFrame, by: str, *order) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where("_r = 1").drop("_r")
+
+
+def lowerable(rows: DataFrame, status: Column, language: Column) -> DataFrame:
+    """rows with lowerable (yes, no, unknown). Python blocks that are known not to lower drop out; Go and Rust are always unknown, and
+    for TypeScript nothing is marked or dropped."""
+    known = F.when(status.isin("yes", "no"), status).otherwise("unknown")
+    mark = F.when(language == "ts", F.lit(None).cast("string")).when(language.isin("go", "rs"), "unknown").otherwise(known)
+    return rows.withColumn("lowerable", mark).where(~F.coalesce((language == "py") & (F.col("lowerable") == "no"), F.lit(False)))
+
+
+def reranked(rows: DataFrame, match: Column, by: str = "query_id") -> DataFrame:
+    """Candidates by (1 - distance) + match, 1 for a structural match and 0 else; equals keep their order (rank)."""
+    got = rows.withColumn("score", F.round(1 - F.col("distance") + match.cast("int"), 6)).withColumnRenamed("rank", "prior")
+    return got.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "prior"))).drop("prior")
+
+
+def tiebreaks(rows: DataFrame, tests: Column, by: str = "query_id", near: float = 0.02) -> DataFrame:
+    """by, reason: why the first of two candidates within ``near`` leads: more_tests, else lexicographic; none if the second is farther."""
+    w = Window.partitionBy(by).orderBy("rank")
+    first = rows.withColumn("_t", tests).withColumns({"_s": F.lead("score").over(w), "_n": F.lead("_t").over(w)}).where("rank = 1")
+    reason = F.when(F.col("_s").isNull() | (F.col("score") - F.col("_s") > near), "none").when(F.col("_t") > F.col("_n"), "more_tests").otherwise("lexicographic")
+    return first.select(by, reason.alias("reason"))
+
+
+def too_many(rows: DataFrame, by: str, score: str, most: int = 10, most_strong: int = 3, strong: float = 0.7) -> DataFrame:
+    """by, n, strong, too_many: over ``most`` results, or over ``most_strong`` of ``strong`` or more."""
+    out = rows.groupBy(by).agg(F.count("*").alias("n"), F.count_if(F.col(score) >= strong).alias("strong"))
+    return out.withColumn("too_many", (F.col("n") > most) | (F.col("strong") > most_strong))
+
+
+#: Dimensions of a query that a hint may name when it is ambiguous.
+DIMENSIONS = ("inputs", "outputs", "purity", "thread")
+
+
+def resolved(rows: DataFrame, asked: DataFrame, by: str = "query_id", near: float = 0.02, crowd: int = 5) -> DataFrame:
+    """by, status, close, hint. rows: by, score. asked: by, hash_hit (a lookup by hash succeeded: matched with score 1) and DIMENSIONS, null where absent.
+
+    Status by the best score; the hint names the absent dimensions when ``crowd`` or more candidates lie within ``near`` of it.
+    """
+    top = rows.groupBy(by).agg(F.max("score").alias("top"))
+    close = rows.join(top, by).groupBy(by).agg(F.first("top").alias("top"), F.count_if(F.col("top") - F.col("score") <= near).alias("close"))
+    out = asked.join(close, by, "left")
+    status = F.when(F.col("hash_hit") | (F.col("top") >= 0.7), "matched").when(F.col("top") >= 0.5, "weak_only").otherwise("no_match")
+    absent = F.array_join(F.array_compact(F.array(*[F.when(F.col(d).isNull(), F.lit(d)) for d in DIMENSIONS])), ",")
+    n = F.coalesce("close", F.lit(0))
+    return out.select(by, status.alias("status"), n.alias("close"), F.when(~F.col("hash_hit") & (n >= crowd), absent).alias("hint"))
+
+
+def rescored(rows: DataFrame, status: Column, mode: str, by: str = "query_id", penalty: float = 0.2, bonus: float = 0.05) -> DataFrame:
+    """Scores moved by proof status and ranked again, equals in their order: retracted ones lose, accepted ones gain if mode is preferred; mode
+    required keeps accepted ones only."""
+    moved = F.when(status == "retracted", -penalty).when((status == "accepted") & F.lit(mode == "preferred"), bonus).otherwise(0.0)
+    got = rows.withColumn("_keep", F.coalesce(status == "accepted", F.lit(False))).withColumn("_new", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score") + moved)), 6))
+    if mode == "required":
+        got = got.where("_keep")
+    got = got.withColumn("score", F.col("_new")).withColumnRenamed("rank", "prior").drop("_keep", "_new")
+    return got.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "prior"))).drop("prior")

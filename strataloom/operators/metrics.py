@@ -45,3 +45,19 @@ def worst(queries: DataFrame, n: int, by: str | None = None) -> DataFrame:
     if by is None:
         return queries.orderBy(*order).limit(n)
     return queries.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
+
+
+def reliability_diagram(queries: DataFrame, bins: int = 10) -> DataFrame:
+    """bin, low, n, mean_score, p_right: the calibration of top scores in equal bins; every bin has a row."""
+    spine = queries.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    b = F.least(F.floor(F.col("top_score") * bins), F.lit(bins - 1)).cast("int")
+    got = queries.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg("top_score").alias("s"), F.avg(F.col("top_right").cast("double")).alias("p"))
+    rows = spine.join(got, "bin", "left")
+    return rows.select("bin", (F.col("bin") / bins).alias("low"), F.coalesce("n", F.lit(0)).alias("n"), F.round("s", 6).alias("mean_score"), F.round("p", 6).alias("p_right"))
+
+
+def judged(results: DataFrame, expected: DataFrame) -> DataFrame:
+    """results (query_id, id, rank, score) with relevant, joined to what is expected (query_id, ids: the expected one or any acceptable). Queries that expect nothing
+    aren't eligible and drop out; results stay whole otherwise, and an eligible query without results gives one row of nulls."""
+    rows = expected.where("ids is not null and size(ids) > 0").join(results, "query_id", "left")
+    return rows.select("query_id", "id", "rank", "score", F.coalesce(F.array_contains("ids", F.col("id")), F.lit(False)).alias("relevant"))

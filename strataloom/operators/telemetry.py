@@ -73,13 +73,27 @@ def paired(markers: DataFrame) -> DataFrame:
     return per.where("begin is not null")
 
 
-def within(tasks: DataFrame, events: DataFrame, key: str, width: int) -> DataFrame:
+def within(tasks: DataFrame, events: DataFrame, key: str, width: int | None = None) -> DataFrame:
     """Tasks joined with the events of their key in begin..end, both ends included; an event may lie in several tasks.
 
     Both sides carry time buckets of ``width``: a task one row per bucket it touches, an event its own, so
-    it is an equality join on (key, bucket) and no key meets all its events at once.
+    it is an equality join on (key, bucket) and no key meets all its events at once. Without a width, buckets are as wide as the
+    mean task is long, so tasks take two buckets on average, whatever their unit.
     """
+    if width is None:
+        width = max(1, int(tasks.where("end >= begin").agg(F.avg(F.col("end") - F.col("begin"))).first()[0] or 1))
     bucket = lambda c: F.floor(c / width).cast("long")
     t = tasks.where("end is not null and end >= begin").withColumn("_b", F.explode(F.sequence(bucket(F.col("begin")), bucket(F.col("end")))))
     e = events.withColumn("_b", bucket(F.col("t")))
     return t.join(e, [key, "_b"]).where("t >= begin and t <= end").drop("_b")
+
+
+KILL_RATE = 0.3
+
+
+def sprint(categories: DataFrame, least_tasks: int = 30, killer: str = "boilerplate", kill_rate: float = KILL_RATE) -> DataFrame:
+    """verdict, tasks, killed of rows category, tasks, rate, pass: too few tasks, all passed, none, or mixed; killed when the category that decides is below
+    its rate (a category without tasks or rate decides nothing)."""
+    verdict = F.when(F.coalesce(F.sum("tasks"), F.lit(0)) < least_tasks, "INSUFFICIENT_DATA").when(F.bool_and("pass"), "PASS").when(~F.bool_or("pass"), "FAIL").otherwise("MIXED")
+    killed = F.coalesce(F.bool_or((F.col("category") == killer) & (F.col("tasks") > 0) & (F.col("rate") < kill_rate)), F.lit(False))
+    return categories.agg(verdict.alias("verdict"), F.coalesce(F.sum("tasks"), F.lit(0)).alias("tasks"), killed.alias("killed"))

@@ -31,9 +31,16 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.when(denominator == 0, 0.0).otherwise(dot / denominator))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; zero rows stay."""
+    n = np.sqrt((x * x).sum(1))
+    return x / np.where(n > 0, n, 1)[:, None]
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", metric: str = "l2") -> DataFrame:
     """query_id, id, distance (L2, rounded to DIGITS), rank 1..k by (distance, id) for every query vector.
 
+    metric cosine: the distance is that of unit vectors, sqrt(max(0, 2 - 2 cos)), with a cosine of 0 for zero vectors.
     Queries go to the executors in blocks of bounded size; each task keeps k rows a query, so what is shuffled is
     k rows a query and task, whatever the table. Vectors of another length than the query's are skipped.
     """
@@ -45,11 +52,11 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     kind = vectors.schema[id_col].dataType.simpleString()
     found = None
     for n in range(blocks):
-        own = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).collect()  # BLOCK_QUERIES rows, about
-        by_dim: dict[int, list] = {}
-        for r in own:
-            by_dim.setdefault(len(r["q"]), []).append(r)
-        given = spark.sparkContext.broadcast({d: (np.array([r["query_id"] for r in rs]), np.array([r["q"] for r in rs], np.float64)) for d, rs in by_dim.items()})
+        own = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).toArrow().combine_chunks()  # BLOCK_QUERIES rows, about
+        lists = own.column("q").combine_chunks() if own.num_rows else pa.array([], pa.list_(pa.float64()))
+        names, sizes = own.column("query_id").to_numpy(), np.diff(lists.offsets.to_numpy())
+        by_dim = {int(d): np.flatnonzero(sizes == d) for d in np.unique(sizes)}
+        given = spark.sparkContext.broadcast({d: (names[at], lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), d)) for d, at in by_dim.items()})
 
         def nearest(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
             best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -62,9 +69,11 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
                     if not len(at):
                         continue
                     v = column.take(pa.array(at)).flatten().to_numpy().reshape(-1, d)
+                    v = _units(v) if metric == "cosine" else v
                     for a in range(0, len(qs), 1024):
                         part = qs[a : a + 1024]
-                        square = (part * part).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * part @ v.T
+                        ends = 2 if metric == "cosine" else (part * part).sum(1)[:, None] + (v * v).sum(1)[None, :]
+                        square = ends - 2 * (_units(part) if metric == "cosine" else part) @ v.T
                         dist = np.round(np.sqrt(np.maximum(square, 0)), DIGITS)
                         who = np.broadcast_to(ids[at], dist.shape)
                         key = (d, a)
@@ -98,17 +107,22 @@ def confidence_tier(ranked: DataFrame, by: str = "query_id") -> DataFrame:
 def discover(cards: DataFrame, vectors: DataFrame, blocks: DataFrame, top_k: int = 10, min_score: float = 0.0) -> DataFrame:
     """The five-stage query for many cards at once: one row per candidate or, where a card has none, near miss.
 
-    cards: card_id, embedding, outputs (null: no signature), purity, thread (ranks; null: not asked for).
-    vectors: spec_id, embedding. blocks: best block per spec: spec_id, root, outputs, n_errors, purity, thread.
+    cards: card_id, embedding, inputs, outputs (arrays; both null: no signature, one null: an empty list), purity, thread (ranks; null: not asked for).
+    vectors: spec_id, embedding. blocks: best block per spec: spec_id, root, inputs, outputs, n_errors, purity, thread.
+    A table without the column inputs counts as one where it is null (cards) or empty (blocks).
     A card takes the max(5 * top_k, 50) nearest specs; specs without a block drop out and aren't filled up again.
     failed_at names the first failing layer; candidates have null there.
     """
+    none = F.expr("cast(array() as array<string>)")
+    cards = cards if "inputs" in cards.columns else cards.withColumn("inputs", F.lit(None).cast("array<string>"))
+    blocks = blocks if "inputs" in blocks.columns else blocks.withColumn("inputs", none)
     k = max(5 * top_k, 50)
     near = knn(vectors.select(F.col("spec_id").alias("vec_id"), "embedding"), cards.select(F.col("card_id").alias("vec_id"), "embedding"), k)
-    asked = cards.select(F.col("card_id").alias("query_id"), F.col("outputs").alias("q_outputs"), F.col("purity").alias("q_purity"), F.col("thread").alias("q_thread"))
+    asked = cards.select(F.col("card_id").alias("query_id"), F.col("inputs").alias("q_inputs"), F.col("outputs").alias("q_outputs"), F.col("purity").alias("q_purity"), F.col("thread").alias("q_thread"))
     rows = near.join(blocks, near["id"] == blocks["spec_id"]).join(asked, "query_id")
     score = score_of(F.col("distance"))
-    structural = F.col("q_outputs").isNotNull() & ~((F.col("q_outputs") == F.col("outputs")) & (F.col("n_errors") == 0))
+    same = (F.coalesce("q_inputs", none) == F.col("inputs")) & (F.coalesce("q_outputs", none) == F.col("outputs")) & (F.col("n_errors") == 0)
+    structural = (F.col("q_inputs").isNotNull() | F.col("q_outputs").isNotNull()) & ~same
     strict = ~(F.coalesce(F.col("purity") >= F.col("q_purity"), F.lit(True)) & F.coalesce(F.col("thread") >= F.col("q_thread"), F.lit(True)))
     failed = F.when(structural, "structural").when(strict, "strictness").when(score < min_score, "min_score")
     rows = rows.select("query_id", "root", F.round(score, DIGITS).alias("score"), failed.alias("failed_at"))

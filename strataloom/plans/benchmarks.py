@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import benchmarks as B
+from ..operators import registry as R
 from .registering import slice_of, table
 
 QUERIES, SQL, query = slice_of()
@@ -91,11 +92,12 @@ def latency_summary(spark, sf_dir):
     return B.latency(e, ["kind"], "ms")
 
 
-@query("SELECT lang, count(*) AS blocks, count(DISTINCT doc_id) FILTER (text LIKE '%icense%') AS having, count(*) FILTER (length(text) < 200) AS placeholder, count(*) FILTER (l.doc_id IS NULL) AS missing, count(*) FILTER (length(text) >= 200 AND l.doc_id IS NOT NULL) AS real FROM documents LEFT JOIN (SELECT doc_id AS doc_id FROM labels) l USING (doc_id) GROUP BY lang".replace("count(*) FILTER (l.doc_id IS NULL)", "count(*) FILTER (l.doc_id IS NULL)"))
+@query("SELECT lang, count(*) AS blocks, count(DISTINCT doc_id) FILTER (text LIKE '%icense%') AS having, count(*) FILTER (length(text) < 200 AND l.doc_id IS NOT NULL) AS placeholder, count(*) FILTER (l.doc_id IS NULL) AS missing, count(*) FILTER (length(text) >= 200 AND l.doc_id IS NOT NULL) AS real FROM documents LEFT JOIN (SELECT doc_id AS doc_id FROM labels) l USING (doc_id) GROUP BY lang")
 def artifact_audit(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("has")), "doc_id", "left")
-    n = F.length("text")
-    return d.groupBy("lang").agg(F.count("*").alias("blocks"), F.count_distinct(F.when(F.col("text").like("%icense%"), F.col("doc_id"))).alias("having"), F.count_if(n < 200).alias("placeholder"), F.count_if(F.col("has").isNull()).alias("missing"), F.count_if((n >= 200) & F.col("has").isNotNull()).alias("real"))
+    d = d.withColumn("status", R.artifact_status(F.col("text"), F.col("has").isNotNull()))
+    count = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return d.groupBy("lang").agg(F.count("*").alias("blocks"), F.count_distinct(F.when(F.col("text").like("%icense%"), F.col("doc_id"))).alias("having"), count("placeholder"), count("missing"), count("real"))
 
 
 @query("""WITH a AS (SELECT p_partkey AS id, CASE WHEN p_size % 7 <> 0 THEN p_size % 5 END AS v, CASE WHEN p_size % 7 = 0 THEN 'TypeError' END AS e FROM part), b AS (SELECT p_partkey AS id, CASE WHEN p_size % 3 <> 0 THEN p_size % 5 + (p_partkey % 11 = 0)::INT END AS v, CASE WHEN p_size % 3 = 0 THEN CASE WHEN p_size % 2 = 0 THEN 'TypeError' ELSE 'RangeError' END END AS e FROM part WHERE p_partkey % 13 <> 0),
@@ -145,10 +147,10 @@ def running_stats(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_linestatus").alias("grp")).agg(F.count("*").alias("n"), F.round(F.sum(x), 2).alias("total"), F.round(F.avg(x), 4).alias("mean"), F.round(F.var_samp(x), 0).alias("variance"), F.round(F.stddev_samp(x), 3).alias("deviation"), F.min(x).alias("lo"), F.max(x).alias("hi"))
 
 
-@query("SELECT CASE WHEN n_chars < 300 THEN 'foreign' WHEN lang = 'es' THEN 'unresolved' WHEN source = 'src0' THEN 'null_provenance' ELSE 'other' END AS reason, source, count(*) AS blocks FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY ALL")
+@query("SELECT CASE WHEN n_chars < 300 THEN 'foreign' WHEN lang = 'es' THEN 'unresolved' WHEN source = 'src0' THEN 'null_provenance' WHEN doc_id % 4 = 0 THEN 'glue_absorbed' ELSE 'other' END AS reason, source, count(*) AS blocks FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY ALL")
 def gap_report(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
-    reason = F.when(F.col("n_chars") < 300, "foreign").when(F.col("lang") == "es", "unresolved").when(F.col("source") == "src0", "null_provenance").otherwise("other")
+    reason = R.gap_reason(F.col("n_chars") < 300, F.col("lang") == "es", F.col("source") == "src0", F.col("doc_id") % 4 == 0)
     return d.groupBy(reason.alias("reason"), "source").agg(F.count("*").alias("blocks"))
 
 

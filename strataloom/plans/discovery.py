@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import matching as M
 from ..operators import vectors as V
 from .registering import slice_of, table
 
@@ -63,7 +64,7 @@ def substitute_decision(spark, sf_dir):
 #: Blocks of a spec: documents by doc_id // 2; the best has a passing label, then the smallest root.
 _BEST = """b AS (SELECT d.doc_id // 2 AS spec_id, sha256(d.text) AS root, coalesce(l.quality, 0) AS passing FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 best AS (SELECT spec_id, root FROM (SELECT *, row_number() OVER (PARTITION BY spec_id ORDER BY passing DESC, root) AS r FROM b) WHERE r = 1),
-blocks AS (SELECT best.spec_id, root, [p_type] AS outputs, CASE WHEN p_size % 5 = 0 THEN 1 ELSE 0 END AS n_errors, p_size % 4 AS purity, p_size % 3 AS thread FROM best JOIN part ON p_partkey = best.spec_id)"""
+blocks AS (SELECT best.spec_id, root, CASE WHEN p_size % 6 = 0 THEN [] ELSE [p_brand] END AS inputs, CASE WHEN p_size % 7 = 0 THEN [] ELSE [p_type] END AS outputs, CASE WHEN p_size % 5 = 0 THEN 1 ELSE 0 END AS n_errors, p_size % 4 AS purity, p_size % 3 AS thread FROM best JOIN part ON p_partkey = best.spec_id)"""
 
 
 def best_blocks(spark, sf_dir):
@@ -71,15 +72,16 @@ def best_blocks(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("root")).join(labels, "doc_id", "left")
     rows = rows.select(F.expr("doc_id div 2").alias("spec_id"), "root", F.coalesce("quality", F.lit(0)).alias("passing"))
     best = rows.groupBy("spec_id").agg(F.min(F.struct((-F.col("passing")).alias("o"), "root")).alias("b")).select("spec_id", "b.root")
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("spec_id"), F.array("p_type").alias("outputs"), F.when(F.col("p_size") % 5 == 0, 1).otherwise(0).alias("n_errors"), (F.col("p_size") % 4).alias("purity"), (F.col("p_size") % 3).alias("thread"))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("spec_id"), F.when(F.col("p_size") % 6 == 0, F.expr("cast(array() as array<string>)")).otherwise(F.array("p_brand")).alias("inputs"), F.when(F.col("p_size") % 7 == 0, F.expr("cast(array() as array<string>)")).otherwise(F.array("p_type")).alias("outputs"), F.when(F.col("p_size") % 5 == 0, 1).otherwise(0).alias("n_errors"), (F.col("p_size") % 4).alias("purity"), (F.col("p_size") % 3).alias("thread"))
     return best.join(part, "spec_id")
 
 
 def discovered(spark, sf_dir, min_score):
-    rows = cards(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("vec_id"), "p_type", "p_size"), "vec_id")
+    rows = cards(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("vec_id"), "p_type", "p_brand", "p_size"), "vec_id")
     asked = rows.select(
         F.col("vec_id").alias("card_id"),
         "embedding",
+        F.when(F.expr("vec_id % 500 = 0"), F.array("p_brand")).alias("inputs"),
         F.when(F.expr("vec_id % 300 = 0"), F.array("p_type")).alias("outputs"),
         F.when(F.expr("vec_id % 200 = 0"), F.col("p_size") % 4).alias("purity"),
         F.when(F.expr("vec_id % 200 = 0"), F.col("p_size") % 3).alias("thread"),
@@ -90,8 +92,8 @@ def discovered(spark, sf_dir, min_score):
 
 def _discover_sql(min_score: float) -> str:
     return f"""WITH {KNN50}, {_BEST},
-c AS (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 300 = 0 THEN [p_type] END AS q_outputs, CASE WHEN p_partkey % 200 = 0 THEN p_size % 4 END AS q_purity, CASE WHEN p_partkey % 200 = 0 THEN p_size % 3 END AS q_thread FROM part),
-f AS (SELECT t.query_id, root, score, CASE WHEN q_outputs IS NOT NULL AND NOT (q_outputs = outputs AND n_errors = 0) THEN 'structural'
+c AS (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 500 = 0 THEN [p_brand] END AS q_inputs, CASE WHEN p_partkey % 300 = 0 THEN [p_type] END AS q_outputs, CASE WHEN p_partkey % 200 = 0 THEN p_size % 4 END AS q_purity, CASE WHEN p_partkey % 200 = 0 THEN p_size % 3 END AS q_thread FROM part),
+f AS (SELECT t.query_id, root, score, CASE WHEN (q_inputs IS NOT NULL OR q_outputs IS NOT NULL) AND NOT (coalesce(q_inputs, []) = inputs AND coalesce(q_outputs, []) = outputs AND n_errors = 0) THEN 'structural'
   WHEN NOT (coalesce(purity >= q_purity, true) AND coalesce(thread >= q_thread, true)) THEN 'strictness'
   WHEN score < {min_score} THEN 'min_score' END AS failed_at
   FROM t JOIN c ON t.query_id = c.query_id JOIN blocks ON blocks.spec_id = t.id),
@@ -121,22 +123,26 @@ r AS (SELECT query_id, id, rank, round(least(1, greatest(0, score + CASE status
 SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank)::INT AS rank FROM r""")
 def proof_rescoring(spark, sf_dir):
     """Scores moved by proof status (retracted down, accepted up), clamped and ranked again; equals keep their order."""
-    rows = top10(spark, sf_dir)
-    status = F.when(F.col("id") % 7 == 0, -0.2).when(F.col("id") % 3 == 0, 0.05).otherwise(0.0)
-    new = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score") + status)), 6)
-    rows = rows.select("query_id", "id", F.col("rank").alias("prior"), new.alias("score"))
-    return rows.select("query_id", "id", "score", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "prior")).alias("rank"))
+    status = F.when(F.col("id") % 7 == 0, "retracted").when(F.col("id") % 3 == 0, "accepted")
+    return M.rescored(top10(spark, sf_dir), status, "preferred").select("query_id", "id", "score", "rank")
+
+
+@query(f"WITH {KNN10} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank)::INT AS rank FROM t WHERE id % 3 = 0 AND id % 7 <> 0")
+def proof_required(spark, sf_dir):
+    """Only accepted candidates stay."""
+    status = F.when(F.col("id") % 7 == 0, "retracted").when(F.col("id") % 3 == 0, "accepted")
+    return M.rescored(top10(spark, sf_dir), status, "required").select("query_id", "id", "score", "rank")
 
 
 @query(f"""WITH {KNN10}, m AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM t)
-SELECT query_id, CASE WHEN max(top) >= 0.7 THEN 'matched' WHEN max(top) >= 0.5 THEN 'weak_only' ELSE 'no_match' END AS status,
-count(*) FILTER (top - score <= 0.02) AS close, count(*) FILTER (top - score <= 0.02) >= 5 AS ask FROM m GROUP BY query_id""")
+SELECT query_id, CASE WHEN query_id % 700 = 0 OR max(top) >= 0.7 THEN 'matched' WHEN max(top) >= 0.5 THEN 'weak_only' ELSE 'no_match' END AS status,
+count(*) FILTER (top - score <= 0.02) AS close, CASE WHEN query_id % 700 <> 0 AND count(*) FILTER (top - score <= 0.02) >= 5 THEN CASE WHEN query_id % 200 = 0 THEN '' ELSE 'inputs,' END || CASE WHEN query_id % 300 = 0 THEN '' ELSE 'outputs,' END || 'purity,thread' END AS hint FROM m GROUP BY query_id""")
 def resolve_status(spark, sf_dir):
-    """Status by the best score, and whether five or more candidates lie within 0.02 of it."""
-    rows = top10(spark, sf_dir).withColumn("top", F.max("score").over(Window.partitionBy("query_id")))
-    close = F.count_if(F.col("top") - F.col("score") <= 0.02)
-    top = F.max("top")
-    return rows.groupBy("query_id").agg(F.when(top >= 0.7, "matched").when(top >= 0.5, "weak_only").otherwise("no_match").alias("status"), close.alias("close"), (close >= 5).alias("ask"))
+    """Status by the best score or a hit by hash, and the dimensions that a query with many close candidates could name."""
+    k = F.col("vec_id")
+    none = F.lit(None).cast("string")
+    asked = cards(spark, sf_dir).select(k.alias("query_id"), (k % 700 == 0).alias("hash_hit"), F.when(k % 200 == 0, "i").alias("inputs"), F.when(k % 300 == 0, "o").alias("outputs"), none.alias("purity"), none.alias("thread"))
+    return M.resolved(top10(spark, sf_dir), asked)
 
 
 @query(f"""WITH {KNN10}, local AS (SELECT query_id, substr(sha256(id::VARCHAR), 1, 8) AS address, score, rank FROM t WHERE rank <= 5),

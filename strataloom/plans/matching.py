@@ -5,26 +5,27 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import matching as M
+from ..operators.blocks import against, best
 from .registering import slice_of, table
 
 QUERIES, SQL, query = slice_of()
 
-_SPECS = "s AS (SELECT p_partkey AS id, string_split(p_name, ' ') AS ins, [p_type] AS outs, [p_brand] AS errs, p_size % 4 AS purity, p_size % 3 AS thread FROM part)"
-_PAIRS = f"WITH {_SPECS}, p AS (SELECT a.id AS a, b.id AS b, a.ins AS wi, b.ins AS hi, a.outs AS wo, b.outs AS ho, a.errs AS we, b.errs AS he, a.purity AS wp, b.purity AS hp, a.thread AS wt, b.thread AS ht FROM s a JOIN s b ON a.ins[1] = b.ins[1] WHERE a.id % 100 = 0)"
-_REASONS = "list_filter([CASE WHEN len(wi) != len(hi) THEN 'input_count' END, CASE WHEN len(wi) = len(hi) AND wi != hi THEN 'input_mismatch' END, CASE WHEN len(wo) != len(ho) THEN 'output_count' END, CASE WHEN len(wo) = len(ho) AND wo != ho THEN 'output_mismatch' END, CASE WHEN len(list_filter(he, lambda x: NOT list_contains(we, x))) > 0 THEN 'undeclared_error' END, CASE WHEN hp < wp THEN 'purity' END, CASE WHEN ht < wt THEN 'thread_safety' END], lambda x: x IS NOT NULL)"
+_SPECS = "s AS (SELECT p_partkey AS id, [x || ':' || p_type FOR x IN string_split(p_name, ' ')] AS ins, ['out:' || p_type] AS outs, [p_brand] AS errs, p_size % 4 AS purity, p_size % 3 AS thread, CASE WHEN p_size % 5 <> 0 THEN p_size % 2 END AS time FROM part)"
+_PAIRS = f"WITH {_SPECS}, p AS (SELECT a.id AS a, b.id AS b, a.ins AS wi, b.ins AS hi, a.outs AS wo, b.outs AS ho, a.errs AS we, b.errs AS he, a.purity AS wp, b.purity AS hp, a.thread AS wt, b.thread AS ht, a.time AS wc, b.time AS hc FROM s a, s b WHERE a.id % 100 = 0)"
+_REASONS = "list_filter([CASE WHEN len(wi) != len(hi) THEN 'input_count' END, CASE WHEN len(wi) = len(hi) AND wi != hi THEN 'input_mismatch' END, CASE WHEN len(wo) != len(ho) THEN 'output_count' END, CASE WHEN len(wo) = len(ho) AND wo != ho THEN 'output_mismatch' END, CASE WHEN len(list_filter(he, lambda x: NOT list_contains(we, x))) > 0 THEN 'undeclared_error' END, CASE WHEN hp < wp THEN 'purity' END, CASE WHEN ht < wt THEN 'thread_safety' END, CASE WHEN wc <> hc THEN 'time' END], lambda x: x IS NOT NULL)"
 
 
 def specs(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.split("p_name", " ").alias("ins"), F.array("p_type").alias("outs"), F.array("p_brand").alias("errs"), (F.col("p_size") % 4).alias("purity"), (F.col("p_size") % 3).alias("thread"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.transform(F.split("p_name", " "), lambda x: F.struct(x.alias("name"), F.col("p_type").alias("type"))).alias("ins"), F.array(F.struct(F.lit("out").alias("name"), F.col("p_type").alias("type"))).alias("outs"), F.array("p_brand").alias("errs"), (F.col("p_size") % 4).alias("purity"), (F.col("p_size") % 3).alias("thread"), F.when(F.col("p_size") % 5 != 0, F.col("p_size") % 2).alias("time"))
 
 
 def pairs(spark, sf_dir):
-    """Every hundredth specification against all with the same first input."""
+    """Every hundredth specification against all."""
     s = specs(spark, sf_dir)
     a = s.where("id % 100 = 0").select(F.col("id").alias("a"), *[F.col(c).alias(f"w_{c}") for c in s.columns[1:]])
     b = s.select(F.col("id").alias("b"), *[F.col(c).alias(f"h_{c}") for c in s.columns[1:]])
-    rows = a.join(b, F.col("w_ins")[0] == F.col("h_ins")[0])
-    got = M.reasons(*[F.col(f"{side}_{c}") for c in ("ins", "outs", "errs", "purity", "thread") for side in ("w", "h")])
+    rows = against(a, b)
+    got = M.reasons(*[F.col(f"{side}_{c}") for c in ("ins", "outs", "errs", "purity", "thread") for side in ("w", "h")], costs={"time": (F.col("w_time"), F.col("h_time"))})
     return rows.withColumn("reasons", got)
 
 
@@ -51,10 +52,8 @@ def nf_score(spark, sf_dir):
     return specs(spark, sf_dir).select("id", M.nf_score(F.col("purity"), F.col("thread")).alias("score"))
 
 
-@query(f"{_PAIRS}, r AS (SELECT a, b, 1.0 - len({_REASONS}) / 7.0 AS match FROM p), o AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY match DESC, b) AS rank FROM r) SELECT a, b, round(match, 6)::DOUBLE AS match, rank::INT AS rank FROM o WHERE rank <= 5")
+@query(f"{_PAIRS}, r AS (SELECT a, b, 1.0 - len({_REASONS}) / 8.0 AS match FROM p), o AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY match DESC, b) AS rank FROM r) SELECT a, b, round(match, 6)::DOUBLE AS match, rank::INT AS rank FROM o WHERE rank <= 5")
 def structural_search(spark, sf_dir):
     """The five best candidates by the share of checks that hold."""
-    from pyspark.sql import Window
-
-    rows = pairs(spark, sf_dir).select("a", "b", (1 - F.size("reasons") / 7).alias("match"))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("match"), "b"))).where("rank <= 5").withColumn("match", F.round("match", 6))
+    rows = pairs(spark, sf_dir).select("a", "b", (1 - F.size("reasons") / 8).alias("match"))
+    return best(rows, ["a"], [F.desc("match"), F.col("b")], 5, F.col("b")).withColumn("match", F.round("match", 6))

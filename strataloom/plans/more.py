@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..operators import ledger as L
+from ..operators import matching as M
 from ..operators import registry as R
-from ..operators import vectors as V
+from ..operators import validation as C
 from .discovery import KNN10, top10
 from .registering import slice_of, table
 from .store import BLOCKS, blocks
@@ -52,24 +52,24 @@ def embedding_export(spark, sf_dir):
 def intent_cache(spark, sf_dir):
     """Lookups in a keyed cache: absent and damaged entries are misses."""
     d = table(spark, sf_dir, "documents").select("doc_id", R.sha(F.col("text")).alias("key"))
-    cache = d.where("doc_id % 2 = 0").groupBy("key").agg(F.bool_and(F.col("doc_id") % 10 == 0).alias("damaged"))
-    miss = F.coalesce("damaged", F.lit(True))
-    return d.join(cache, "key", "left").groupBy(F.substring("key", 1, 1).alias("shard")).agg(F.count_if(~miss).alias("hits"), F.count_if(miss).alias("misses"))
+    cache = d.where("doc_id % 2 = 0").select("key", F.col("doc_id").alias("value"))
+    rows = R.looked_up(d, cache, "key", "value", F.col("value") % 10 != 0)
+    return rows.groupBy(F.substring("key", 1, 1).alias("shard")).agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'yes' WHEN doc_id % 3 = 1 THEN 'unknown' ELSE 'no' END AS lowerable FROM documents WHERE doc_id % 3 <> 2 OR lang <> 'fr'")
+@query("WITH d AS (SELECT doc_id, CASE lang WHEN 'fr' THEN 'py' WHEN 'de' THEN 'go' WHEN 'es' THEN 'rs' ELSE 'ts' END AS l, CASE doc_id % 3 WHEN 0 THEN 'yes' WHEN 2 THEN 'no' END AS s FROM documents) SELECT doc_id, CASE WHEN l = 'ts' THEN NULL WHEN l IN ('go', 'rs') THEN 'unknown' ELSE coalesce(s, 'unknown') END AS lowerable FROM d WHERE l <> 'py' OR coalesce(s, '') <> 'no'")
 def lowerability_filter(spark, sf_dir):
-    """French blocks take the strict rule: those known not to lower drop out; the others are only marked."""
+    """Four languages stand for the targets; the status of a block comes from its id."""
     k = F.col("doc_id") % 3
-    mark = F.when(k == 0, "yes").when(k == 1, "unknown").otherwise("no")
-    return table(spark, sf_dir, "documents").where(~((k == 2) & (F.col("lang") == "fr"))).select("doc_id", mark.alias("lowerable"))
+    target = F.when(F.col("lang") == "fr", "py").when(F.col("lang") == "de", "go").when(F.col("lang") == "es", "rs").otherwise("ts")
+    return M.lowerable(table(spark, sf_dir, "documents"), F.when(k == 0, "yes").when(k == 2, "no"), target).select("doc_id", "lowerable")
 
 
-@query("SELECT doc_id, CASE WHEN length(text) NOT BETWEEN 1 AND 5000 THEN 'behavior' WHEN NOT regexp_matches(substr(sha256(text), 1, 64 - (doc_id % 5 = 0)::INT), '^[0-9a-f]{64}$') THEN 'source_hash' END AS broken FROM documents")
+@query("SELECT doc_id, array_to_string(list_filter([CASE WHEN length(text) NOT BETWEEN 1 AND 200 THEN 'behavior' END, CASE WHEN doc_id % 5 = 0 THEN 'source_hash' END, CASE WHEN doc_id % 7 = 0 THEN 'schema_version' END], lambda x: x IS NOT NULL), ',') AS broken FROM documents")
 def intent_card_validation(spark, sf_dir):
     digest = F.substr(R.sha(F.col("text")), F.lit(1), F.when(F.col("doc_id") % 5 == 0, 63).otherwise(64))
-    broken = F.when(~F.length("text").between(1, 5000), "behavior").when(~digest.rlike("^[0-9a-f]{64}$"), "source_hash")
-    return table(spark, sf_dir, "documents").select("doc_id", broken.alias("broken"))
+    broken = C.card_errors(F.col("text"), digest, F.when(F.col("doc_id") % 7 == 0, 2).otherwise(1))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(broken, ",").alias("broken"))
 
 
 @query("SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN 'L3' WHEN 1 THEN 'L1' ELSE 'L0' END AS level FROM part")
@@ -77,42 +77,38 @@ def proof_level(spark, sf_dir):
     """Level by the first proof of a manifest: lean or coq is L3, smt L1, else L0."""
     k = F.col("p_size") % 4
     kinds = F.when(k == 0, '{"artifacts":[{"kind":"property"},{"kind":"lean"},{"kind":"smt"}]}').when(k == 1, '{"artifacts":[{"kind":"smt"},{"kind":"coq"}]}').when(k == 2, '{"artifacts":[{"kind":"property"}]}').otherwise("{}")
-    found = F.from_json(kinds, "artifacts array<struct<kind:string>>")
-    first = F.get(F.filter(F.transform(found["artifacts"], lambda a: a["kind"]), lambda x: x.isin("lean", "coq", "smt")), 0)
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(first.isin("lean", "coq"), "L3").when(first == "smt", "L1").otherwise("L0").alias("level"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), C.proof_level(kinds).alias("level"))
 
 
 @query("SELECT doc_id, left(sha256(text), 8) AS address, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), '. ')[1] AS behavior, '(' || lang || ') => ' || source AS signature, array_to_string(string_split(text, chr(10))[1:3], '|') AS guarantees, len(string_split(text, chr(10)))::INT AS n FROM documents")
 def evidence_projection(spark, sf_dir):
     """Short address, first sentence, signature, the first three guarantees and their number."""
-    t = F.col("text")
-    lines = F.split(t, "\n")
-    return table(spark, sf_dir, "documents").select("doc_id", F.left(R.sha(t), F.lit(8)).alias("address"), X.first_sentence(t).alias("behavior"), F.concat(F.lit("("), "lang", F.lit(") => "), "source").alias("signature"), F.array_join(F.slice(lines, 1, 3), "|").alias("guarantees"), F.size(lines).alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", *R.evidence(F.col("text"), F.col("lang"), F.col("source"), R.sha(F.col("text"))))
 
 
-@query(f"WITH {KNN10}, r AS (SELECT query_id, id, round(1 - distance + (p_size % 2), 6) AS score, rank FROM t JOIN part ON p_partkey = id) SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank)::INT AS rank FROM r")
+@query(f"WITH {KNN10}, r AS (SELECT query_id, id, round(1 - distance + (b.p_type = a.p_type AND b.p_size >= a.p_size)::INT, 6) AS score, rank FROM t JOIN part a ON a.p_partkey = query_id JOIN part b ON b.p_partkey = id) SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank)::INT AS rank FROM r")
 def intent_rerank(spark, sf_dir):
-    """Neighbours by 1 - distance plus 1 for a structural match."""
-    match = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 2).alias("m"))
-    rows = top10(spark, sf_dir).join(match, "id").select("query_id", "id", F.round(1 - F.col("distance") + F.col("m"), 6).alias("score"), F.col("rank").alias("prior"))
-    return rows.select("query_id", "id", "score", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "prior")).alias("rank"))
+    """Neighbours by 1 - distance plus 1 for a structural match: the asked output type, and no weaker rank."""
+    part = table(spark, sf_dir, "part")
+    asked = part.select(F.col("p_partkey").alias("query_id"), F.array("p_type").alias("q_out"), F.col("p_size").alias("q_rank"))
+    have = part.select(F.col("p_partkey").alias("id"), F.array("p_type").alias("out"), F.col("p_size").alias("own_rank"))
+    none = F.array().cast("array<string>")
+    why = M.reasons(none, none, F.col("q_out"), F.col("out"), none, none, F.col("q_rank"), F.col("own_rank"), F.lit(0), F.lit(0))
+    rows = top10(spark, sf_dir).join(asked, "query_id").join(have, "id")
+    return M.reranked(rows, F.size(why) == 0).select("query_id", "id", "score", "rank")
 
 
 @query(f"WITH {KNN10}, l AS (SELECT query_id, id, rank, score, lead(score) OVER w AS s2, lead(id) OVER w AS id2 FROM t WINDOW w AS (PARTITION BY query_id ORDER BY rank)) SELECT query_id, CASE WHEN score - s2 > 0.02 OR s2 IS NULL THEN 'none' WHEN id % 5 > id2 % 5 THEN 'more_tests' ELSE 'lexicographic' END AS reason FROM l WHERE rank = 1")
 def tiebreak_reason(spark, sf_dir):
     """Why the first of two close candidates leads: more tests (id % 5), else its name."""
-    w = Window.partitionBy("query_id").orderBy("rank")
-    rows = top10(spark, sf_dir).withColumns({"s2": F.lead("score").over(w), "id2": F.lead("id").over(w)}).where("rank = 1")
-    reason = F.when(F.col("s2").isNull() | (F.col("score") - F.col("s2") > 0.02), "none").when(F.col("id") % 5 > F.col("id2") % 5, "more_tests").otherwise("lexicographic")
-    return rows.select("query_id", reason.alias("reason"))
+    return M.tiebreaks(top10(spark, sf_dir), F.col("id") % 5)
 
 
-@query("SELECT l_orderkey AS block, string_agg(DISTINCT s_name || '#' || l_partkey, ',' ORDER BY s_name || '#' || l_partkey) AS refs FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_linenumber <= 2 GROUP BY 1")
+@query("SELECT l_orderkey AS block, string_agg(DISTINCT s_name || '#' || l_partkey, ',' ORDER BY s_name || '#' || l_partkey) AS refs FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1")
 def foreign_refs(spark, sf_dir):
     names = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").join(names, "l_suppkey")
-    ref = F.concat("s_name", F.lit("#"), F.col("l_partkey").cast("string"))
-    return rows.groupBy(F.col("l_orderkey").alias("block")).agg(F.array_join(F.array_sort(F.collect_set(ref)), ",").alias("refs"))
+    rows = table(spark, sf_dir, "lineitem").join(names, "l_suppkey")
+    return R.reference_lists(rows.withColumnRenamed("l_orderkey", "block"), "block", F.col("s_name"), F.col("l_partkey"))
 
 
 @query("WITH i AS (SELECT p_name AS stem, min(p_partkey) AS id FROM part GROUP BY 1), c AS (SELECT string_split(p_name, ' ')[1] || upper(left(string_split(p_name, ' ')[2], 1)) || substr(string_split(p_name, ' ')[2], 2) AS stem, min(p_partkey) AS id FROM part GROUP BY 1), w AS (SELECT DISTINCT CASE WHEN p_size % 2 = 0 THEN p_name ELSE string_split(p_name, ' ')[1] || upper(left(string_split(p_name, ' ')[2], 1)) || substr(string_split(p_name, ' ')[2], 2) END AS stem FROM part UNION SELECT 'missing') SELECT w.stem, coalesce(i.id, c.id) AS id FROM w LEFT JOIN i ON i.stem = w.stem LEFT JOIN c ON c.stem = w.stem")
@@ -120,10 +116,9 @@ def stem_lookup(spark, sf_dir):
     """Import stems resolved by name, else by camel-case name."""
     p = table(spark, sf_dir, "part")
     camel = X.camel(F.replace("p_name", F.lit(" "), F.lit("-")))
-    by_name = p.groupBy(F.col("p_name").alias("stem")).agg(F.min("p_partkey").alias("a"))
-    by_camel = p.groupBy(camel.alias("stem")).agg(F.min("p_partkey").alias("b"))
     asked = p.select(F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(camel).alias("stem")).union(spark.createDataFrame([("missing",)], "stem string")).distinct()
-    return asked.join(by_name, "stem", "left").join(by_camel, "stem", "left").select("stem", F.coalesce("a", "b").alias("id"))
+    index = p.select(F.col("p_name").alias("stem"), "p_name", F.col("p_partkey").alias("id"))
+    return R.resolved_stems(asked, index, "stem", camel, "id")
 
 
 @query("SELECT l_returnflag AS flag, count(*) FILTER (l_linestatus = 'F' AND l_quantity >= 2 * 10 AND epoch_ms(l_shipdate) <= 891388800000 AND epoch_ms(l_shipdate) >= 883612800000) AS admissible, count(*) AS filed FROM lineitem GROUP BY 1")
@@ -131,27 +126,27 @@ def retraction_filing(spark, sf_dir):
     """Retractions that may be filed: a valid claim, twice the stake, within 90 days of the reveal."""
     t = F.expr("unix_micros(cast(l_shipdate as timestamp)) div 1000")
     start = 883612800000
-    ok = (F.col("l_linestatus") == "F") & (F.col("l_quantity") >= 2 * 10) & t.between(start, start + 90 * L.DAY)
+    ok = L.may_retract(F.when(F.col("l_linestatus") == "F", "VALID"), F.col("l_quantity"), F.lit(10), t, F.lit(start))
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.count_if(ok).alias("admissible"), F.count("*").alias("filed"))
 
 
 @query("SELECT doc_id, coalesce(CASE WHEN doc_id % 4 = 0 THEN '' ELSE sha256(text) END, '') = '' AS was_missing, sha256(text) AS canonical_hash FROM documents")
 def hash_backfill(spark, sf_dir):
     """The canonical hash where it was empty."""
-    stored = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 4 == 0, "").otherwise(R.sha(F.col("text"))).alias("h"))
-    return stored.select("doc_id", (F.col("h") == "").alias("was_missing"), F.when(F.col("h") == "", R.sha(F.col("text"))).otherwise(F.col("h")).alias("canonical_hash"))
+    stored = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 4 == 0, "").otherwise(R.sha(F.col("text"))).alias("canonical_hash"))
+    return R.backfilled(stored.withColumn("was_missing", F.col("canonical_hash") == ""), "canonical_hash", R.sha(F.col("text"))).drop("text")
 
 
 @query("SELECT p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 2 = 1 THEN p_size END AS size, CASE WHEN p_partkey % 2 = 1 THEN p_brand END AS brand FROM part")
 def schema_migration(spark, sf_dir):
     """Old rows without later columns and new rows with them, under one schema."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("size"), F.col("p_brand").alias("brand"))
-    return p.where("id % 2 = 0").select("id", "name").unionByName(p.where("id % 2 = 1"), allowMissingColumns=True)
+    return R.migrated(p.where("id % 2 = 0").select("id", "name"), p.where("id % 2 = 1"), 1, 2).select("id", "name", "size", "brand")
 
 
-@query("SELECT source, string_agg(left(sha256(text), 6), ',' ORDER BY doc_id) AS glue, count(*) AS n FROM documents WHERE doc_id % 20 < 2 GROUP BY source")
+@query("SELECT source, string_agg(left(sha256(text), 6), ',' ORDER BY doc_id) AS glue, count(*) AS n FROM documents GROUP BY source")
 def source_glue(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where("doc_id % 20 < 2").select("source", F.struct("doc_id", F.left(R.sha(F.col("text")), F.lit(6)).alias("h")).alias("x"))
+    rows = table(spark, sf_dir, "documents").select("source", F.struct("doc_id", F.left(R.sha(F.col("text")), F.lit(6)).alias("h")).alias("x"))
     return rows.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["h"]), ",").alias("glue"), F.count("*").alias("n"))
 
 
@@ -159,9 +154,8 @@ def source_glue(spark, sf_dir):
 def slice_plan(spark, sf_dir):
     """Fragments by what the store knows of them, with their sizes."""
     d = table(spark, sf_dir, "documents").select("doc_id", R.sha(F.col("text")).alias("h"), F.length("text").alias("bytes"))
-    known = d.where("doc_id % 3 = 0").select("h").distinct().withColumn("known", F.lit(1))
-    kind = F.when(F.col("doc_id") % 7 == 0, "foreign_leaf").when(F.col("known") == 1, "pointer").when(F.col("bytes") < 200, "glue").otherwise("novel_glue")
-    return d.join(known, "h", "left").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    rows = R.slice_kinds(d, d.where("doc_id % 3 = 0"), "h", F.col("doc_id") % 7 == 0, F.col("bytes"))
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
 
 
 @query("WITH s AS (SELECT conv_id, turn, text FROM conversations) SELECT conv_id, arg_max(length(text), turn) AS last_length, max(turn) AS last_turn, count(*) FILTER (regexp_matches(text, '\\?$')) AS questions FROM s GROUP BY conv_id")

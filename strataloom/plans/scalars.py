@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..operators import registry as R
 from .registering import slice_of, table
 
 QUERIES, SQL, query = slice_of()
@@ -91,9 +92,15 @@ def encodings(spark, sf_dir):
     return part(spark, sf_dir).select("id", F.base64(n.cast("binary")).alias("std"), X.base64url(F.concat(n, F.lit("?>~"))).alias("url"), F.hex(n.cast("binary")).alias("hexed"))
 
 
-@query()
+_BIT = " + ".join(f"substr(s, {k + 1}, 1)::INT * {16 >> k}" for k in range(5))
+
+
+@query(f"""WITH {_P}, b AS (SELECT id, array_to_string([lpad(to_base(ascii(substr(name, i, 1)), 2), 8, '0') FOR i IN range(1, length(name) + 1)], '') AS bits,
+list_reduce([4294967295::BIGINT] || flatten([[ascii(substr(name, i, 1))::BIGINT] || [-1::BIGINT FOR k IN range(8)] FOR i IN range(1, length(name) + 1)]), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 2197175160 ELSE 0 END) END) AS c FROM p),
+f AS (SELECT id, c, [rpad(substr(bits, (5 * i + 1)::BIGINT, 5), 5, '0') FOR i IN range(ceil(length(bits) / 5)::BIGINT)] AS fives FROM b)
+SELECT id, rpad(array_to_string(list_transform(fives, lambda s: substr('{X.BASE32}', 1 + {_BIT}, 1)), ''), (ceil(len(fives) / 8) * 8)::INT, '=') AS b32, xor(c, 4294967295) AS crc FROM f""")
 def base32_crc32c(spark, sf_dir):
-    """No such functions in the oracle: known vectors are in the tests."""
+    """Known vectors are in the tests as well."""
     return part(spark, sf_dir).select("id", X.base32(F.col("name")).alias("b32"), X.crc32c(F.col("name")).alias("crc"))
 
 
@@ -129,9 +136,7 @@ def canonical_json(spark, sf_dir):
 @query("SELECT doc_id, sha256(unhex(sha256(lang || '|' || source)) || unhex(sha256(text)) || unhex(sha256(encode('{}') || unhex(sha256(lang)) || unhex(sha256(source))))) AS root FROM documents")
 def merkle_root(spark, sf_dir):
     """Root of specification, implementation, and manifest with its artifacts in order."""
-    h = lambda *cols: F.unhex(F.sha2(F.concat(*[c.cast("binary") for c in cols]), 256))
-    text, lang, source = F.col("text"), F.col("lang"), F.col("source")
-    root = F.sha2(F.concat(h(F.concat_ws("|", lang, source)), h(text), h(F.lit("{}"), h(lang), h(source))), 256)
+    root = R.block_root(R.sha(F.concat_ws("|", "lang", "source")), F.col("text"), F.lit("{}"), F.array("lang", "source"))
     return table(spark, sf_dir, "documents").select("doc_id", root.alias("root"))
 
 
@@ -149,7 +154,9 @@ def expression_value(spark, sf_dir):
     return part(spark, sf_dir).select("id", X.arithmetic_column(text).alias("value"))
 
 
-@query()
+@query(f"""WITH {_P}, h AS (SELECT id, sha256(name || '|0') || sha256(name || '|1') AS h FROM p), r AS (SELECT id, [(('0x' || substr(h, 2 * i + 1, 2))::INT - 128) / 128.0 FOR i IN range(64)] AS raw FROM h), n AS (SELECT *, sqrt(list_sum([x * x FOR x IN raw])) AS norm FROM r)
+SELECT id, array_to_string([round(x / norm * 1000000)::BIGINT FOR x IN raw], ',') AS millionths FROM n""")
 def offline_embedding(spark, sf_dir):
-    """Digest vectors of the names; lengths and components are tested."""
-    return part(spark, sf_dir).select("id", X.hash_embedding(F.col("name"), 64).alias("embedding"))
+    """Digest vectors of the names, as whole millionths; lengths and components are tested as well."""
+    v = F.transform(X.hash_embedding(F.col("name"), 64), lambda x: F.round(x * 1_000_000).cast("long").cast("string"))
+    return part(spark, sf_dir).select("id", F.array_join(v, ",").alias("millionths"))

@@ -51,13 +51,13 @@ def catalog_shards(spark, sf_dir):
     return blocks(spark, sf_dir).groupBy(F.substring("root", 1, 2).alias("shard")).agg(F.count_distinct("root").alias("blocks"), F.count("*").alias("rows"), F.min("created_at").alias("first_seen"))
 
 
-@query("""WITH r AS (SELECT DISTINCT sha256(text) AS root FROM documents), a AS (SELECT sha256(d.text) AS root, p.url AS path_url, p.html FROM documents d JOIN pages p ON p.page_id = d.doc_id AND d.doc_id % 3 = 0)
+@query("""WITH r AS (SELECT DISTINCT sha256(text) AS root FROM documents), a AS (SELECT sha256(d.text) AS root, p.url AS path_url, p.html FROM documents d JOIN pages p ON p.page_id = d.doc_id)
 SELECT r.root, coalesce(max(CASE WHEN path_url LIKE 'http://%' THEN sha256(path_url) END), sha256('')) AS plain_hash, coalesce(max(CASE WHEN path_url LIKE 'https://%' THEN sha256(path_url) END), sha256('')) AS secure_hash
 FROM r LEFT JOIN a ON r.root = a.root GROUP BY r.root""")
 def manifest_export(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", R.sha(F.col("text")).alias("root"))
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.when(F.col("url").startswith("http://"), "plain").when(F.col("url").startswith("https://"), "secure").alias("path"), F.col("url").alias("bytes"))
-    artifacts = d.where("doc_id % 3 = 0").join(pages, "doc_id").select("root", "path", "bytes")
+    artifacts = d.join(pages, "doc_id").select("root", "path", "bytes")
     return R.manifest(d.select("root").distinct(), artifacts, {"plain_hash": "plain", "secure_hash": "secure"})
 
 
@@ -91,7 +91,7 @@ def provenance(spark, sf_dir):
     return out.select("partkey", passing.alias("passing"), F.coalesce("runs", F.lit(0)).alias("runs"), "last_run", (passing > 0).alias("verified"))
 
 
-_RANGES = "r AS (SELECT l_suppkey AS supplier, l_shipdate::DATE AS a, l_shipdate::DATE + 3 AS z FROM lineitem), o AS (SELECT *, max(z) OVER (PARTITION BY supplier ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM r), i AS (SELECT *, sum(CASE WHEN seen IS NULL OR a > seen THEN 1 ELSE 0 END) OVER (PARTITION BY supplier ORDER BY a, z ROWS UNBOUNDED PRECEDING) AS island FROM o), m AS (SELECT supplier, min(a) AS a, max(z) AS z, count(*) AS n FROM i GROUP BY supplier, island)"
+_RANGES = "r AS (SELECT l_suppkey AS supplier, l_shipdate::DATE AS a, l_shipdate::DATE + 3 AS z, count(*) AS k FROM lineitem GROUP BY ALL), o AS (SELECT *, max(z) OVER (PARTITION BY supplier ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM r), i AS (SELECT *, sum(CASE WHEN seen IS NULL OR a > seen THEN 1 ELSE 0 END) OVER (PARTITION BY supplier ORDER BY a, z ROWS UNBOUNDED PRECEDING) AS island FROM o), m AS (SELECT supplier, min(a) AS a, max(z) AS z, sum(k)::BIGINT AS n FROM i GROUP BY supplier, island)"
 
 
 def ranges(spark, sf_dir):
@@ -109,10 +109,23 @@ def interval_gaps(spark, sf_dir):
     return R.gaps(ranges(spark, sf_dir), ["supplier"], "a", "z")
 
 
-@query("""WITH b AS (SELECT sha256(text) AS root, doc_id FROM documents WHERE doc_id < 400), c AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id >= 200 AND doc_id < 600)
+@query("""WITH b AS (SELECT doc_id FROM documents), c AS (SELECT vec_id AS doc_id FROM embeddings)
 SELECT coalesce(b.doc_id, c.doc_id) AS doc_id, CASE WHEN c.doc_id IS NULL THEN 'no_vector' WHEN b.doc_id IS NULL THEN 'no_card' ELSE 'both' END AS state FROM b FULL JOIN c ON b.doc_id = c.doc_id""")
 def consistency_check(spark, sf_dir):
     """Cards and vectors by id: which side lacks the other."""
-    d = table(spark, sf_dir, "documents").select("doc_id")
-    a, b = d.where("doc_id < 400").withColumn("x", F.lit(1)), d.where("doc_id >= 200 and doc_id < 600").withColumn("y", F.lit(1))
-    return a.join(b, "doc_id", "full").select("doc_id", F.when(F.col("y").isNull(), "no_vector").when(F.col("x").isNull(), "no_card").otherwise("both").alias("state"))
+    return R.consistency(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id")
+
+
+@query(r"""WITH r AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]{9,}') AS ws, text FROM documents), c AS (SELECT doc_id, text, greatest(0, strpos(text, ws[1]) - 1) AS a, greatest(0, strpos(text, ws[1]) - 1) + coalesce(length(ws[1]), 0) AS z FROM r)
+SELECT doc_id, sha256(substr(text, 1, a) || chr(0) || substr(text, z + 1)) AS uncovered, (a > 0)::INT + (z < length(text))::INT AS parts FROM c""")
+def uncovered_text(spark, sf_dir):
+    """What the shards of a source don't cover: here a document's first long word is the only shard."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    word = F.regexp_extract("text", r"[A-Za-z]{9,}", 0)
+    start = F.greatest(F.lit(0), F.instr("text", word) - 1)
+    shards = d.where(word != "").select("doc_id", start.alias("a"), (start + F.length(word)).alias("z"))
+    found = R.uncovered(d, shards, "doc_id", "text", "a", "z")
+    joined = F.when(F.size("glue") == 1, F.when(F.col("glue")[0]["a"] == 0, F.concat(F.col("glue")[0]["text"], F.lit("\0"))).otherwise(F.concat(F.lit("\0"), F.col("glue")[0]["text"]))).otherwise(F.array_join(F.transform("glue", lambda g: g["text"]), "\0"))
+    bare = F.when(F.size("glue") == 0, F.lit("\0")).otherwise(joined)
+    whole = ~F.col("text").rlike(r"[A-Za-z]{9,}")
+    return found.join(d, "doc_id").select("doc_id", F.sha2(F.when(whole, F.concat(F.lit("\0"), "text")).otherwise(bare).cast("binary"), 256).alias("uncovered"), F.size("glue").alias("parts"))

@@ -92,3 +92,20 @@ def micro_batch_sink(spark, sf_dir):
     rows = stream(spark, sf_dir).select("seq", "event_type")
     rows.writeStream.foreachBatch(run).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/data").groupBy("event_type").agg(F.count("*").alias("n"), F.min("seq").alias("first_id"))
+
+
+@query("WITH d AS (SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT * FROM d WHERE day + INTERVAL '1 day' <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'")
+def late_windows(spark, sf_dir):
+    """Days of a stream with a watermark: the third file repeats rows of days that are closed by then, and they are dropped as late.
+
+    What is late is judged by the watermark of the batch before, so a file with the last event alone stands between.
+    """
+    out = shared(spark)
+    e = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("at"), "event_type")
+    last = e.agg(F.max("at")).first()[0]
+    e.coalesce(1).write.parquet(f"{out}/in")
+    e.where(F.col("at") == F.lit(last)).coalesce(1).write.mode("append").parquet(f"{out}/in")
+    e.where(F.col("at") < F.date_trunc("day", F.lit(last) - F.expr("interval 2 days"))).coalesce(1).write.mode("append").parquet(f"{out}/in")
+    rows = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+    found = ended(spark, S.windowed(rows, "at", "event_type", "1 day"))
+    return found.select(F.col("start").cast("timestamp_ntz").alias("day"), "event_type", "n")

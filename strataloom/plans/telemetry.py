@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import matching as M
 from ..operators import telemetry as T
+from ..operators import validation as C
+from ..operators.blocks import best
 from .registering import slice_of, table
 
 QUERIES, SQL, query = slice_of()
@@ -71,8 +74,11 @@ def atom_reuse_top(spark, sf_dir):
 def hit_percentiles(spark, sf_dir):
     """Three conventions: nearest rank, mean of the middle two, and the floor of n * p."""
     h = T.reuse(events(spark, sf_dir))
-    floor = F.expr("element_at(array_sort(collect_list(hits)), cast(floor(count(*) * 0.9) + 1 as int))")
-    return h.agg(F.expr("percentile_disc(0.5) within group (order by hits)").cast("long").alias("p50"), F.expr("percentile_disc(0.9) within group (order by hits)").cast("long").alias("p90"), F.median("hits").alias("middle"), F.max("hits").alias("most"), floor.alias("p90_floor"))
+    # The floor convention by a histogram: the least count that floor(0.9 n) + 1 atoms don't exceed.
+    upto = F.sum("k").over(Window.orderBy("hits"))  # a row for each different count
+    floor = h.groupBy("hits").agg(F.count("*").alias("k")).withColumn("upto", upto).withColumn("n", F.sum("k").over(Window.partitionBy()))
+    floor = floor.where(F.col("upto") >= F.floor(F.col("n") * 0.9) + 1).agg(F.min("hits").alias("p90_floor"))
+    return h.agg(F.expr("percentile_disc(0.5) within group (order by hits)").cast("long").alias("p50"), F.expr("percentile_disc(0.9) within group (order by hits)").cast("long").alias("p90"), F.median("hits").alias("middle"), F.max("hits").alias("most")).join(F.broadcast(floor))  # one row each
 
 
 @query(f"WITH {_REUSE}, j AS (SELECT h.atom, hits, length(text) - length(replace(text, chr(10), '')) + 1 AS lines, CASE doc_id % 5 WHEN 0 THEN 'L0' WHEN 1 THEN 'L1' WHEN 2 THEN 'L2' WHEN 3 THEN 'L3' END AS level FROM h LEFT JOIN documents ON doc_id = atom * 3) SELECT coalesce(level, 'unknown') AS level, count(*) AS atoms, sum(hits)::BIGINT AS hits, sum(hits * lines)::BIGINT AS lines_saved FROM j GROUP BY 1")
@@ -106,7 +112,7 @@ def descent_warn(spark, sf_dir):
     """A binding with fewer than two misses so far warns unless an allow pattern names it."""
     rows = T.running(events(spark, sf_dir), ["session", "atom"], "seq", F.col("outcome") == "synthesis-required", "misses")
     name = F.lower(F.concat_ws("-", "tool", F.col("atom").cast("string")))
-    return rows.select("session", "seq", "misses", ((F.col("misses") < 2) & ~name.rlike("^(edit-1|write-2)")).alias("warn"))
+    return rows.select("session", "seq", "misses", ((F.col("misses") < 2) & ~C.allowed(name, ["^EDIT-1", "^write-2", "*invalid"])).alias("warn"))
 
 
 @query(f"WITH {EVENTS} SELECT seq, count(*) OVER w AS in_window, count(*) OVER w > 2 AS limited FROM e WINDOW w AS (PARTITION BY session ORDER BY t RANGE BETWEEN 7199999 PRECEDING AND CURRENT ROW)")
@@ -124,7 +130,7 @@ def tasks(spark, sf_dir):
 
 
 def task_events(spark, sf_dir):
-    return T.within(tasks(spark, sf_dir), events(spark, sf_dir).select("session", "t", "seq", "outcome"), "session", 86_400_000)
+    return T.within(tasks(spark, sf_dir), events(spark, sf_dir).select("session", "t", "seq", "outcome"), "session")
 
 
 @query(f"WITH {_TASKS} SELECT slug, count(*) AS events, count(*) FILTER (outcome = 'registry-hit') AS hits FROM j GROUP BY slug")
@@ -169,14 +175,12 @@ def sprint_verdict(spark, sf_dir):
     return rows.agg(verdict.alias("verdict"), F.sum("tasks").alias("tasks"))
 
 
-@query(f"WITH {EVENTS}, c AS (SELECT session, count(*) AS n, count(*) FILTER (top_score >= 0.7) AS strong FROM e GROUP BY session) SELECT session, n, strong, n > 60 OR strong > 30 AS too_many FROM c")
+@query(f"WITH {EVENTS}, c AS (SELECT session, count(*) AS n, count(*) FILTER (top_score >= 0.7) AS strong FROM e GROUP BY session) SELECT session, n, strong, n > 10 OR strong > 3 AS too_many FROM c")
 def result_set_gate(spark, sf_dir):
-    rows = events(spark, sf_dir).groupBy("session").agg(F.count("*").alias("n"), F.count_if(F.col("top_score") >= 0.7).alias("strong"))
-    return rows.withColumn("too_many", (F.col("n") > 60) | (F.col("strong") > 30))
+    return M.too_many(events(spark, sf_dir), "session", "top_score")
 
 
 @query(f"WITH {EVENTS}, x AS (SELECT tool, seq, t, row_number() OVER (PARTITION BY tool ORDER BY t DESC, seq DESC) AS r FROM e) SELECT tool, seq, t FROM x WHERE r <= 5")
 def telemetry_tail(spark, sf_dir):
     """The last five events of each file (tool), newest first."""
-    w = Window.partitionBy("tool").orderBy(F.desc("t"), F.desc("seq"))
-    return events(spark, sf_dir).select("tool", "seq", "t").withColumn("r", F.row_number().over(w)).where("r <= 5").drop("r")
+    return best(events(spark, sf_dir).select("tool", "seq", "t"), ["tool"], [F.desc("t"), F.desc("seq")], 5, F.col("seq")).drop("rank")

@@ -35,3 +35,17 @@ def latest(files: DataFrame, lines: DataFrame, n: int) -> DataFrame:
     """The last n lines of the newest file. files: name, modified. lines: name, number, value."""
     newest = files.agg(F.max_by("name", "modified").alias("name"))
     return lines.join(F.broadcast(newest), "name").orderBy(F.desc("number")).limit(n)
+
+
+MARKER = "kind string, taskSlug string, category string, t long, sessionId string, outcome string"
+
+
+def markers(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Rows of MARKER with bad (not JSON, an unknown kind, or without slug or time) from lines of text; blank lines are no rows."""
+    rows = lines.where(F.trim(value) != "").select(F.from_json(value, MARKER, {"mode": "PERMISSIVE"}).alias("m"))
+    ok = F.col("m.kind").isin("task-begin", "task-end") & F.col("m.taskSlug").isNotNull() & F.col("m.t").isNotNull()
+    return rows.select("m.*", (~F.coalesce(ok, F.lit(False))).alias("bad"))
+
+
+def read_markers(spark: SparkSession, path: str) -> DataFrame:
+    return markers(spark.read.text(path))

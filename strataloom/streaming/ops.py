@@ -13,15 +13,17 @@ DRIFT_OUT = "session long, seq long, mean_candidates double, bypass_rate double"
 
 
 def drift_stream(events: DataFrame, window: int = 20) -> DataFrame:
-    """Per session the means over its last ``window`` events; the state holds no more than these."""
+    """Per session the means over its last ``window`` events; the state holds no more than these.
+
+    A session's events of a micro-batch are ordered by seq as a whole; those of a later micro-batch come after them.
+    """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = list(zip(*state.get, strict=True)) if state.exists else []
         out = []
-        for pdf in batches:
-            for r in pdf.sort_values("seq").itertuples():
-                held = [*held, (float(r.candidate_count), 1.0 if r.outcome == "passthrough" else 0.0)][-window:]
-                out.append((int(key[0]), int(r.seq), sum(h[0] for h in held) / len(held), sum(h[1] for h in held) / len(held)))
+        for r in pd.concat(list(batches)).sort_values("seq").itertuples():
+            held = [*held, (float(r.candidate_count), 1.0 if r.outcome == "passthrough" else 0.0)][-window:]
+            out.append((int(key[0]), int(r.seq), sum(h[0] for h in held) / len(held), sum(h[1] for h in held) / len(held)))
         state.update(tuple(list(x) for x in zip(*held, strict=True)))
         yield pd.DataFrame(out, columns=["session", "seq", "mean_candidates", "bypass_rate"])
 
@@ -32,18 +34,21 @@ BUCKET_OUT = "session long, seq long, allowed boolean, left double"
 
 
 def token_bucket(events: DataFrame, capacity: float, per_ms: float) -> DataFrame:
-    """Per session a bucket filled at per_ms a millisecond up to the capacity; each event takes one token or is refused."""
+    """Per session a bucket filled at per_ms a millisecond up to the capacity; each event takes one token or is refused.
+
+    A session's events of a micro-batch are ordered by (t, seq) as a whole; one that comes in a later micro-batch with an earlier
+    time fills nothing up.
+    """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         level, at = state.get if state.exists else (capacity, -1)
         out = []
-        for pdf in batches:
-            for r in pdf.sort_values(["t", "seq"]).itertuples():
-                level = min(capacity, level + (0 if at < 0 else max(0, r.t - at)) * per_ms)
-                at = max(at, int(r.t))
-                ok = level >= 1
-                level -= 1 if ok else 0
-                out.append((int(key[0]), int(r.seq), ok, level))
+        for r in pd.concat(list(batches)).sort_values(["t", "seq"]).itertuples():
+            level = min(capacity, level + (0 if at < 0 else max(0, r.t - at)) * per_ms)
+            at = max(at, int(r.t))
+            ok = level >= 1
+            level -= 1 if ok else 0
+            out.append((int(key[0]), int(r.seq), ok, level))
         state.update((level, at))
         yield pd.DataFrame(out, columns=["session", "seq", "allowed", "left"])
 

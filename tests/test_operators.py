@@ -261,3 +261,126 @@ def test_merged_intervals_cover(spark, rows):
     got = R.merged_intervals(df, ["k"], "a", "z").collect()
     points = lambda xs: {(k, 2 * a + i) for k, a, z in xs for i in range(2 * (z - a) + 1)}
     assert points([(r.k, r.a, r.z) for r in got]) == points([(k, a, a + n) for k, a, n in rows])
+
+
+def test_queries_against_rows_in_blocks(spark):
+    from strataloom.operators.blocks import against, best
+
+    q = spark.range(23).withColumnRenamed("id", "a")
+    r = spark.range(41).withColumnRenamed("id", "b")
+    want = sorted((a, b) for a in range(23) for b in range(41))
+    for per_queries, per_rows in ((1000, 50_000), (5, 7)):
+        assert sorted(tuple(x) for x in against(q, r, per_queries, per_rows).select("a", "b").collect()) == want
+    got = best(against(q, r), ["a"], [F.desc(F.col("b") % 10), F.col("b")], 3, F.col("b")).collect()
+    assert {(x.a, x.rank, x.b) for x in got} == {(a, k + 1, b) for a in range(23) for k, b in enumerate((9, 19, 29))}
+
+
+def test_order_of_a_composition(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (4, 3), (5, 6)], "a long, b long")
+    got = {r.node: r.position for r in GR.composed(edges).collect()}
+    assert sorted(got.values()) == [1, 2, 3, 4, 5, 6]
+    assert all(got[b] < got[a] for a, b in [(1, 2), (2, 3), (1, 3), (4, 3), (5, 6)])
+    assert GR.composed(spark.createDataFrame([(1, 2), (2, 1)], "a long, b long")) is None
+    assert GR.composed(edges.where("false")).count() == 0
+
+
+def test_long_chains_have_no_bound(spark):
+    chain = spark.range(230).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert GR.closure(chain).count() == 230 * 231 // 2
+
+
+def test_streams_order_whole_groups():
+    import pandas as pd
+
+    from strataloom.streaming import ops
+
+    class Held:
+        exists, get, kept = False, None, None
+
+        def update(self, value):
+            self.kept = value
+
+    class Rows:
+        def groupBy(self, _):
+            return self
+
+        def applyInPandasWithState(self, step, *rest):
+            self.step = step
+            return self
+
+    parts = [pd.DataFrame({"t": [30, 40], "seq": [3, 4]}), pd.DataFrame({"t": [10, 20], "seq": [1, 2]})]
+    step = ops.token_bucket(Rows(), 1.0, 0.05).step
+    out = pd.concat(step((7,), iter(parts), Held()))
+    assert out.seq.tolist() == [1, 2, 3, 4] and out.allowed.tolist() == [True, False, True, False]
+    parts = [pd.DataFrame({"seq": [3], "candidate_count": [9], "outcome": ["x"]}), pd.DataFrame({"seq": [1, 2], "candidate_count": [1, 2], "outcome": ["passthrough", "x"]})]
+    out = pd.concat(ops.drift_stream(Rows(), 2).step((7,), iter(parts), Held()))
+    assert out.mean_candidates.tolist() == [1.0, 1.5, 5.5] and out.bypass_rate.tolist() == [1.0, 0.5, 0.0]
+
+
+def test_expressions_that_are_deep_or_of_another_language(spark):
+    from strataloom.functions import scalars
+
+    texts = ["-" * 3000 + "1", "(" * 400 + "1" + ")" * 400, "1_000", "0x10", "1 + 2 * 3", "2 ** 3", ".5 + 1e1", "7 % 4", "", None, "1 +"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.v for r in rows.select("i", scalars.arithmetic_column(F.col("t")).alias("v")).collect()}
+    assert got[2] is None and got[3] is None and got[4] == 7 and got[5] is None and got[6] == 10.5 and got[7] == 3
+    assert got[8] is None and got[9] is None and got[10] is None
+
+
+def test_store_opens_with_its_model_only(spark, tmp_path):
+    from strataloom.operators import registry
+
+    v = spark.createDataFrame([(1, [1.0, 2.0], "m")], "vec_id long, embedding array<double>, model string")
+    registry.snapshot({"vectors": v}, str(tmp_path / "s"))
+    assert registry.open_store(spark, str(tmp_path / "s"), "m", 2)["vectors"].count() == 1
+    for model, dims in (("other", 2), ("m", 3)):
+        with pytest.raises(ValueError, match="cross_provider_rejected"):
+            registry.open_store(spark, str(tmp_path / "s"), model, dims)
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        registry.snapshot({"vectors": v}, str(tmp_path / "s"))
+    with pytest.raises(ValueError, match="newer"):
+        registry.mirrored(v, v, F.lit(True), "vec_id", versions=(2, 1))
+
+
+def test_provider_is_tried_again(spark):
+    from strataloom.operators import registry
+
+    class Provider:
+        failed = 0
+
+        def batch(self, texts):
+            if Provider.failed < 2:
+                Provider.failed += 1
+                raise OSError("away")
+            assert len(texts) <= 64
+            return [[len(t), 1.0] for t in texts]
+
+    rows = spark.range(150).select(F.repeat(F.lit("x"), F.col("id").cast("int")).alias("text"), "id").coalesce(1)
+    got = {r.id: r.embedding for r in registry.embedded(rows, "text", Provider()).collect()}
+    assert got == {i: [float(i), 1.0] for i in range(150)}
+
+
+def test_uncovered_parts(spark):
+    from strataloom.operators import registry
+
+    src = spark.createDataFrame([(1, "abcdefghij"), (2, "xyz"), (3, None), (4, "full")], "f int, t string")
+    cuts = spark.createDataFrame([(1, 2, 4), (1, 3, 5), (1, 5, 6), (1, 8, 99), (4, 0, 4), (2, 1, 1)], "f int, a int, z int")
+    got = {r.f: [g.text for g in r.glue] for r in registry.uncovered(src, cuts, "f", "t", "a", "z").collect()}
+    assert got == {1: ["ab", "gh"], 2: ["xyz"], 3: [], 4: []}
+
+
+def test_schemas_that_are_refused():
+    from strataloom.operators import validation
+
+    for schema in ({"unevaluatedProperties": False}, {"$defs": {"a": {"items": {"$ref": "#/$defs/a"}}}, "$ref": "#/$defs/a"}):
+        with pytest.raises(ValueError):
+            validation._valid(F.lit(None), schema, schema, ())
+
+
+def test_walk_stops_at_its_limit(spark):
+    from strataloom.operators import trees
+
+    edges = spark.createDataFrame([(0, i) for i in range(1, 6)] + [(1, 10)], "a long, b long")
+    known = spark.createDataFrame([(i,) for i in (0, 1, 2, 3, 4, 10)], "node long")
+    got = {r.node: (r.depth, r.kind) for r in trees.walked(edges, known.where("node = 0"), known, most=3).collect()}
+    assert got == {0: (0, "module"), 1: (1, "module"), 2: (1, "module"), 3: (1, "limit"), 4: (1, "limit"), 5: (1, "unresolved"), 10: (2, "limit")}
