@@ -46,6 +46,7 @@ class PieceModel:
         self.score = {p.piece: p.score for p in proto.pieces if p.type == NORMAL}
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == BYTE}
         self.byte_of = {i: b for b, i in self.byte.items()}
+        self.odd = frozenset(i for i, p in enumerate(proto.pieces) if p.type != NORMAL)
         self.control = {i for i, p in enumerate(proto.pieces) if p.type not in (NORMAL, BYTE)}
         if any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("a piece joins over a space")
@@ -168,6 +169,9 @@ class PieceModel:
 
     def decode(self, ids: list[int], first: bool = True) -> str:
         """Text of ids: marks to spaces, runs of byte ids read as UTF-8, the dummy space in front dropped."""
+        if self.odd.isdisjoint(ids):
+            text = "".join(map(self.piece.__getitem__, ids))
+            return (text[1:] if first and text.startswith(MARK) else text).replace(MARK, " ")
         out: list[str] = []
         raw = bytearray()
         for i in ids:
