@@ -50,7 +50,7 @@ VERDICT = (
 def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and the measures: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_stop_words, n_upper_words.
 
-    Windows of three words are sorted as (hash, place); neighbours of equal hash are found twice or more.
+    Windows of three words are sorted as (hash, place) where some hash occurs twice; neighbours of equal hash are found twice or more.
     The covered words are the sum of the gaps between found places, three at most. O(n log n) a text.
     """
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -59,8 +59,7 @@ def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         {
             "_w": F.filter(F.split("_t", rf"[{SPACE}]+"), lambda w: w != ""),
             "_l": F.filter(F.split("_t", "\n"), lambda x: x.rlike(rf"[^{SPACE}]")),
-            "word_chars": F.length(F.translate("_t", " \t\n\x0b\f\r", "")).cast("long"),
-            "n_symbols": (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long"),
+            "n_symbols": F.regexp_count("_t", F.lit(f"[{SYMBOLS}]")).cast("long"),
         }
     )
     stop = lambda w: F.rtrim(F.lower(w), F.lit(".,")).isin(STOP_WORDS)
@@ -68,14 +67,16 @@ def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     df = df.withColumns(
         {
             "n_words": F.size("_w").cast("long"),
+            "word_chars": F.length(F.array_join("_w", "")).cast("long"),
             "n_lines": F.size("_l").cast("long"),
             "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
             "n_stop_words": F.size(F.filter("_w", stop)).cast("long"),
             "n_upper_words": F.size(F.filter("_w", upper)).cast("long"),
-            "_g": F.expr("CASE WHEN size(_w) > 2 THEN array_sort(transform(sequence(0, size(_w) - 3), i -> struct(xxhash64(_w[i], _w[i + 1], _w[i + 2]) AS h, i AS i))) ELSE array() END"),
+            "_h": F.expr("CASE WHEN size(_w) > 2 THEN transform(sequence(0, size(_w) - 3), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2])) ELSE array() END"),
         }
     )
-    df = df.withColumn("_p", F.expr("array_sort(transform(filter(_g, (x, j) -> (j > 0 AND x.h = _g[greatest(j - 1, 0)].h) OR (j + 1 < size(_g) AND x.h = _g[least(j + 1, size(_g) - 1)].h)), x -> x.i))"))
+    df = df.withColumn("_g", F.expr("CASE WHEN size(array_distinct(_h)) < size(_h) THEN sort_array(transform(_h, (h, i) -> struct(h AS h, i AS i))) ELSE array() END"))
+    df = df.withColumn("_p", F.expr("sort_array(transform(filter(_g, (x, j) -> (j > 0 AND x.h = _g[greatest(j - 1, 0)].h) OR (j + 1 < size(_g) AND x.h = _g[least(j + 1, size(_g) - 1)].h)), x -> x.i))"))
     repeat = "aggregate(_p, struct(0L AS n, -3 AS last), (a, p) -> struct(a.n + least(3, p - a.last) AS n, p AS last), a -> a.n)"
     # The partition id keeps filters on the measures above this projection: pushed below, they would carry copies of
     # the sorted windows into the lambda that reads them, and a text would cost the square of its length.
