@@ -130,15 +130,30 @@ class PieceModel:
             return [text]
         if MARK * 2 in text:
             return self.merged(text)
-        words, shorter, fits = self.words, self.shorter, self.fits
+        words, shorter, fits, agree = self.words, self.shorter, self.fits, self.agree
+        # The longest pieces one after another, as far as each fits the one before; from there on with ways back.
+        found = [p for _, p in words.iter_long(text)]
+        for k in range(1, len(found)):
+            pair = (found[k - 1], found[k])
+            ok = agree.get(pair)
+            if not (fits(*pair) if ok is None else ok):
+                break
+        else:
+            return found
         n = len(text)
-        out: list[str] = []
+        out = found[:k]
         failed = 0  # bit p: no valid sequence starts at p after what stood before it
-        at = 0
-        want: str | None = next(words.iter_long(text))[1]
+        at = sum(map(len, out))
+        want: str | None = found[k]
         while want is not None:
             end = at + len(want)
-            if not failed >> end & 1 and (not out or fits(out[-1], want)):
+            ok = not failed >> end & 1
+            if ok and out:
+                pair = (out[-1], want)
+                ok = agree.get(pair)
+                if ok is None:
+                    ok = fits(*pair)
+            if ok:
                 out.append(want)
                 at = end
                 if at == n:

@@ -48,8 +48,17 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, about; a longer text is a batch of its own.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once a context, so that Python workers can import it anywhere."""
+    """Send this package to the executors once a context, so that Python workers can import it anywhere; and let the session's Arrow
+    batches hold BATCH_BYTES at most, as each is held by the JVM and by the worker."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(limit, "0b")
+    if held.rstrip("b").isdigit() and int(held.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(limit, str(BATCH_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_strataloom_shipped", False):
         return
