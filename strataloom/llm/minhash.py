@@ -343,6 +343,15 @@ def _within(members: DataFrame, kind: Signatures | Sets) -> DataFrame:
     return _parts(dealt, "key", "b").mapInArrow(lambda it: within(it, kind), "u long, v long")
 
 
+#: Rows of what is known of each key, about 60 bytes each, that may be broadcast; then the members of a large group needn't meet in one place.
+BROADCAST_KEYS = 200_000
+
+
+def _small(per_key: DataFrame) -> DataFrame:
+    per_key = cut(per_key)
+    return F.broadcast(per_key) if per_key.count() <= BROADCAST_KEYS else per_key
+
+
 def _across(members: DataFrame, labels: DataFrame, kind: Signatures | Sets) -> DataFrame:
     """Links between the labels of keys that hold several."""
     known = members.join(labels.withColumnRenamed("id", "cid"), "cid", "left").select("key", "cid", "w", "payload", F.coalesce("component", "cid").alias("label"))
@@ -350,7 +359,7 @@ def _across(members: DataFrame, labels: DataFrame, kind: Signatures | Sets) -> D
     most = F.max(F.struct("c", "t", "label"))
     open_keys = per.groupBy("key").agg(F.count("*").alias("k"), F.sum("c").alias("s"), F.sum("t").alias("t"), most.alias("top")).where("k > 1")
     sized = open_keys.select("key", F.col("top.label").alias("common"), _blocks("s", "t").alias("na"), F.col("s") - F.col("top.c"), F.col("t") - F.col("top.t")).toDF("key", "common", "na", "ls", "lt").withColumn("nl", _blocks("ls", "lt"))
-    both = known.join(sized, "key").withColumns({"own_a": F.pmod(F.xxhash64("cid"), "na").cast("int"), "own_l": F.pmod(F.xxhash64("cid", F.lit(2)), "nl").cast("int")})
+    both = known.join(_small(sized), "key").withColumns({"own_a": F.pmod(F.xxhash64("cid"), "na").cast("int"), "own_l": F.pmod(F.xxhash64("cid", F.lit(2)), "nl").cast("int")})
     every = F.transform(F.sequence(F.lit(0), F.col("nl") - 1), lambda i: F.struct(i.alias("li"), F.col("own_a").alias("aj"), F.lit(0).alias("few")))
     light = F.transform(F.sequence(F.lit(0), F.col("na") - 1), lambda j: F.struct(F.col("own_l").alias("li"), j.alias("aj"), F.lit(1).alias("few")))
     place = F.explode(F.when(F.col("label") != F.col("common"), F.concat(every, light)).otherwise(every))
@@ -418,7 +427,7 @@ def _full_sets(rows: DataFrame, cluster: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "cid", "w", "payload"])
 
     sets = cut(texts.select("doc_id", "key", "text").mapInArrow(full, "key long, cid long, w long, payload binary").where("w > 0"))
-    return sets.join(sets.groupBy("key").agg(F.count("*").alias("s"), F.sum("w").alias("t")), "key")
+    return sets.join(_small(sets.groupBy("key").agg(F.count("*").alias("s"), F.sum("w").alias("t"))), "key")
 
 
 def keep_firsts(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -56,8 +57,11 @@ def ship(spark: SparkSession) -> None:
     """Send this package to the executors once a context, so that Python workers can import it anywhere; and let the session's Arrow
     batches hold BATCH_BYTES at most, as each is held by the JVM and by the worker."""
     limit = "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = spark.conf.get(limit, "0b")
-    if held.rstrip("b").isdigit() and int(held.rstrip("b")) > BATCH_BYTES:
+    try:
+        held = spark.conf.get(limit).rstrip("b")
+    except PySparkException:  # a version without the setting
+        held = ""
+    if held.isdigit() and int(held) > BATCH_BYTES:
         spark.conf.set(limit, str(BATCH_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_strataloom_shipped", False):
