@@ -143,3 +143,27 @@ def economics(runs: DataFrame, by: list[str]) -> DataFrame:
     """Runs, pass rate, mean input, output and cache tokens, dollars a run and turns of each cell."""
     mean = lambda c: F.round(F.avg(c), 5).alias(c)
     return runs.groupBy(*by).agg(F.count("*").alias("runs"), F.round(F.avg(F.col("passed").cast("double")), 6).alias("pass_rate"), *[mean(c) for c in ("tokens_in", "tokens_out", "tokens_cached", "cost", "turns")])
+
+
+#: Tokens that a hit costs instead of the block's own.
+HIT_TOKENS = 45
+
+
+def simulated(blocks: DataFrame, by: str, covered: Column, raw: str, hit_tokens: int = HIT_TOKENS) -> DataFrame:
+    """by, blocks, hits, hit_rate, covered_share (of the raw tokens), spent: a covered block costs ``hit_tokens``, another its own."""
+    hit = F.coalesce(covered, F.lit(False))
+    rows = blocks.withColumns({"_h": hit, "_s": F.when(hit, hit_tokens).otherwise(F.col(raw))})
+    out = rows.groupBy(by).agg(F.count("*").alias("blocks"), F.count_if("_h").alias("hits"), F.sum(F.when(F.col("_h"), F.col(raw)).otherwise(0)).alias("_c"), F.sum(raw).alias("_r"), F.sum("_s").alias("spent"))
+    return out.select(by, "blocks", "hits", F.round(F.col("hits") / F.col("blocks"), 6).alias("hit_rate"), F.round(F.try_divide("_c", "_r"), 6).alias("covered_share"), "spent")
+
+
+def round_trips(rows: DataFrame, by: list[str], k: int = 10, good: float = 0.7) -> DataFrame:
+    """Commits by state: atomised, root among the first k, score of ``good`` or more, as shares, and the number and first of those that fail any.
+
+    rows: id, atomised, rank (null: not found), score.
+    """
+    found = F.coalesce(F.col("rank") <= k, F.lit(False))
+    strong = F.coalesce(F.col("score") >= good, F.lit(False))
+    share = lambda c, name: F.round(F.avg(c.cast("double")), 6).alias(name)
+    bad = ~(F.col("atomised") & found & strong)
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), share(F.col("atomised"), "atomised"), share(found, "in_top"), share(strong, "strong"), F.count_if(bad).alias("failing"), F.min(F.when(bad, F.col("id"))).alias("first_failing"))

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import positions
+
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
@@ -258,3 +260,42 @@ def gap_reason(foreign: Column, unresolved: Column, null_provenance: Column, abs
 def artifact_status(text: Column, present: Column, least: int = 200, sentinel: str = "TODO") -> Column:
     """missing, placeholder (short, or with the sentinel) or real."""
     return F.when(~present, "missing").when((F.length(text) < least) | F.contains(text, F.lit(sentinel)), "placeholder").otherwise("real")
+
+
+def pages(rows: DataFrame, key: str, limit: int, cut) -> DataFrame:
+    """Every row with its keyset page (from 1) in the order of ``key``, and whether more pages follow: what a client that asks page by page would get."""
+    limit = max(1, min(limit, 1000))
+    placed = positions(rows.select(key).distinct(), [F.col(key)], cut)
+    last = placed.agg(F.max("position")).first()[0] or 0
+    page_no = F.ceil(F.col("position") / limit).cast("long")
+    return placed.select(key, page_no.alias("page"), (page_no * limit < last).alias("more"))
+
+
+def submitted(rows: DataFrame, present: DataFrame, errors: Column, made: Column, order: list[str]) -> DataFrame:
+    """Rows that a client submits, with their outcome: rejected:<first error>, or what ``stored`` says of the others."""
+    rows = rows.withColumn("_error", F.get(errors, 0))
+    good = stored(rows.where("_error is null"), present, made, order).drop("_error")
+    bad = rows.where("_error is not null").withColumn("outcome", F.concat(F.lit("rejected:"), "_error")).drop("_error")
+    return good.unionByName(bad)
+
+
+def export_vectors(vectors: DataFrame, folder: str, key: str = "vec_id", vec_col: str = "embedding") -> None:
+    """Vectors as JSON rows (key, vector as an array of numbers), in the key's order over and within the files."""
+    vectors.select(key, F.col(vec_col).cast("array<double>").alias("vector")).repartitionByRange(key).sortWithinPartitions(key).write.json(folder)
+
+
+def atom_index(cards: DataFrame, vectors: DataFrame, spec: str, root: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """(cards of the representatives, the least root of each specification; their vectors; what is missing on either side). An index is consistent
+    when nothing is missing."""
+    best = cards.groupBy(spec).agg(F.min(root).alias(root))
+    has = vectors.select(spec).distinct()
+    missing = {"vectors": best.join(has, spec, "left_anti").count(), "cards": has.join(best.select(spec), spec, "left_anti").count()}
+    return best.join(has, spec, "left_semi"), vectors.join(best.select(spec), spec, "left_semi"), missing
+
+
+def subset_report(fresh: DataFrame, committed: DataFrame, root: str, source: str) -> DataFrame:
+    """source, missing, first_root of fresh roots that aren't committed, and under a null source the number of committed ones that aren't fresh any more (archived)."""
+    lost = fresh.select(root, source).distinct().join(committed.select(root).distinct(), root, "left_anti")
+    by_source = lost.groupBy(source).agg(F.count("*").alias("missing"), F.min(root).alias("first_root"))
+    old = committed.select(root).distinct().join(fresh.select(root), root, "left_anti")
+    return by_source.unionByName(old.agg(F.count("*").alias("missing")).select(F.lit(None).cast("string").alias(source), "missing", F.lit(None).cast("string").alias("first_root")))

@@ -97,3 +97,14 @@ def sprint(categories: DataFrame, least_tasks: int = 30, killer: str = "boilerpl
     verdict = F.when(F.coalesce(F.sum("tasks"), F.lit(0)) < least_tasks, "INSUFFICIENT_DATA").when(F.bool_and("pass"), "PASS").when(~F.bool_or("pass"), "FAIL").otherwise("MIXED")
     killed = F.coalesce(F.bool_or((F.col("category") == killer) & (F.col("tasks") > 0) & (F.col("rate") < kill_rate)), F.lit(False))
     return categories.agg(verdict.alias("verdict"), F.coalesce(F.sum("tasks"), F.lit(0)).alias("tasks"), killed.alias("killed"))
+
+
+def queue_states(misses: DataFrame, completions: DataFrame, key: str) -> DataFrame:
+    """key, queued_at, status of every missed key: its last completion's outcome if that came at or after the last miss, else pending.
+
+    misses: key, t; completions: key, t, outcome.
+    """
+    asked = misses.groupBy(key).agg(F.max("t").alias("queued_at"))
+    done = completions.groupBy(key).agg(F.max(F.struct("t", "outcome")).alias("_d"))
+    late = F.coalesce(F.col("_d.t") >= F.col("queued_at"), F.lit(False))
+    return asked.join(done, key, "left").select(key, "queued_at", F.when(late, F.col("_d.outcome")).otherwise("pending").alias("status"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SLICES = ("discovery", "store", "matching", "telemetry", "ledger", "metrics", "replicate", "similar", "graphs", "benchmarks", "gates", "scalars", "streams", "more", "records", "reports")
+SLICES = ("discovery", "store", "matching", "telemetry", "ledger", "metrics", "replicate", "similar", "graphs", "benchmarks", "gates", "scalars", "streams", "more", "records", "reports", "exports")
 
 
 def _merged(what: str) -> dict:

@@ -77,8 +77,8 @@ def hit_percentiles(spark, sf_dir):
     # The floor convention by a histogram: the least count that floor(0.9 n) + 1 atoms don't exceed.
     upto = F.sum("k").over(Window.orderBy("hits"))  # a row for each different count
     floor = h.groupBy("hits").agg(F.count("*").alias("k")).withColumn("upto", upto).withColumn("n", F.sum("k").over(Window.partitionBy()))
-    floor = floor.where(F.col("upto") >= F.floor(F.col("n") * 0.9) + 1).agg(F.min("hits").alias("p90_floor"))
-    return h.agg(F.expr("percentile_disc(0.5) within group (order by hits)").cast("long").alias("p50"), F.expr("percentile_disc(0.9) within group (order by hits)").cast("long").alias("p90"), F.median("hits").alias("middle"), F.max("hits").alias("most")).join(F.broadcast(floor))  # one row each
+    floor = floor.where(F.col("upto") >= F.floor(F.col("n") * 0.9) + 1).agg(F.min("hits")).first()[0]
+    return h.agg(F.expr("percentile_disc(0.5) within group (order by hits)").cast("long").alias("p50"), F.expr("percentile_disc(0.9) within group (order by hits)").cast("long").alias("p90"), F.median("hits").alias("middle"), F.max("hits").alias("most"), F.lit(floor).cast("long").alias("p90_floor"))
 
 
 @query(f"WITH {_REUSE}, j AS (SELECT h.atom, hits, length(text) - length(replace(text, chr(10), '')) + 1 AS lines, CASE doc_id % 5 WHEN 0 THEN 'L0' WHEN 1 THEN 'L1' WHEN 2 THEN 'L2' WHEN 3 THEN 'L3' END AS level FROM h LEFT JOIN documents ON doc_id = atom * 3) SELECT coalesce(level, 'unknown') AS level, count(*) AS atoms, sum(hits)::BIGINT AS hits, sum(hits * lines)::BIGINT AS lines_saved FROM j GROUP BY 1")

@@ -21,6 +21,31 @@ def append_sessions(events: DataFrame, path: str) -> None:
     events.write.mode("append").partitionBy("session").json(path)
 
 
+def ticks(events: DataFrame, seconds: float = 5, most: int = 50) -> DataFrame:
+    """session, tick, part, body: what a batcher sends that flushes every ``seconds`` or at ``most`` events, as whole envelopes in time order.
+
+    Ticks count from the session's first event. An envelope has the schema's version, the session, the time of its last event and the events.
+    """
+    from pyspark.sql import Window
+
+    first = events.groupBy("session").agg(F.min("t").alias("_first"))
+    rows = events.join(first, "session").withColumn("tick", F.floor((F.col("t") - F.col("_first")) / (1000 * seconds)).cast("long"))
+    n = F.row_number().over(Window.partitionBy("session", "tick").orderBy("t", "seq"))
+    rows = rows.withColumn("part", F.floor((n - 1) / most).cast("int"))
+    own = [c for c in events.columns if c not in ("session", "t", "seq")]
+    batch = F.array_sort(F.collect_list(F.struct("t", "seq", *own)))  # ``most`` events at most
+    body = F.to_json(F.struct(F.lit(1).alias("schemaVersion"), F.col("session").cast("string").alias("sessionId"), F.max("t").alias("sentAt"), batch.alias("events")))
+    return rows.groupBy("session", "tick", "part").agg(F.count("*").alias("n"), body.alias("body"))
+
+
+def listing(lines: DataFrame) -> DataFrame:
+    """name, n, modified, position of each file, the newest first. lines: name, modified."""
+    from pyspark.sql import Window
+
+    per = lines.groupBy("name").agg(F.count("*").alias("n"), F.max("modified").alias("modified"))
+    return per.withColumn("position", F.row_number().over(Window.orderBy(F.desc("modified"), "name")))  # a row a file
+
+
 def envelopes(events: DataFrame, most: int = 50) -> DataFrame:
     """session, part, n, body: the events of a session as JSON arrays of ``most`` events at most, in time order."""
     from pyspark.sql import Window
