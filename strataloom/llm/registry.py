@@ -14,8 +14,9 @@ from .pieces import op3_sentencepiece
 from .pivots import op12_nearest_neighbours
 from .rules import op5_quality_rules
 from .toxicity import op2_toxicity
+from .variants import op11_spelling_variants
 from .warc import op9_warc
 
-_ALL = (op1_best_fit_packing, op2_toxicity, op3_sentencepiece, op4_minhash_dedup, op5_quality_rules, op6_line_dedup, op7_license_scan, op8_embedding_dedup, op9_warc, op10_lm_scoring, op12_nearest_neighbours, op13_fill_in_middle)
+_ALL = (op1_best_fit_packing, op2_toxicity, op3_sentencepiece, op4_minhash_dedup, op5_quality_rules, op6_line_dedup, op7_license_scan, op8_embedding_dedup, op9_warc, op10_lm_scoring, op11_spelling_variants, op12_nearest_neighbours, op13_fill_in_middle)
 QUERIES = {f.__name__: f for f in _ALL}
 SQL = {"op5_quality_rules": rules.SQL, "op6_line_dedup": lines.SQL, "op9_warc": warc.SQL, "op13_fill_in_middle": fim.SQL}

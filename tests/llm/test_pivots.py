@@ -84,8 +84,9 @@ def test_query_recall(spark, sf):
 def test_share_is_small_where_data_have_cells():
     x = made("cells", 4000, 32)
     longest = float(np.sqrt((x * x).sum(1)).max()) * (1 + 1e-12)
-    found = pivots.Pivots(x, x[::20], longest, 8, 20, False)
-    assert found.share * found.probes / 8 <= 0.3
+    assert pivots.Pivots(x, x[::20], longest, 1, 20, False).share <= 0.1
+    found = pivots.Pivots(x, x[::20], longest, 16, 20, False)
+    assert found.share * found.probes / 16 <= 0.3
 
 
 def test_odd(spark):
