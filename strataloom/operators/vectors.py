@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors a block may hold; a larger query set is answered block by block against all rows.
-BLOCK_QUERIES = 20_000
-DIGITS = 6
+from .nearest import DIGITS, knn
 
 
 def score_of(distance: Column) -> Column:
@@ -31,66 +25,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.when(denominator == 0, 0.0).otherwise(dot / denominator))
 
 
-def _units(x: np.ndarray) -> np.ndarray:
-    """Rows of length 1; zero rows stay."""
-    n = np.sqrt((x * x).sum(1))
-    return x / np.where(n > 0, n, 1)[:, None]
-
-
-def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", metric: str = "l2") -> DataFrame:
-    """query_id, id, distance (L2, rounded to DIGITS), rank 1..k by (distance, id) for every query vector.
-
-    metric cosine: the distance is that of unit vectors, sqrt(max(0, 2 - 2 cos)), with a cosine of 0 for zero vectors.
-    Queries go to the executors in blocks of bounded size; each task keeps k rows a query, so what is shuffled is
-    k rows a query and task, whatever the table. Vectors of another length than the query's are skipped.
-    """
-    spark = vectors.sparkSession
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).cast("array<double>").alias("q")).where("q is not null")
-    total = q.count()
-    blocks = -(-total // BLOCK_QUERIES) or 1
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("v is not null")
-    kind = vectors.schema[id_col].dataType.simpleString()
-    found = None
-    for n in range(blocks):
-        own = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).toArrow().combine_chunks()  # BLOCK_QUERIES rows, about
-        lists = own.column("q").combine_chunks() if own.num_rows else pa.array([], pa.list_(pa.float64()))
-        names, sizes = own.column("query_id").to_numpy(), np.diff(lists.offsets.to_numpy())
-        by_dim = {int(d): np.flatnonzero(sizes == d) for d in np.unique(sizes)}
-        given = spark.sparkContext.broadcast({d: (names[at], lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), d)) for d, at in by_dim.items()})
-
-        def nearest(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
-            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for b in batches:
-                ids = b.column(0).to_numpy()
-                column = b.column(1)
-                sizes = np.diff(column.offsets.to_numpy())
-                for d, (_, qs) in given.value.items():
-                    at = np.flatnonzero(sizes == d)
-                    if not len(at):
-                        continue
-                    v = column.take(pa.array(at)).flatten().to_numpy().reshape(-1, d)
-                    v = _units(v) if metric == "cosine" else v
-                    for a in range(0, len(qs), 1024):
-                        part = qs[a : a + 1024]
-                        ends = 2 if metric == "cosine" else (part * part).sum(1)[:, None] + (v * v).sum(1)[None, :]
-                        square = ends - 2 * (_units(part) if metric == "cosine" else part) @ v.T
-                        dist = np.round(np.sqrt(np.maximum(square, 0)), DIGITS)
-                        who = np.broadcast_to(ids[at], dist.shape)
-                        key = (d, a)
-                        if key in best:
-                            dist, who = np.concatenate([best[key][0], dist], 1), np.concatenate([best[key][1], who], 1)
-                        order = np.lexsort((who, dist), axis=1)[:, :k]
-                        best[key] = np.take_along_axis(dist, order, 1), np.take_along_axis(who, order, 1)
-            for (d, a), (dist, who) in best.items():
-                names = given.value[d][0][a : a + 1024]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, dist.shape[1])), pa.array(who.reshape(-1)), pa.array(dist.reshape(-1))], names=["query_id", "id", "distance"])
-
-        part = rows.mapInArrow(nearest, f"query_id {kind}, id {kind}, distance double")
-        found = part if found is None else found.unionByName(part)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
 def with_gap(ranked: DataFrame, score: str = "score", by: str = "query_id", rank: str = "rank") -> DataFrame:
     """Adds second (the next score, 0 if none) and gap."""
     nxt = F.lead(score, 1, 0.0).over(Window.partitionBy(by).orderBy(rank))

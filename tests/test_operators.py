@@ -44,19 +44,6 @@ def test_cosine(spark):
     assert got[0][0] == 0 and abs(got[1][0] - 1) < 1e-12 and got[2][0] is None
 
 
-def test_knn_brute_and_blocks(spark, monkeypatch):
-    rng = np.random.default_rng(0)
-    x = rng.standard_normal((300, 8))
-    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, [0.0]), (901, None)]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 6)
-    want = {(q, int(i), k + 1) for q in range(0, 300, 10) for k, i in enumerate(sorted(range(300), key=lambda i: (d[q, i], i))[:7])}
-    for block in (20_000, 5):
-        monkeypatch.setattr(V, "BLOCK_QUERIES", block)
-        got = V.knn(table, table.where("vec_id % 10 = 0 and vec_id < 900"), 7)
-        assert {(r.query_id, r.id, r["rank"]) for r in got.collect()} == want
-
-
 def test_discovery_rules(spark):
     unit = lambda a: [math.cos(a), math.sin(a)]
     vectors = spark.createDataFrame([(1, unit(0.0)), (2, unit(0.1)), (3, unit(1.2)), (4, unit(3.0))], "spec_id long, embedding array<double>")
