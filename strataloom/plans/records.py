@@ -190,37 +190,50 @@ def schema_checks(spark, sf_dir):
     return p.select(F.col("p_partkey").alias("id"), C.schema_valid(doc, _SCHEMA).alias("valid"))
 
 
-@query("SELECT p_partkey AS id, p_name AS name, p_size + 0.5 AS size, p_partkey % 3 AS first, 'it''s, // not' AS note FROM part")
+@query(r"""WITH p AS (SELECT *, p_partkey % 7 <> 0 AS fine FROM part)
+SELECT p_partkey AS id, CASE WHEN fine THEN p_name || ' // .7' END AS name, CASE WHEN fine THEN p_size + 0.5 END AS size, CASE WHEN fine THEN p_partkey % 3 END::INT AS first,
+CASE WHEN fine THEN 'it''s .5, /* not */ "x.5"\' END AS note, CASE WHEN fine THEN p_size + 16 END::INT AS hex FROM p""")
 def json5_rows(spark, sf_dir):
+    """JSON5 texts whose strings hold what looks like comments and bare points; every seventh has a text behind the value and is refused."""
     p = table(spark, sf_dir, "part")
-    text = F.concat(F.lit("{ // a comment\n name: '"), F.col("p_name"), F.lit("', size: +"), F.col("p_size").cast("string"), F.lit(".5, /* two, */ list: ["), (F.col("p_partkey") % 3).cast("string"), F.lit(', .5,], "note": "it\'s, // not",}'))
-    r = J.from_json5(text, "name string, size double, list array<double>, note string")
-    return p.select(F.col("p_partkey").alias("id"), r["name"].alias("name"), r["size"].alias("size"), r["list"][0].cast("int").alias("first"), r["note"].alias("note"))
+    text = F.concat(
+        F.lit("{ // a comment \\\n name: '"), F.col("p_name"), F.lit(" // .7', size: +"), F.col("p_size").cast("string"), F.lit(".5, /* two, */ list: ["), (F.col("p_partkey") % 3).cast("string"), F.lit(', .5,], "note": "it\'s \\\n.5, /* not */ \\"x.5\\"\\\\", $hex_: 0x'),
+        F.hex(F.col("p_size") + 16), F.lit(",}"), F.when(F.col("p_partkey") % 7 == 0, " 1.").otherwise(""),
+    )
+    r = J.from_json5(text, "name string, size double, list array<double>, note string, `$hex_` int")
+    return p.select(F.col("p_partkey").alias("id"), r["name"].alias("name"), r["size"].alias("size"), r["list"][0].cast("int").alias("first"), r["note"].alias("note"), r["$hex_"].alias("hex"))
 
 
-@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 6 = 5 THEN NULL ELSE '{"a":[' || CASE WHEN p_partkey % 3 = 0 THEN '0' ELSE p_size::VARCHAR END || ',' || p_size || '.5,"x y"],"b":{"c":null,"d":true}}' END AS canonical FROM part""")
+@query(r"""SELECT p_partkey AS id, CASE WHEN p_partkey % 6 = 5 THEN NULL ELSE '{"B":1,"a":[' || CASE WHEN p_partkey % 3 = 0 THEN '0' ELSE p_size::VARCHAR END || ',' || CASE WHEN p_partkey % 6 = 4 THEN (p_size * 100)::VARCHAR ELSE p_size || '.5' END || ',"x \"-0.50\"/\\"],"b":{"c":null,"d":true},"😀":"' || p_name || '","｡":"\u000b"}' END AS canonical FROM part""")
 def canonical_texts(spark, sf_dir):
-    """Nested texts in canonical form; every sixth has an exponent and is refused."""
+    """Nested texts in canonical form; every sixth has a number that needs an exponent and is refused."""
     p = table(spark, sf_dir, "part")
     size, k = F.col("p_size").cast("string"), F.col("p_partkey")
-    text = F.concat(F.lit('{ "b": {"d":true, "c":null},\n"a": ['), F.when(k % 3 == 0, "-0").otherwise(F.concat(size, F.lit(".0"))), F.lit(", "), size, F.when(k % 6 == 5, "e2").otherwise(".50"), F.lit(', "x y"] }'))
+    number = F.when(k % 6 == 5, F.concat(size, F.lit("e-9"))).when(k % 6 == 4, F.concat(size, F.lit(".0e2"))).otherwise(F.concat(size, F.lit(".50")))
+    text = F.concat(F.lit('{ "｡": "\\u000B", "\\ud83d\\ude00":"'), F.col("p_name"), F.lit('", "b": {"d":true, "c":null},\n"a": ['), F.when(k % 3 == 0, "-0").otherwise(F.concat(size, F.lit(".0"))), F.lit(", "), number, F.lit(', "x \\"-0.50\\"\\/\\\\"], "B":1.0 }'))
     return p.select(k.alias("id"), J.canonical_json(text).alias("canonical"))
 
 
-@query("SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN p_size::VARCHAR WHEN 2 THEN 'tilde' WHEN 3 THEN NULL ELSE 'seven' END AS found FROM part")
+@query("SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN p_name WHEN 1 THEN p_size::VARCHAR WHEN 2 THEN 'tilde' WHEN 3 THEN NULL WHEN 4 THEN 'seven' WHEN 5 THEN 'it''s' WHEN 6 THEN 'null' ELSE NULL END AS found FROM part")
 def pointer_rows(spark, sf_dir):
     """Pointers that differ from row to row."""
     p = table(spark, sf_dir, "part")
-    doc = F.concat(F.lit('{"n":{"x/y":"'), F.col("p_name"), F.lit('"},"l":[1,'), F.col("p_size").cast("string"), F.lit('],"m~n":"tilde","7":"seven"}'))
-    k = F.col("p_partkey") % 5
-    pointer = F.when(k == 0, "/n/x~1y").when(k == 1, "/l/1").when(k == 2, "/m~0n").when(k == 3, "n").otherwise("/7")
+    doc = F.concat(F.lit('{"n":{"x/y":"'), F.col("p_name"), F.lit('"},"l":[1,'), F.col("p_size").cast("string"), F.lit('],"m~n":"tilde","7":"seven","q\'\\"":["it\'s"],"none":null}'))
+    pointer = F.element_at(F.array(*map(F.lit, ("/n/x~1y", "/l/1", "/m~0n", "n", "/7", "/q'\"/0", "/none", "/l/01"))), (F.col("p_partkey") % 8 + 1).cast("int"))
     return p.select(F.col("p_partkey").alias("id"), J.json_at(doc, pointer).alias("found"))
 
 
-@query("""SELECT p_partkey AS id, '{' || CASE WHEN p_partkey % 2 = 0 THEN '"behavior":"' || p_name || '",' ELSE '' END || '"inputs":[{"id":"q0","name":"arg0","type":"' || p_brand || '"},{"id":"q1","name":"arg1","type":"number"}]' || CASE WHEN p_partkey % 3 = 0 THEN ',"outputs":[{"id":"p0","name":"out0","type":"' || p_type || '"}]' ELSE '' END || '}' AS text FROM part""")
+@query("""SELECT p_partkey AS id, '{' || CASE WHEN p_partkey % 2 = 0 THEN '"behavior":"' || p_name || '",' ELSE '' END || CASE WHEN p_partkey % 5 = 0 THEN '"errorConditions":[{"description":"' || p_type || '"}],"guarantees":[{"description":"total","id":"q0"},{"description":"' || p_brand || '","id":"q1"}],' ELSE '' END
+|| '"inputs":[{"name":"arg0","type":"' || p_brand || '"},{"name":"n","type":"number"}]' || CASE WHEN p_partkey % 4 = 0 THEN ',"nonFunctional":{"purity":"pure","time":"O(' || p_size || ')"}' ELSE '' END || CASE WHEN p_partkey % 3 = 0 THEN ',"outputs":[{"name":"out0","type":"' || p_type || '"}]' ELSE '' END || CASE WHEN p_partkey % 7 = 0 THEN ',"propertyTests":[{"description":"idempotent","id":"p0"}]' ELSE '' END || '}' AS text FROM part""")
 def query_texts(spark, sf_dir):
+    """The text of a query card: only the dimensions that it has, keys in order."""
     k = F.col("p_partkey")
-    text = T.query_text(F.when(k % 2 == 0, F.col("p_name")), F.array(F.col("p_brand"), F.lit("number")), F.when(k % 3 == 0, F.array("p_type")), F.lit(None).cast("string"))
+    parameter = lambda name, kind: F.struct(F.lit(name).cast("string").alias("name"), kind.alias("type"))
+    every = lambda n, c: F.when(k % n == 0, c)
+    text = T.query_text(
+        behavior=every(2, F.col("p_name")).otherwise(""), errors=every(5, F.array("p_type")), guarantees=every(5, F.array(F.lit("total"), F.col("p_brand"))), inputs=F.array(parameter(None, F.col("p_brand")), parameter("n", F.lit("number"))),
+        purity=every(4, F.lit("pure")), time=every(4, F.concat(F.lit("O("), F.col("p_size").cast("string"), F.lit(")"))), outputs=every(3, F.array(parameter(None, F.col("p_type")))), property_tests=every(7, F.array(F.lit("idempotent"))),
+    )
     return table(spark, sf_dir, "part").select(k.alias("id"), text.alias("text"))
 
 
