@@ -1,11 +1,12 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products within cells, one vector kept per group.
 
-Equal vectors form one class with a count. Centroids are fitted on a bounded sample (SAMPLE vectors); every class
-belongs to its nearest cell, and is also shown to each cell whose cosine is within MARGIN of that of its own. A pair
-is compared in the home cell of one of the two if the other is shown there. For cosine c between two vectors the
-difference of their scores on a centroid is at most sqrt(2 - 2c) and has, over directions that the centroid knows
-nothing of, a standard deviation of sqrt((1 - c*c) / dim); the margin is DEVIATIONS of these for two scores, and a pair
-is lost only if both of its vectors miss the other's home cell. Recall against brute force is measured in the tests.
+Equal vectors form one class with a count. Centroids are fitted on a bounded sample (SAMPLE vectors), from which a mean that dominates
+is taken off first; every class belongs to its nearest cell, and is also shown to each cell whose cosine is within a margin of that of its
+own. A pair is compared in the home cell of one of the two if the other is shown there, so it is lost only if both miss the
+other's home cell. The margin comes from the data: sampled vectors are turned by the angle of the threshold towards other vectors, half of these
+from the cell next to their own, and the QUANTILE of what such pairs need is taken, with HEADROOM. Directions within the data are the ones that
+change cells, whatever the number of dimensions. ``exact`` shows a vector to every cell that any vector of that angle could be at home in: the
+difference of its scores on two centroids moves by no more than their distance times that of the pair. Recall is measured in the tests.
 
 Cells are split into blocks of BLOCK homes and SHOWN shown vectors; a block pair is compared by matrix products of bounded
 size and emits sums of links and a spanning forest, not the links. So a cell of any size is many bounded groups.
@@ -29,7 +30,12 @@ SAMPLE = 16_384
 CELL = 512
 MOST_CELLS = 4096
 BLOCK, SHOWN = 1024, 8192
-DEVIATIONS = 4
+#: Vectors that are turned to fit the margin, the share of these pairs that it must hold, and what it is widened by.
+TURNED, QUANTILE, HEADROOM = 4096, 0.999, 1.1
+#: A mean of unit vectors longer than this is taken off.
+DOMINANT = 0.3
+#: Numbers of the sample and of the centroids.
+NUMBERS = 1 << 23
 
 
 def unit_rows(vectors: pa.ListArray, dim: int) -> np.ndarray:
@@ -57,22 +63,66 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> n
     return c
 
 
-def margin(threshold: float, dim: int) -> float:
-    """How far below its own a cell's cosine may be for a vector to be shown there."""
-    c = max(min(threshold, 1.0), -1.0)
-    return min(math.sqrt(2 - 2 * c) * 2, DEVIATIONS * math.sqrt(2 * (1 - c * c) / dim)) if c > 0 else 2.0
+class Cells:
+    """Centroids, the mean that is taken off, and to which cells a vector is shown."""
+
+    def __init__(self, sample: np.ndarray, k: int, threshold: float, exact: bool = False, seed: int = 5):
+        mean = sample.mean(0)
+        self.mean = mean if not exact and np.sqrt(mean @ mean) > DOMINANT else None
+        z = self.moved(sample)
+        self.centroids = spherical_kmeans(z, min(k, len(z)))
+        self.reach, self.margin = None, 2.0
+        if exact:
+            far = np.sqrt(np.maximum(0, 2 - 2 * self.centroids @ self.centroids.T) + 1e-12)
+            self.reach = far * math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
+        elif len(self.centroids) > 1 and -1 < threshold < 1:
+            self.margin = self.needed(sample, threshold, np.random.default_rng(seed))
+
+    def moved(self, x: np.ndarray) -> np.ndarray:
+        if self.mean is None:
+            return x
+        z = x - self.mean
+        return z / np.maximum(np.sqrt((z * z).sum(1)), 1e-12)[:, None]
+
+    def needed(self, sample: np.ndarray, threshold: float, rng: np.random.Generator) -> float:
+        x = sample[rng.choice(len(sample), min(TURNED, len(sample)), replace=False)]
+        s = self.moved(sample) @ self.centroids.T
+        home = s.argmax(1)
+        first = np.argsort(home, kind="stable")
+        start, size = np.searchsorted(home[first], np.arange(len(self.centroids))), np.bincount(home, minlength=len(self.centroids))
+        own = self.moved(x) @ self.centroids.T
+        second = np.argsort(own, axis=1)[:, -2]
+        beside = first[np.minimum(start[second] + (rng.random(len(x)) * size[second]).astype(np.int64), len(sample) - 1)]
+        to = np.where((rng.random(len(x)) < 0.5) & (size[second] > 0), beside, rng.integers(0, len(sample), len(x)))
+        u = sample[to] - (sample[to] * x).sum(1)[:, None] * x
+        length = np.sqrt((u * u).sum(1))
+        some = length > 1e-9
+        if not some.any():
+            return 2.0
+        x, u, own = x[some], u[some] / length[some, None], own[some]
+        y = threshold * x + math.sqrt(1 - threshold * threshold) * u
+        other = self.moved(y) @ self.centroids.T
+        at = np.arange(len(x))
+        lost = np.minimum(other.max(1) - other[at, own.argmax(1)], own.max(1) - own[at, other.argmax(1)])
+        return float(np.quantile(lost, QUANTILE, method="higher")) * HEADROOM + 1e-9
+
+    def shown(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(own cell of each row, which cells it is shown to)."""
+        s = self.moved(x) @ self.centroids.T
+        home = s.argmax(1)
+        below = s.max(1)[:, None] - s
+        return home, below <= (self.margin if self.reach is None else self.reach[home])
 
 
-def dealt(batches: Iterator[pa.RecordBatch], centroids: np.ndarray, slack: float) -> Iterator[pa.RecordBatch]:
+def dealt(batches: Iterator[pa.RecordBatch], cells: Cells) -> Iterator[pa.RecordBatch]:
     """Rows (cid, copies, embedding) -> a row per cell the class is shown to: cell, home."""
-    dim = centroids.shape[1]
+    dim = cells.centroids.shape[1]
     for whole in batches:
         for a in range(0, whole.num_rows, 4096):
             b = whole.slice(a, 4096)
             x = unit_rows(b.column(2), dim)
-            s = x @ centroids.T
-            home = s.argmax(1)
-            row, cell = np.nonzero(s >= (s.max(1) - slack)[:, None])
+            home, shown = cells.shown(x)
+            row, cell = np.nonzero(shown)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(cell.astype(np.int32)), pa.array(home[row].astype(np.int32)), pa.array([x[i].tobytes() for i in row], pa.binary())], names=["cid", "copies", "cell", "home", "unit"])
 
 
@@ -135,12 +185,12 @@ def linked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(ns, pa.int64())], schema=_LINKS)
 
 
-def near_vectors(table: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def near_vectors(table: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", exact: bool = False) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
     Null and zero vectors, and those with null or non-finite components, link with nothing. Only
     vectors of one length are compared; each length has cells of its own. Rows with equal ids are vectors of their own but share a component;
-    null ids link with nothing. An empty table gives an empty one; other columns aren't read.
+    null ids link with nothing. exact: no pair is lost, for more comparisons. An empty table gives an empty one; other columns aren't read.
     """
     spark = table.sparkSession
     ship(spark)
@@ -153,10 +203,11 @@ def near_vectors(table: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     for r in classes.groupBy(F.size("e").alias("dim")).count().orderBy("dim").collect():  # one row a length
         dim, total = r["dim"], r["count"]
         some = classes.where(F.size("e") == dim)
-        k = max(1, min(MOST_CELLS, -(-total // CELL)))
-        share = min(1.0, 1.2 * SAMPLE / total)
-        seen = (some.sample(fraction=share, seed=7) if share < 1 else some).select("e").limit(SAMPLE).toArrow().column(0).combine_chunks()
-        own = _links(some, spherical_kmeans(unit_rows(seen, dim), min(k, len(seen))), threshold, dim)
+        k = max(1, min(MOST_CELLS, -(-total // CELL), NUMBERS // dim))
+        most = max(1, min(SAMPLE, NUMBERS // dim))
+        share = min(1.0, 1.2 * most / total)
+        seen = (some.sample(fraction=share, seed=7) if share < 1 else some).select("e").limit(most).toArrow().column(0).combine_chunks()
+        own = _links(some, Cells(unit_rows(seen, dim), k, threshold, exact), threshold)
         sums = own.groupBy(F.col("u").alias("cid")).agg(F.sum("n").alias("n"))
         counted = some.join(sums, "cid", "left")
         known = counted if known is None else known.unionByName(counted)
@@ -169,15 +220,14 @@ def near_vectors(table: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     return out.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _links(classes: DataFrame, centroids: np.ndarray, threshold: float, dim: int) -> DataFrame:
+def _links(classes: DataFrame, cells: Cells, threshold: float) -> DataFrame:
     spark = classes.sparkSession
-    given = spark.sparkContext.broadcast(centroids)  # MOST_CELLS rows at most
-    slack = margin(threshold, dim)
-    shown = cut(classes.select("cid", "copies", "e").mapInArrow(lambda it: dealt(it, given.value, slack), "cid long, copies long, cell int, home int, unit binary"))
+    given = spark.sparkContext.broadcast(cells)  # MOST_CELLS rows at most
+    shown = cut(classes.select("cid", "copies", "e").mapInArrow(lambda it: dealt(it, given.value), "cid long, copies long, cell int, home int, unit binary"))
     size = shown.groupBy("cell").agg(F.sum(F.expr("int(cell = home)")).alias("homes"), F.count("*").alias("all"))
-    cells = F.broadcast(size.select("cell", F.ceil(F.col("homes") / BLOCK).cast("int").alias("nh"), F.ceil(F.col("all") / SHOWN).cast("int").alias("no")))  # MOST_CELLS rows at most
+    plan = F.broadcast(size.select("cell", F.ceil(F.col("homes") / BLOCK).cast("int").alias("nh"), F.ceil(F.col("all") / SHOWN).cast("int").alias("no")))  # MOST_CELLS rows at most
     lists = shown.where("cell != home").groupBy("cid").agg(F.collect_list("cell").alias("cells"))  # bounded by MOST_CELLS
-    part = shown.join(cells, "cell").withColumns({"own_h": F.expr("int(pmod(xxhash64(cid), greatest(nh, 1)))"), "own_o": F.expr("int(pmod(xxhash64(cid), no))")})
+    part = shown.join(plan, "cell").withColumns({"own_h": F.expr("int(pmod(xxhash64(cid), greatest(nh, 1)))"), "own_o": F.expr("int(pmod(xxhash64(cid), no))")})
     as_home = part.where("cell = home").join(lists, "cid", "left").select("cell", F.col("own_h").alias("hb"), F.explode(F.expr("sequence(0, no - 1)")).alias("ob"), F.lit(True).alias("as_home"), "cid", "copies", "home", "unit", F.coalesce("cells", F.array().cast("array<int>")).alias("cells"))
     as_other = part.where("nh > 0").select("cell", F.explode(F.expr("sequence(0, nh - 1)")).alias("hb"), F.col("own_o").alias("ob"), F.lit(False).alias("as_home"), "cid", "copies", "home", "unit", F.array().cast("array<int>").alias("cells"))
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -10,6 +10,9 @@ within their length, on the executors. Packing is global, and what the driver ho
 from __future__ import annotations
 
 import base64
+import json
+import pathlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,13 +26,13 @@ from . import textvec as tv
 from .store import cut, ship
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, slot long"
-#: Unicode white space outside ASCII, as UTF-8. A text with any of it is coded whole, as segments would not be independent.
+#: Unicode white space outside ASCII, as UTF-8. A text with any of it, or with an added token, is coded whole, as segments would not be independent.
 WIDE_SPACE = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", *(b"\xe2\x80" + bytes([x]) for x in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), b"\xe2\x81\x9f", b"\xe3\x80\x80"]
 _vocabularies: dict = {}
 
 
 def bpe(ranks_path: str):
-    """Encoder of the byte-level vocabulary: the ids are those of tokenizers with the same vocabulary's .json (tested)."""
+    """Encoder of the byte-level vocabulary: the ids of texts without added tokens are those of tokenizers with the same vocabulary's .json (tested)."""
     import public_tokenizers
     import tiktoken
 
@@ -38,13 +41,37 @@ def bpe(ranks_path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_ids(data: np.ndarray, off: np.ndarray, coder: tv.Coded) -> tuple[np.ndarray, np.ndarray]:
+def added_tokens(vocabulary: str) -> dict[str, int]:
+    """Tokens of a vocabulary's .json that are taken out of a text before anything else, special ones too."""
+    with open(vocabulary, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if odd := [t["content"] for t in found if t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]]:
+        raise ValueError(f"added tokens with rules for what stands beside them: {odd}")
+    return {t["content"]: t["id"] for t in found}
+
+
+def with_added(text: str, encode, added: dict[str, int]) -> list[int]:
+    """Ids of a text: added tokens are ids of their own (the first place, then the longest one), each part between them is coded for itself."""
+    if not added:
+        return encode(text)
+    out: list[int] = []
+    parts = re.split("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")", text)
+    for k, part in enumerate(parts):
+        if k % 2:
+            out.append(added[part])
+        elif part:
+            out += encode(part)
+    return out
+
+
+def token_ids(data: np.ndarray, off: np.ndarray, coder: tv.Coded, added: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, one after another, and each text's first id (one more than texts)."""
     keys, checks, starts, first = tv.segments(data, off)
     raw = data.tobytes()
     if not len(keys):
         return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
-    odd = any(s in raw for s in WIDE_SPACE)
+    whole = [*WIDE_SPACE, *(t.encode() for t in added)]
+    odd = any(s in raw for s in whole)
     ends = np.append(starts[1:], len(raw))
     uniq, check, where, inverse = tv.distinct(keys, checks)
     at = coder.look(uniq, check, lambda i: raw[starts[where[i]] : ends[where[i]]].decode("utf-8", "replace"))[inverse]
@@ -55,8 +82,8 @@ def token_ids(data: np.ndarray, off: np.ndarray, coder: tv.Coded) -> tuple[np.nd
         runs = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         for k in range(len(runs)):
             own = raw[off[k] : off[k + 1]]
-            if any(s in own for s in WIDE_SPACE):
-                runs[k] = np.asarray(coder.code([own.decode("utf-8", "replace")])[0], np.uint32)
+            if any(s in own for s in whole):
+                runs[k] = np.asarray(with_added(own.decode("utf-8", "replace"), lambda t: coder.code([t])[0], added), np.uint32)
         ids = np.concatenate(runs)
         bounds = np.append(0, np.cumsum([len(r) for r in runs]))
     return ids, bounds
@@ -70,7 +97,7 @@ def coder_of(ranks_path: str) -> tv.Coded:
     return tv.Coded(lambda texts: [enc.encode_ordinary(t) for t in texts])
 
 
-def cut_pieces(batches: Iterator[pa.RecordBatch], ranks_path: str, width: int, end_id: int) -> Iterator[pa.RecordBatch]:
+def cut_pieces(batches: Iterator[pa.RecordBatch], ranks_path: str, added: dict[str, int], width: int, end_id: int) -> Iterator[pa.RecordBatch]:
     """Rows (id, text) -> pieces with their rank (slot) among this task's pieces of the same length."""
     coder = coder_of(ranks_path)
     part = TaskContext.get().partitionId() if TaskContext.get() else 0
@@ -78,7 +105,7 @@ def cut_pieces(batches: Iterator[pa.RecordBatch], ranks_path: str, width: int, e
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int64()), ("slot", pa.int64())])
     for whole in batches:
         for batch in tv.slices(whole, "text"):
-            ids, bounds = token_ids(*tv.utf8(batch.column(1)), coder)
+            ids, bounds = token_ids(*tv.utf8(batch.column(1)), coder, added)
             n = np.diff(bounds) + 1
             pieces = -(-n // width)
             doc = np.repeat(np.arange(len(n)), pieces)
@@ -172,16 +199,18 @@ def places(bins: list[tuple[list[int], int]]) -> dict[int, list[tuple[int, int,
     return out
 
 
-def pack(docs: DataFrame, ranks_path: str, width: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, ranks_path: str, width: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """Pieces of all rows: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
+    vocabulary: the .json with the added tokens, beside the ranks and of the same name unless given. Their strings in a text are these tokens.
     Null and empty texts are the end id alone. A null id stays null. Repeated rows are packed each for itself,
     an empty table gives an empty one, a text of any length is cut whole; other columns aren't read.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = cut(rows.mapInArrow(lambda it: cut_pieces(it, ranks_path, width, end_id), PIECES))
+    added = added_tokens(vocabulary or str(pathlib.Path(ranks_path).with_suffix(".json")))
+    pieces = cut(rows.mapInArrow(lambda it: cut_pieces(it, ranks_path, added, width, end_id), PIECES))
     per = pieces.groupBy("length", "part").agg((F.max("slot") + 1).alias("n"))
     base = cut(per.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("length", "part", "n", F.coalesce("base", F.lit(0)).alias("base")))
     counts = {r["length"]: r["n"] for r in base.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `width` rows

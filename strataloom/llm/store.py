@@ -1,53 +1,14 @@
-"""Lineage cuts in the folder that all executors share."""
+"""The shared folder, and this package on the executors with Arrow batches of bounded size."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one where that is unset and the master is local, an error elsewhere."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(found)
-        return found
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="strataloom-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Compute once into the shared folder; a lost executor costs only tasks that still run."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
+from pyspark.sql import SparkSession
 
-def release(*tables: DataFrame) -> None:
-    """Delete the files of tables that were cut and are read no more."""
-    for t in tables:
-        found = t._jdf.queryExecution().logical().rdd().getCheckpointFile()
-        if found.isDefined():
-            delete(t.sparkSession, found.get())
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+from ..operators import cluster
+from ..operators.cluster import cut, delete, new_path, release, shared_dir
 
+__all__ = ["cut", "delete", "new_path", "release", "shared_dir", "ship"]
 
 #: Bytes of an Arrow batch that goes to a Python worker, about; a longer text is a batch of its own.
 BATCH_BYTES = 8 << 20
@@ -63,16 +24,4 @@ def ship(spark: SparkSession) -> None:
         held = ""
     if held.isdigit() and int(held) > BATCH_BYTES:
         spark.conf.set(limit, str(BATCH_BYTES))
-    sc = spark.sparkContext
-    if getattr(sc, "_strataloom_shipped", False):
-        return
-    import pathlib
-    import zipfile
-
-    top = pathlib.Path(__file__).resolve().parent.parent
-    path = pathlib.Path(tempfile.mkdtemp(prefix="strataloom-")) / "strataloom_pkg.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent).as_posix())
-    sc.addPyFile(str(path))
-    sc._strataloom_shipped = True
+    cluster.ship(spark)

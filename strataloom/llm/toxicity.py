@@ -161,12 +161,14 @@ def held_out(col: str, fold_of: int = 0):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[dict[str, float], np.ndarray]:
-    """Lexicon (entry -> weight) and coefficients (constant, sum, rate), from rows outside the held-out fold."""
+    """Lexicon (entry -> weight) and coefficients (constant, sum, rate), from rows outside the held-out fold. Of rows that share an id, the text with
+    the least hash is learned from."""
     ship(docs.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("toxic")).where("i is not null and toxic is not null")
     known = known.where(~held_out("i")).groupBy("i").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("i"), "i").limit(TRAIN_ROWS)
     texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("text"))
-    rows = cut(texts.join(F.broadcast(known), "i").select("text", "toxic"))  # TRAIN_ROWS ids at most
+    own = texts.join(F.broadcast(known), "i").groupBy("i").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))  # TRAIN_ROWS ids at most
+    rows = cut(own.select("text", "toxic"))
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     pos, neg = n.get(1, 0), n.get(0, 0)
     lexicon = {f" {w} ": v for w, v in SEED.items()}
