@@ -1,4 +1,4 @@
-"""Source texts: normal forms, hashes, signatures and rules. Rules on syntax trees are approximated by patterns."""
+"""Normal forms of source texts, and the text of a query. Rules and signatures stand on the token table of sources.py."""
 
 from __future__ import annotations
 
@@ -7,65 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.json_texts import canonical_json
 
-#: Patterns by the rule that a match breaks.
-RULES = {
-    "any_type": r":\s*any\b|\bas\s+any\b|<any>",
-    "eval": r"\beval\s*\(|\bnew\s+Function\s*\(",
-    "reflection": r"\bReflect\.|\bObject\.(definePropert|getOwnPropert|setPrototypeOf)",
-    "prototype": r"__proto__|\.prototype\b",
-    "with": r"\bwith\s*\(",
-    "mutable_global": r"(?m)^(let|var)\s",
-    "throw_non_error": r"\bthrow\s+(?!new\s+\w*Error\b|\w+\s*;)",
-    "top_level_effect": r"(?m)^(console\.|process\.|fetch\()",
-    "untyped_import": r"\brequire\s*\(|\bimport\s*\(",
-}
-
-
 def normal_source(c: Column) -> Column:
     """Line ends as \\n, white space at both ends dropped."""
     return F.regexp_replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), r"^\s+|\s+$", "")
 
 
-def violations(c: Column) -> Column:
-    """All rules that a text breaks, in the table's order."""
-    return F.array_compact(F.array(*[F.when(c.rlike(p), F.lit(name)) for name, p in RULES.items()]))
-
-
-def boundaries(c: Column) -> Column:
-    """Number of control-flow keywords."""
-    return F.regexp_count(c, F.lit(r"\b(if|for|while|switch|try|catch|case|do)\b"))
-
-
-def canonical_source(c: Column) -> Column:
-    """Comments dropped, white space collapsed, and declared names made __v0, __v1 by their first declaration.
-
-    Strings aren't told from code, and names of inner scopes aren't told apart: texts that differ only in names,
-    comments and spacing get one form.
-    """
-    bare = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"(?s)/\*.*?\*/", " "), r"(?m)//[^\n]*$", " "), r"\s+", " "))
-    names = F.array_distinct(F.regexp_extract_all(bare, F.lit(r"\b(?:const|let|var|function)\s+([A-Za-z_]\w*)"), 1))
-    whole = F.transform(names, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    return F.aggregate(whole, bare, lambda t, n: F.regexp_replace(t, F.concat(F.lit("\\b"), n["x"], F.lit("\\b")), F.concat(F.lit("__v"), n["i"].cast("string"))))
-
-
-def canonical_hash(c: Column) -> Column:
-    return F.sha2(canonical_source(c).cast("binary"), 256)
-
-
-def signature(c: Column) -> Column:
-    """(name, params of name and type, result, summary) of the first exported function; null where there is none.
-
-    The summary is the first paragraph of the comment block right before it.
-    """
-    pattern = r"(?s)(?:/\*\*(?<doc>(?:(?!\*/).)*)\*/\s*)?export\s+(?:async\s+)?function\s+(\w+)\s*\(([^)]*)\)\s*(?::\s*([^{]+?))?\s*\{"
-    m = lambda g: F.regexp_extract(c, pattern, g)
-    params = F.filter(F.transform(F.split(m(3), ","), lambda p: F.trim(p)), lambda p: p != "")
-    typed = F.transform(params, lambda p: F.struct(F.trim(F.regexp_replace(F.split_part(p, F.lit(":"), F.lit(1)), r"\?$", "")).alias("name"), F.nullif(F.trim(F.split_part(p, F.lit(":"), F.lit(2))), F.lit("")).alias("type")))
-    lines = F.trim(F.regexp_replace(F.regexp_replace(m(1), r"(?m)^\s*\*?[ \t]?", ""), r"(?s)\n\s*\n.*|\n@.*", ""))
-    summary = F.nullif(F.trim(F.regexp_replace(lines, r"\s+", " ")), F.lit(""))
-    return F.when(m(2) != "", F.struct(m(2).alias("name"), typed.alias("params"), F.nullif(F.trim(m(4)), F.lit("")).alias("result"), summary.alias("summary")))
-
-
 def query_text(**parts: Column) -> Column:
     """Canonical JSON of the dimensions of a query that are present (not null, and not empty but for single properties).
 

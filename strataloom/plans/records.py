@@ -13,6 +13,7 @@ from ..operators import benchmarks as B
 from ..operators import graph as G
 from ..operators import ledger as L
 from ..operators import registry as R
+from ..operators import sources as SRC
 from ..operators import texts as T
 from ..operators import trees as W
 from ..operators import validation as C
@@ -238,29 +239,50 @@ def query_texts(spark, sf_dir):
 
 
 def sources(spark, sf_dir):
-    """Source texts made from part names: two words a name, the size as a number."""
+    """Source texts made from part names: two words a name, the size as a number. Strings and comments hold what would break rules if it were code."""
     p = table(spark, sf_dir, "part")
-    a, b, n = F.split_part("p_name", F.lit(" "), F.lit(1)), F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit("2")), F.col("p_size").cast("string")
+    a, b, n = F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit("_")), F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit("2")), F.col("p_size").cast("string")
     k = F.col("p_partkey")
     text = F.concat(
-        F.lit("\r\n/**\r\n * Adds "), a, F.lit(" things.\r\n * Twice.\r\n *\r\n * @param x one\r\n */\r\nexport function "), a, F.lit("Of(x: number, y?: string): Promise<"), F.col("p_brand"), F.lit("> {\r\n  const "), a, F.lit(" = "), n, F.lit("; // the size\r\n  let "), b, F.lit(" = "), a, F.lit(" + 1; /* and\r\n more */\r\n"),
-        F.when(k % 3 == 0, "  if (x) { return eval('1'); }\r\n").when(k % 3 == 1, "  for (;;) { throw 'no'; }\r\n").otherwise("  while (y as any) { Reflect.get(x, y); }\r\n"), F.lit("  return "), b, F.lit(";\r\n}\r\n"),
+        F.lit("\r\n/**\r\n * Adds "), a, F.lit(" things.\r\n * Twice.\r\n *\r\n * @param x one\r\n */\r\nexport function "), a, F.lit("Of(x: number, y?: string): Promise<"), F.col("p_brand"), F.lit("> {\r\n  const "), a, F.lit(" = "), n, F.lit("; // the size: eval(x)\r\n  let "), b, F.lit(" = "), a, F.lit(" + 1; /* and\r\n let more: any */\r\n  const note = \"// throw 'no' \" + o."), a, F.lit(";\r\n"),
+        F.when(k % 3 == 0, "  if (x) { return eval('1'); }\r\n").when(k % 3 == 1, "  for (;;) { throw 'no'; }\r\n").otherwise("  while (y as any) { Reflect.get(x, y); }\r\n"), F.lit("  { let "), a, F.lit(" = "), b, F.lit("; use("), a, F.lit("); }\r\n  return "), b, F.lit(";\r\n}\r\n"),
+        F.when(k % 4 == 0, F.lit("run()\r\n")).when(k % 4 == 1, "let state = `a ${run(1)} b`\r\n").otherwise(""),
     )
-    return p.select(k.alias("id"), text.alias("source"), a.alias("a"), F.col("p_brand").alias("brand"))
+    return p.select(k.alias("id"), T.normal_source(text).alias("source"))
 
 
-@query("""SELECT p_partkey AS id, split_part(p_name, ' ', 1) || 'Of' AS name, 'x:number,y:string' AS params, 'Promise<' || p_brand || '>' AS result, 'Adds ' || split_part(p_name, ' ', 1) || ' things. Twice.' AS summary, CASE p_partkey % 3 WHEN 0 THEN 'eval' WHEN 1 THEN 'throw_non_error' ELSE 'any_type,reflection' END AS broken, 1::INT AS boundaries FROM part""")
+def code(spark, sf_dir):
+    return SRC.code(SRC.tokens(sources(spark, sf_dir)))
+
+
+@query("""SELECT p_partkey AS id, split_part(p_name, ' ', 1) || '_Of' AS name, 'x:number,y:string' AS params, 'Promise<' || p_brand || '>' AS result, 'Adds ' || split_part(p_name, ' ', 1) || '_ things.' AS summary, 'x=one' AS described FROM part""")
 def source_signatures(spark, sf_dir):
-    """Name, parameters, result and summary of exported functions, broken rules, and control-flow keywords."""
-    s = T.signature(T.normal_source(F.col("source")))
-    params = F.array_join(F.transform(s["params"], lambda p: F.concat(p["name"], F.lit(":"), p["type"])), ",")
-    return sources(spark, sf_dir).select("id", s["name"].alias("name"), params.alias("params"), s["result"].alias("result"), s["summary"].alias("summary"), F.array_join(T.violations(F.col("source")), ",").alias("broken"), T.boundaries(F.col("source")).cast("int").alias("boundaries"))
+    """Name, parameters and result of exported functions, and what their comment blocks say."""
+    s = SRC.signatures(sources(spark, sf_dir), code(spark, sf_dir))
+    doc = SRC.documentation(F.col("doc"))
+    listed = lambda c, sep, k: F.array_join(F.transform(c, lambda p: F.concat(p["name"], F.lit(sep), p[k])), ",")
+    return s.select("id", "name", listed(F.col("params"), ":", "type").alias("params"), "result", doc["summary"].alias("summary"), listed(doc["params"], "=", "text").alias("described"))
+
+
+@query("""SELECT p_partkey AS id, concat_ws(',', CASE WHEN p_partkey % 3 = 2 THEN 'any_type' END, CASE WHEN p_partkey % 3 = 0 THEN 'eval' END, CASE WHEN p_partkey % 3 = 2 THEN 'reflection' END, CASE WHEN p_partkey % 4 = 1 THEN 'mutable_global' END, CASE WHEN p_partkey % 3 = 1 THEN 'throw_non_error' END, CASE WHEN p_partkey % 4 = 0 THEN 'top_level_effect' END) AS broken FROM part""")
+def subset_rules(spark, sf_dir):
+    """The rules of the strict subset that each source breaks, by its tokens."""
+    return SRC.broken_rules(code(spark, sf_dir)).select("id", F.array_join("rules", ",").alias("broken"))
+
+
+@query("SELECT p_partkey AS id, 1::INT AS boundaries, p_partkey % 4 >= 2 AS single FROM part")
+def atom_sources(spark, sf_dir):
+    """Control-flow boundaries, and whether a source is a single typed exported function."""
+    rows = code(spark, sf_dir)
+    return SRC.control_flow(rows).join(SRC.single_typed_function(rows, SRC.signatures(sources(spark, sf_dir), rows)), "id")
 
 
-@query("""SELECT p_partkey AS id, sha256('export function ' || split_part(p_name, ' ', 1) || 'Of(x: number, y?: string): Promise<' || p_brand || '> { const __v0 = ' || p_size || '; let __v1 = __v0 + 1; ' || CASE p_partkey % 3 WHEN 0 THEN 'if (x) { return eval(''1''); }' WHEN 1 THEN 'for (;;) { throw ''no''; }' ELSE 'while (y as any) { Reflect.get(x, y); }' END || ' return __v1; }') AS digest FROM part""")
+@query("""WITH t AS (SELECT p_partkey AS id, split_part(p_name, ' ', 1) || '_' AS a, p_partkey % 3 AS k, p_partkey % 4 AS m, p_size AS n, replace(p_brand, '#', ' # ') AS brand FROM part)
+SELECT id, sha256('export function ' || a || 'Of ( x : number , y ? : string ) : Promise < ' || brand || ' > { const __v0 = ' || n || ' ; let __v1 = __v0 + 1 ; const __v2 = "// throw ''no'' " + o . ' || a || ' ; '
+|| CASE k WHEN 0 THEN 'if ( x ) { return eval ( ''1'' ) ; }' WHEN 1 THEN 'for ( ; ; ) { throw ''no'' ; }' ELSE 'while ( y as any ) { Reflect . get ( x , y ) ; }' END || ' { let __v3 = __v1 ; use ( __v3 ) ; } return __v1 ; }' || CASE m WHEN 0 THEN ' run ( )' WHEN 1 THEN ' let __v4 = `a ${ run ( 1 ) } b`' ELSE '' END) AS digest FROM t""")
 def canonical_sources(spark, sf_dir):
-    """Names of locals don't matter to a source's digest, nor do comments and spacing; the declared function's own name is no local here."""
-    return sources(spark, sf_dir).select("id", F.sha2(F.regexp_replace(T.canonical_source(F.regexp_replace("source", r"export function", "export fn")), "export fn", "export function").cast("binary"), 256).alias("digest"))
+    """Names of locals don't matter to a source's digest, nor do comments and spacing; strings, properties and inner scopes do."""
+    return SRC.canonical_sources(code(spark, sf_dir)).select("id", F.sha2(F.col("canonical").cast("binary"), 256).alias("digest"))
 
 
 _TREE = "e AS (SELECT p_partkey // 8 AS a, p_partkey AS b FROM part WHERE p_partkey // 8 <> p_partkey)"
