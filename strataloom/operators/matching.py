@@ -49,6 +49,16 @@ def best_per(rows: DataFrame, by: str, *order) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where("_r = 1").drop("_r")
 
 
+def selected(blocks: DataFrame, edges: DataFrame) -> DataFrame:
+    """blocks (spec, root, passing) with dominated and rank: within a spec first the blocks that no other block of it is stricter than, then more
+    passing runs, then the smaller root. edges: a stricter than b, as declared; of a chain within a spec each link is an edge of its own."""
+    own = blocks.select("spec", "root").distinct()
+    upper = own.withColumnRenamed("root", "a").join(edges.select("a", F.col("b").alias("root")).where("a != b").distinct(), "a")
+    below = upper.join(own, ["spec", "root"]).select("spec", "root").distinct().withColumn("_d", F.lit(True))
+    rows = blocks.join(below, ["spec", "root"], "left").withColumn("dominated", F.coalesce("_d", F.lit(False))).drop("_d")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("spec").orderBy("dominated", F.desc("passing"), "root")))
+
+
 def lowerable(rows: DataFrame, status: Column, language: Column) -> DataFrame:
     """rows with lowerable (yes, no, unknown). Python blocks that are known not to lower drop out; Go and Rust are always unknown, and
     for TypeScript nothing is marked or dropped."""

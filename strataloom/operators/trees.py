@@ -38,13 +38,3 @@ def rolled_up(edges: DataFrame, leaves: DataFrame) -> DataFrame:
     own = leaves.select(F.col("node").alias("leaf"), "value")
     got = below.join(own, "leaf", "left").groupBy("node")
     return got.agg(F.count("value").alias("leaves"), F.coalesce(F.sum("value"), F.lit(0)).alias("total"), F.max("hops").alias("height"))
-
-
-def last_steps(edges: DataFrame, distances: DataFrame) -> DataFrame:
-    """(source, node, distance, before): the node before each on a shortest path, the smallest where there are several; null at the source."""
-    step = edges.groupBy("a", "b").agg(F.min("w").alias("w"))
-    prior = distances.select("source", F.col("node").alias("a"), F.col("distance").alias("_d")).join(step, "a")
-    here = distances.withColumnRenamed("node", "b")
-    both = prior.join(here, ["source", "b"]).where(F.abs(F.col("_d") + F.col("w") - F.col("distance")) < 1e-9).where("a != b")
-    best = both.groupBy("source", F.col("b").alias("node")).agg(F.min("a").alias("before"))
-    return distances.join(best, ["source", "node"], "left").withColumn("before", F.when(F.col("source") != F.col("node"), F.col("before")))
