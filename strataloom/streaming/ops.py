@@ -1,4 +1,4 @@
-"""Streams: drift windows, token buckets and bounty timers with state, micro-batch sinks, windows with watermarks."""
+"""Streams: drift windows and token buckets with state, micro-batch sinks, windows with watermarks. Bounty timers are in bounties.py."""
 
 from __future__ import annotations
 
