@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import benchmarks as B
@@ -11,8 +9,9 @@ from ..operators import ledger as L
 from ..operators import matching as M
 from ..operators import registry as R
 from ..operators import telemetry as T
-from ..operators.graph import cut
-from ..sources import jsonl
+from ..operators import validation as C
+from ..operators.cluster import cut, new_path
+from ..sources import catalogue, jsonl
 from .benchmarks import _TURNS, turns
 from .discovery import KNN10, top10
 from .records import _ROOT, block_rows
@@ -22,9 +21,7 @@ from .telemetry import EVENTS, events
 QUERIES, SQL, query = slice_of()
 
 
-def folder(spark, what: str) -> str:
-    cut(spark.range(1))  # the shared folder is set from here on
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{what}-{uuid.uuid4().hex}"
+folder = new_path
 
 
 @query("SELECT vec_id, len(embedding)::BIGINT AS dims, round(embedding[1]::DOUBLE, 6) AS first, round(list_sum([x::DOUBLE FOR x IN embedding]), 5) AS total FROM embeddings")
@@ -66,6 +63,27 @@ def submitted_blocks(spark, sf_dir):
     return R.submitted(rows.where("doc_id % 3 != 0"), rows.where("doc_id % 3 = 0"), errors, F.col("made"), ["doc_id"]).select("doc_id", "outcome")
 
 
+@query(f"""WITH b AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN sha256('other') ELSE {_ROOT} END AS root, {_ROOT} AS made FROM documents),
+v AS (SELECT DISTINCT root FROM b WHERE root = made AND doc_id % 9 <> 1) SELECT (SELECT count(*) FROM b) AS exported, (SELECT count(*) FROM b WHERE root <> made OR doc_id % 9 = 1) AS refused, count(*) AS stored, min(root) AS first_root, max(root) AS last_root FROM v""")
+def catalogue_round_trip(spark, sf_dir):
+    """A catalogue that is written, read page by page, checked row by row, and what passes written to another one and read again."""
+    theirs, ours = new_path(spark, "catalogue"), new_path(spark, "catalogue")
+    made = block_rows(spark, sf_dir)
+    level = F.when(F.col("doc_id") % 9 == 1, "L9").otherwise("L0")
+    wire = F.to_json(F.struct("doc_id", "made", level.alias("level"), R.sha(F.lit("spec")).alias("spec_hash"), F.lit("YQ==").alias("impl_base64"), F.lit('{"artifacts":[]}').alias("manifest"), F.col("doc_id").alias("created_at"), F.create_map(F.lit("a"), F.lit("YQ==")).alias("artifacts")))
+    catalogue.append(made.select("root", wire.alias("wire")), theirs)
+    half = "8"
+    pages = catalogue.read(spark, theirs, until=half).unionByName(catalogue.read(spark, theirs, after=half))
+    kind = "doc_id long, made string, level string, spec_hash string, impl_base64 string, manifest string, created_at long, parent string, artifacts map<string,string>"
+    rows = pages.select("root", "wire", F.from_json("wire", kind).alias("r"))
+    row = {"root": F.col("root")} | {k: F.col("r")[k] for k in ("spec_hash", "impl_base64", "manifest", "level", "created_at", "parent", "artifacts")}
+    rows = cut(rows.withColumn("errors", C.wire_errors(row, F.col("r")["made"])))
+    good = rows.where(F.size("errors") == 0)
+    catalogue.append(good.groupBy("root").agg(F.min("wire").alias("wire")), ours)
+    told = rows.agg(F.count("*").alias("exported"), F.count_if(F.size("errors") > 0).alias("refused"))
+    return told.join(catalogue.read(spark, ours).agg(F.count("*").alias("stored"), F.min("root").alias("first_root"), F.max("root").alias("last_root")), F.lit(True))
+
+
 @query("WITH d AS (SELECT doc_id, sha256(text) AS root, source FROM documents), f AS (SELECT DISTINCT root, source FROM d WHERE doc_id % 2 = 0), k AS (SELECT DISTINCT root FROM d WHERE doc_id % 3 = 0) SELECT source, count(*) AS missing, min(root) AS first_root FROM f WHERE root NOT IN (SELECT root FROM k) GROUP BY source UNION ALL SELECT NULL, count(*), NULL FROM k WHERE root NOT IN (SELECT root FROM f)")
 def verify_report(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", R.sha(F.col("text")).alias("root"), "source")

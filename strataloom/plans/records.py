@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -19,6 +17,7 @@ from ..operators import trees as W
 from ..operators import validation as C
 from ..operators import vectors as V
 from ..operators.blocks import best
+from ..operators.cluster import new_path
 from .registering import slice_of, table
 
 QUERIES, SQL, query = slice_of()
@@ -47,8 +46,7 @@ def stored_outcomes(spark, sf_dir):
 @query("SELECT 'documents' AS name, count(*) AS rows, min(doc_id) AS first, max(doc_id) AS last FROM documents UNION ALL SELECT 'vectors', count(*), min(vec_id), max(vec_id) FROM embeddings")
 def snapshot_export(spark, sf_dir):
     """Two tables written as a snapshot, opened again with the model's check, and counted."""
-    G.cut(spark.range(1))  # the shared folder is set from here on
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/snapshot-{uuid.uuid4().hex}"
+    folder = new_path(spark, "snapshot")
     v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.lit("hash-64").alias("model"))
     R.snapshot({"documents": table(spark, sf_dir, "documents").select("doc_id", "lang"), "vectors": v}, folder)
     dims = v.select(F.size("embedding")).limit(1).collect()
