@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import percentiles
+
 
 def savings(rows: DataFrame, by: list[str], raw: str, spent: str) -> DataFrame:
     """Mean of ratios and ratio of sums, both; groups without tokens have null."""
@@ -22,7 +24,7 @@ def verdict(share: Column, good: float, bad: float) -> Column:
 
 def latency(rows: DataFrame, by: list[str], ms: str) -> DataFrame:
     """Median of the middle two, nearest-rank p95 and p99, and the verdict on the median."""
-    out = rows.groupBy(*by).agg(F.median(ms).alias("p50"), F.expr(f"percentile_disc(0.95) within group (order by {ms})").alias("p95"), F.expr(f"percentile_disc(0.99) within group (order by {ms})").alias("p99"))
+    out = percentiles(rows, by, ms, p50=("middle", 0), p95=("rank", 0.95), p99=("rank", 0.99))
     m = F.col("p50")
     return out.withColumn("verdict", F.when(m <= 3000, "PASS").when(m <= 10000, "WARN").when(m <= 15000, "SLOW").otherwise("KILL"))
 
@@ -76,7 +78,8 @@ def re_emitted(body: Column, text: Column, size: int = 50, stride: int = 25) ->
 
 def refusals(rows: DataFrame, by: list[str], rate: str, escapes: str) -> DataFrame:
     """Median, least and greatest refusal rate, and most escapes."""
-    return rows.groupBy(*by).agg(F.median(rate).alias("median_rate"), F.min(rate).alias("least_rate"), F.max(rate).alias("greatest_rate"), F.max(escapes).alias("most_escapes"))
+    rest = rows.groupBy(*by).agg(F.min(rate).alias("least_rate"), F.max(rate).alias("greatest_rate"), F.max(escapes).alias("most_escapes"))
+    return rest.join(percentiles(rows, by, rate, median_rate=("middle", 0)), by, "left")
 
 
 def mutants(rows: DataFrame, by: list[str], outcome: str, reason: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import positions
+from .cluster import cut, exists
 
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
@@ -36,6 +37,27 @@ def replaced(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(new)
 
 
+def rewrite(rows: DataFrame, path: str, key: list[str], digest: str, part: Column) -> list[int]:
+    """Replace, in the table under ``path``, the rows of every key whose digest isn't the stored one; keys that rows don't name and keys with the same digest
+    stay as they are. Returns the partitions that were written.
+
+    The table is partitioned by ``part`` (a whole number, from the key alone). Only partitions that hold a changed key are written, each by a rename when all tasks are
+    done, so a run that fails in a task changes nothing and one without changes writes nothing. One driver writes at a time.
+    """
+    spark = rows.sparkSession
+    new = cut(rows.withColumn("_part", part.cast("int")))
+    old = cut(spark.read.schema(new.schema).parquet(path)) if exists(spark, path) else new.where("false")
+    keys = new.select("_part", *key, digest).distinct()
+    moved = cut(keys.join(old.select(*key, digest).distinct(), [*key, digest], "left_anti").select("_part", *key).distinct())
+    touched = sorted(r[0] for r in moved.select("_part").distinct().collect())  # numbers of partitions
+    if touched:
+        names = F.broadcast(spark.createDataFrame([(t,) for t in touched], "_part int"))
+        kept = old.join(names, "_part", "left_semi").join(moved.select(*key), key, "left_anti")
+        out = kept.select(new.columns).unionByName(new.join(moved.select(*key), key, "left_semi").select(new.columns))
+        out.hint("rebalance", "_part").sortWithinPartitions("_part", *key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(path)
+    return touched
+
+
 def changed(new: DataFrame, stored: DataFrame, key: list[str], digest: str) -> DataFrame:
     """Rows whose digest isn't the stored one of their key (new keys included)."""
     return new.join(stored.select(*key, digest), [*key, digest], "left_anti")

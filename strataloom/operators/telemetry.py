@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import percentiles
+
 KNOWN = ("registry-hit", "synthesis-required", "passthrough")
 DRIFT = {"mean_specificity": 0.55, "bypass_rate": 0.40, "median_candidates": 5.0}
 BARS = {"edit": 0.6, "write": 0.3, "multi": 0.1}
@@ -20,7 +22,7 @@ def overview(events: DataFrame) -> DataFrame:
     d = F.when(ok, F.col("top_score"))
     outcome = F.when(ok, F.when(F.col("outcome").isin(*KNOWN), F.col("outcome")).otherwise("other"))
     count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
-    return events.agg(
+    out = events.agg(
         F.count_distinct("session").alias("sessions"),
         count(ok).alias("total"),
         *[count(outcome == o).alias(o.replace("-", "_")) for o in (*KNOWN, "other")],
@@ -28,11 +30,12 @@ def overview(events: DataFrame) -> DataFrame:
         count((d >= 0.1) & (d < 0.2)).alias("under_02"),
         count((d >= 0.2) & (d < 0.3)).alias("under_03"),
         count(d >= 0.3).alias("from_03"),
-        F.round(F.median(d), 6).alias("median_distance"),
         F.min(F.when(ok, F.col("t"))).alias("first_t"),
         F.max(F.when(ok, F.col("t"))).alias("last_t"),
         F.count_distinct(F.when(ok, F.to_date(F.timestamp_millis("t")))).alias("days"),
     )
+    middle = percentiles(events.select(d.alias("d")), [], "d", median_distance=("middle", 0)).select(F.round("median_distance", 6).alias("median_distance"), F.lit(0).alias("_k"))
+    return out.withColumn("_k", F.lit(0)).join(middle, "_k", "left").drop("_k")  # one row each
 
 
 def reuse(events: DataFrame) -> DataFrame:
@@ -73,19 +76,27 @@ def paired(markers: DataFrame) -> DataFrame:
     return per.where("begin is not null")
 
 
+#: From one width of buckets to the next.
+LADDER = 16
+
+
 def within(tasks: DataFrame, events: DataFrame, key: str, width: int | None = None) -> DataFrame:
     """Tasks joined with the events of their key in begin..end, both ends included; an event may lie in several tasks.
 
-    Both sides carry time buckets of ``width``: a task one row per bucket it touches, an event its own, so
-    it is an equality join on (key, bucket) and no key meets all its events at once. Without a width, buckets are as wide as the
-    mean task is long, so tasks take two buckets on average, whatever their unit.
+    Both sides carry time buckets, so it is an equality join on (key, width, bucket) and no key meets all its events at once. Widths are a ladder: ``width``
+    (the shortest task, unless given) times powers of LADDER. A task has the first width that is no shorter than it is, so it lies in two buckets at most,
+    however long; an event is there once for each width that a task has.
     """
     if width is None:
-        width = max(1, int(tasks.where("end >= begin").agg(F.avg(F.col("end") - F.col("begin"))).first()[0] or 1))
-    bucket = lambda c: F.floor(c / width).cast("long")
-    t = tasks.where("end is not null and end >= begin").withColumn("_b", F.explode(F.sequence(bucket(F.col("begin")), bucket(F.col("end")))))
-    e = events.withColumn("_b", bucket(F.col("t")))
-    return t.join(e, [key, "_b"]).where("t >= begin and t <= end").drop("_b")
+        width = max(1, int(tasks.where("end >= begin").agg(F.min(F.greatest(F.col("end") - F.col("begin"), F.lit(1)))).first()[0] or 1))
+    step = lambda k: F.lit(width) * F.pow(F.lit(float(LADDER)), k)
+    bucket = lambda c, k: F.floor(c / step(k)).cast("long")
+    t = tasks.where("end is not null and end >= begin")
+    t = t.withColumn("_w", F.greatest(F.lit(0), F.ceil(F.log(F.greatest((F.col("end") - F.col("begin")) / width, F.lit(1.0))) / F.log(F.lit(float(LADDER))))).cast("int"))
+    used = sorted(r[0] for r in t.select("_w").distinct().collect())  # a row a width
+    t = t.withColumn("_b", F.explode(F.sequence(bucket(F.col("begin"), F.col("_w")), bucket(F.col("end"), F.col("_w")))))
+    e = events.withColumn("_w", F.explode(F.array(*map(F.lit, used)) if used else F.expr("cast(array() as array<int>)"))).withColumn("_b", bucket(F.col("t"), F.col("_w")))
+    return t.join(e, [key, "_w", "_b"]).where("t >= begin and t <= end").drop("_w", "_b")
 
 
 KILL_RATE = 0.3

@@ -9,6 +9,8 @@ from ..operators import ledger as L
 from ..operators import matching as M
 from ..operators import registry as R
 from ..operators import validation as C
+from ..operators.blocks import positions
+from ..operators.cluster import cut
 from .discovery import KNN10, top10
 from .registering import slice_of, table
 from .store import BLOCKS, blocks
@@ -144,10 +146,13 @@ def schema_migration(spark, sf_dir):
     return R.migrated(p.where("id % 2 = 0").select("id", "name"), p.where("id % 2 = 1"), 1, 2).select("id", "name", "size", "brand")
 
 
-@query("SELECT source, string_agg(left(sha256(text), 6), ',' ORDER BY doc_id) AS glue, count(*) AS n FROM documents GROUP BY source")
+@query("SELECT source, doc_id, left(sha256(text), 6) AS h, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS position, count(*) OVER (PARTITION BY source) AS n FROM documents")
 def source_glue(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("source", F.struct("doc_id", F.left(R.sha(F.col("text")), F.lit(6)).alias("h")).alias("x"))
-    return rows.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["h"]), ",").alias("glue"), F.count("*").alias("n"))
+    """The pieces of each source in order, a row each with its place: one range sort over all sources, of which the first place of each is taken off."""
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.left(R.sha(F.col("text")), F.lit(6)).alias("h"))
+    placed = positions(rows, [F.col("source"), F.col("doc_id")], cut, "_at")
+    first = placed.groupBy("source").agg(F.min("_at").alias("_first"), F.count("*").alias("n"))  # a row a source
+    return placed.join(first, "source").select("source", "doc_id", "h", (F.col("_at") - F.col("_first") + 1).alias("position"), "n")
 
 
 @query("WITH f AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'foreign_leaf' WHEN sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0) THEN 'pointer' WHEN length(text) < 200 THEN 'glue' ELSE 'novel_glue' END AS kind, length(text) AS bytes FROM documents) SELECT kind, count(*) AS n, sum(bytes)::BIGINT AS bytes FROM f GROUP BY kind")

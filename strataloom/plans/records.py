@@ -295,15 +295,15 @@ def tree_totals(spark, sf_dir):
     return W.rolled_up(e, leaves)
 
 
-@query(f"""WITH RECURSIVE {_TREE}, k AS (SELECT p_partkey AS node FROM part WHERE p_partkey % 5 <> 4), w AS (SELECT a AS root, a AS node, 0 AS depth, true AS ok FROM (SELECT DISTINCT a FROM e WHERE a IN (1, 2, 3)) UNION ALL SELECT root, b, depth + 1, b % 5 <> 4 FROM w JOIN e ON e.a = w.node WHERE ok),
-r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, CASE WHEN ok THEN 0 ELSE 1 END, node) AS n FROM w) SELECT root, node, depth::INT AS depth, CASE WHEN ok THEN 'module' ELSE 'unresolved' END AS kind FROM r""")
+@query(f"""WITH RECURSIVE {_TREE}, k AS (SELECT p_partkey AS node FROM part WHERE p_partkey % 5 <> 4), w AS (SELECT a AS root, a AS node, 0 AS depth, true AS ok FROM (SELECT DISTINCT a FROM e WHERE a NOT IN (SELECT b FROM e)) UNION ALL SELECT root, b, depth + 1, b % 5 <> 4 FROM w JOIN e ON e.a = w.node WHERE ok),
+r AS (SELECT *, row_number() OVER (PARTITION BY root, ok ORDER BY depth, node) AS n FROM w) SELECT root, node, depth::INT AS depth, CASE WHEN NOT ok THEN 'unresolved' WHEN n <= 60 THEN 'module' ELSE 'limit' END AS kind FROM r WHERE depth = 0 OR node // 8 IN (SELECT node FROM r WHERE ok AND n <= 60)""")
 def module_walk(spark, sf_dir):
-    """Modules reached from three roots of the tree; every fifth can't be resolved and isn't gone through."""
+    """Modules reached from the tree's root, sixty at most; every fifth can't be resolved, and neither these nor those beyond the limit are gone through."""
     p = table(spark, sf_dir, "part")
     e = p.select(F.expr("p_partkey div 8").alias("a"), F.col("p_partkey").alias("b")).where("a != b")
-    roots = e.where("a in (1, 2, 3)").select(F.col("a").alias("node")).distinct()
-    known = p.where("p_partkey % 5 != 4").select(F.col("p_partkey").alias("node"))
-    return W.walked(e, roots, known, most=1_000_000)
+    roots = e.select(F.col("a").alias("node")).distinct().join(e.select(F.col("b").alias("node")).distinct(), "node", "left_anti")
+    known = p.where("p_partkey % 5 != 4").select(F.col("p_partkey").alias("node")).unionByName(roots)
+    return W.walked(e, roots, known, most=60)
 
 
 _CHAIN = "e AS (SELECT p_partkey AS a, lead(p_partkey) OVER o AS b, p_size AS w, lag(p_partkey) OVER o AS before, sum(p_size) OVER (PARTITION BY p_brand, p_type ORDER BY p_size DESC, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS d, p_brand, p_type, row_number() OVER o AS n FROM part WINDOW o AS (PARTITION BY p_brand, p_type ORDER BY p_size DESC, p_partkey))"
@@ -335,13 +335,14 @@ def mutant_sample(spark, sf_dir):
     return best(rows, ["suite"], [F.md5(F.concat(F.lit("m"), F.col("id").cast("string"))), F.col("id")], 5, F.col("id"))
 
 
-@query("SELECT p_partkey AS id, p_partkey % 3 <> 0 AS signed, regexp_matches(p_name, '(?i)^(red|blue)') AS allowed FROM part")
+@query("""WITH b AS (SELECT *, 'eyJhbGciOiJIUzI1NiJ9.' || rtrim(replace(replace(to_base64(encode(p_name)), '+', '-'), '/', '_'), '=') AS body FROM part)
+SELECT p_partkey AS id, sha256(unhex('3739255c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c') || unhex(sha256(unhex('5d534f36363636363636363636363636363636363636363636363636363636363636363636363636363636363636363636363636363636363636363636363636') || encode(body)))) AS signature, p_partkey % 3 <> 0 AS signed, regexp_matches(p_name, '(?i)^(red|blue)') AS allowed FROM b""")
 def signed_tokens(spark, sf_dir):
     """HS256 signatures checked against the key; and names that allow patterns let through, an invalid one aside."""
     name = F.col("p_name")
     body = F.concat(X.base64url(F.lit('{"alg":"HS256"}')), F.lit("."), X.base64url(name))
     sent = X.hmac_sha256(b"key", F.when(F.col("p_partkey") % 3 == 0, F.concat(body, F.lit("x"))).otherwise(body))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (X.hmac_sha256(b"key", body) == sent).alias("signed"), C.allowed(name, ["^red", "^BLUE", "(["]).alias("allowed"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), X.hmac_sha256(b"key", body).alias("signature"), (X.hmac_sha256(b"key", body) == sent).alias("signed"), C.allowed(name, ["^red", "^BLUE", "(["]).alias("allowed"))
 
 
 @query("SELECT p_partkey AS id, substr(p_name, 4, 1) AS sign, ascii(substr(p_name, 4, 1))::INT AS code, 3::INT AS after, CASE WHEN p_partkey % 2 = 0 THEN -p_size ELSE p_size END::BIGINT AS number, NULL::BIGINT AS bad, NULL::VARCHAR AS past FROM part")

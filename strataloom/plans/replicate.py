@@ -1,4 +1,4 @@
-"""Replication between registries: odd documents are remote, documents with doc_id % 3 = 0 local."""
+"""Replication between registries: odd documents are remote, even ones and those with doc_id % 3 = 0 local."""
 
 from __future__ import annotations
 
@@ -10,13 +10,13 @@ from .registering import slice_of, table
 
 QUERIES, SQL, query = slice_of()
 
-_SIDES = "d AS (SELECT doc_id, sha256(text) AS root, text, lang FROM documents), far AS (SELECT * FROM d WHERE doc_id % 2 = 1), near AS (SELECT * FROM d WHERE doc_id % 3 = 0)"
+_SIDES = "d AS (SELECT doc_id, sha256(text) AS root, text, lang FROM documents), far AS (SELECT * FROM d WHERE doc_id % 2 = 1), near AS (SELECT * FROM d WHERE doc_id % 2 = 0 OR doc_id % 3 = 0)"
 _OUT = f"WITH {_SIDES}, o AS (SELECT far.*, CASE WHEN root IN (SELECT root FROM near) THEN 'skipped' WHEN lang = 'es' THEN 'failed' ELSE 'inserted' END AS outcome FROM far)"
 
 
 def sides(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", R.sha(F.col("text")).alias("root"), "lang")
-    return d.where("doc_id % 2 = 1"), d.where("doc_id % 3 = 0")
+    return d.where("doc_id % 2 = 1"), d.where("doc_id % 2 = 0 or doc_id % 3 = 0")
 
 
 @query(f"{_OUT} SELECT doc_id, root FROM o WHERE outcome <> 'skipped'")
@@ -41,20 +41,20 @@ def semi_edges(spark, sf_dir):
     return e.join(a, "stricter", "left_semi").join(b, "looser", "left_semi").select("stricter", "looser").distinct()
 
 
-@query("WITH fresh AS (SELECT DISTINCT sha256(text) AS root, source FROM documents WHERE doc_id % 2 = 0), kept AS (SELECT DISTINCT sha256(text) AS root FROM documents WHERE doc_id % 4 = 0) SELECT source, count(*) AS missing, min(root) AS first_root FROM fresh WHERE root NOT IN (SELECT root FROM kept) GROUP BY source")
+@query("WITH fresh AS (SELECT DISTINCT sha256(text) AS root, source FROM documents), kept AS (SELECT DISTINCT sha256(text) AS root FROM documents WHERE doc_id % 4 = 0) SELECT source, count(*) AS missing, min(root) AS first_root FROM fresh WHERE root NOT IN (SELECT root FROM kept) GROUP BY source")
 def verify_subset(spark, sf_dir):
     """Fresh roots that the committed manifest doesn't have, by source."""
     d = table(spark, sf_dir, "documents").select("doc_id", R.sha(F.col("text")).alias("root"), "source")
-    fresh = d.where("doc_id % 2 = 0").select("root", "source").distinct()
+    fresh = d.select("root", "source").distinct()
     missing = fresh.join(d.where("doc_id % 4 = 0").select("root").distinct(), "root", "left_anti")
     return missing.groupBy("source").agg(F.count("*").alias("missing"), F.min("root").alias("first_root"))
 
 
-@query("WITH a AS (SELECT sha256(text) AS root, 0 AS prior, doc_id FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT sha256(text), 1, doc_id FROM documents WHERE doc_id % 5 = 0) SELECT root, min(prior)::INT AS prior, arg_min(doc_id, (prior, doc_id)) AS doc_id FROM a GROUP BY root")
+@query("WITH a AS (SELECT sha256(text) AS root, 0 AS prior, doc_id FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT sha256(text), 1, doc_id FROM documents WHERE doc_id % 2 = 1 OR doc_id % 5 = 0) SELECT root, min(prior)::INT AS prior, arg_min(doc_id, (prior, doc_id)) AS doc_id FROM a GROUP BY root")
 def manifest_merge(spark, sf_dir):
     """A union by root in which the prior manifest wins."""
     d = table(spark, sf_dir, "documents").select(R.sha(F.col("text")).alias("root"), "doc_id")
-    both = d.where("doc_id % 2 = 0").withColumn("prior", F.lit(0)).unionByName(d.where("doc_id % 5 = 0").withColumn("prior", F.lit(1)))
+    both = d.where("doc_id % 2 = 0").withColumn("prior", F.lit(0)).unionByName(d.where("doc_id % 2 = 1 or doc_id % 5 = 0").withColumn("prior", F.lit(1)))
     return R.first_wins(both, ["root"], ["prior", "doc_id"])
 
 
@@ -68,7 +68,7 @@ def wire_validation(spark, sf_dir):
     return back.select("doc_id", wire.first_broken(rules).alias("reject_reason"), F.base64("head").alias("head"))
 
 
-@query("SELECT source, count(*) AS n, count(*) FILTER (doc_id % 2 = 1 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0)) AS to_pull FROM documents GROUP BY source")
+@query("SELECT source, count(*) AS n, count(*) FILTER (doc_id % 2 = 1 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0)) AS to_pull FROM documents GROUP BY source")
 def pull_plan(spark, sf_dir):
     far, near = sides(spark, sf_dir)
     d = table(spark, sf_dir, "documents").select("doc_id", "source")

@@ -12,6 +12,7 @@ from ..operators import metrics as M
 from ..operators import similarity as S
 from ..operators import telemetry as T
 from ..operators import vectors as V
+from ..operators.cluster import cut
 from ..sources import jsonl
 from .benchmarks import _TURNS, turns
 from .metrics import _EVAL, queries_of
@@ -116,10 +117,14 @@ def ordered_intersection(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(S.common_in_order(words(n, n, F.lit("x")), [words(n, F.lit("y")), words(F.lit("z"), n)]), " ").alias("shared"))
 
 
-@query("SELECT p_partkey AS id, true AS uuid, true AS nano FROM part")
+@query("SELECT p_brand AS brand, count(*) AS n, count(DISTINCT p_partkey) AS uuids, count(DISTINCT p_partkey) AS nanos, 0::BIGINT AS malformed, 64::BIGINT AS signs, 4::BIGINT AS variants FROM part GROUP BY 1")
 def made_ids(spark, sf_dir):
-    """Random ids hold their form."""
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), X.uuid4_valid(F.uuid()).alias("uuid"), X.nano_id().rlike("^[0-9A-Za-z_-]{21}$").alias("nano"))
+    """Random ids hold their form, none comes twice, and over all rows every sign and variant that may stand in them does."""
+    rows = cut(table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.uuid().alias("u"), X.nano_id().alias("k")))
+    well = X.uuid4_valid(F.col("u")) & F.col("k").rlike("^[0-9A-Za-z_-]{21}$")
+    per = rows.groupBy("brand").agg(F.count("*").alias("n"), F.count_distinct("u").alias("uuids"), F.count_distinct("k").alias("nanos"), F.count_if(~well).alias("malformed"))
+    signs = rows.select(F.explode(F.split("k", "")).alias("s")).where("s != ''").agg(F.count_distinct("s").alias("signs"))
+    return per.withColumn("_k", F.lit(0)).join(signs.withColumn("_k", F.lit(0)), "_k").join(rows.agg(F.count_distinct(F.substring("u", 20, 1)).alias("variants")).withColumn("_k", F.lit(0)), "_k").drop("_k")
 
 
 @query("""WITH r AS (SELECT o_orderkey AS o, o_orderkey % 4 AS n, o_custkey AS k FROM orders) SELECT o AS path_id, CASE WHEN n % 4 = 0 THEN 'any' WHEN n % 4 = 3 THEN 'brand:' || p_brand WHEN k % 2 = 0 THEN 'part:' || k ELSE 'brand:' || p_brand END AS rule, CASE WHEN n % 4 = 0 THEN '' WHEN n % 4 = 3 THEN 'none' WHEN k % 2 = 0 THEN '' ELSE k::VARCHAR END AS captures FROM r JOIN part ON p_partkey = k""")

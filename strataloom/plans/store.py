@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import registry as R
+from ..operators.cluster import cut, new_path
 from .registering import slice_of, table
 
 QUERIES, SQL, query = slice_of()
@@ -74,6 +75,20 @@ def replace_occurrences(spark, sf_dir):
     return R.replaced(rows, rows.where("doc_id % 50 = 0").withColumn("length", F.col("length") + 1), ["source"])
 
 
+@query("SELECT doc_id, doc_id % 16 AS part, sha256(CASE WHEN doc_id % 16 IN (3, 7) THEN text || '!' ELSE text END) AS content_hash, doc_id % 16 IN (3, 7) AS rewritten FROM documents")
+def rewritten_sources(spark, sf_dir):
+    """A stored table whose changed files are written anew, by partition; partitions without a change keep their files."""
+    path = new_path(spark, "sources")
+    rows = lambda text: table(spark, sf_dir, "documents").select("doc_id", R.sha(text).alias("content_hash"))
+    part = F.col("doc_id") % 16
+    R.rewrite(rows(F.col("text")), path, ["doc_id"], "content_hash", part)
+    before = cut(spark.read.parquet(path).select("_part", F.input_file_name().alias("file")).distinct())
+    changed = F.concat(F.col("text"), F.when(part.isin(3, 7), "!").otherwise(""))
+    R.rewrite(rows(changed), path, ["doc_id"], "content_hash", part)
+    now = spark.read.parquet(path).withColumn("file", F.input_file_name())
+    return now.join(before.withColumn("_same", F.lit(True)), ["_part", "file"], "left").select("doc_id", F.col("_part").cast("long").alias("part"), "content_hash", F.col("_same").isNull().alias("rewritten"))
+
+
 @query("SELECT source, doc_id, sha256(text) AS content_hash FROM documents WHERE doc_id % 5 = 0")
 def changed_sources(spark, sf_dir):
     """Files whose content hash isn't the stored one; every fifth stored hash is out of date."""

@@ -9,6 +9,7 @@ from ..operators import matching as M
 from ..operators import telemetry as T
 from ..operators import validation as C
 from ..operators.blocks import best
+from ..operators.ranks import percentiles
 from .registering import slice_of, table
 
 QUERIES, SQL, query = slice_of()
@@ -74,16 +75,12 @@ def atom_reuse_top(spark, sf_dir):
 def hit_percentiles(spark, sf_dir):
     """Three conventions: nearest rank, mean of the middle two, and the floor of n * p."""
     h = T.reuse(events(spark, sf_dir))
-    # The floor convention by a histogram: the least count that floor(0.9 n) + 1 atoms don't exceed.
-    upto = F.sum("k").over(Window.orderBy("hits"))  # a row for each different count
-    floor = h.groupBy("hits").agg(F.count("*").alias("k")).withColumn("upto", upto).withColumn("n", F.sum("k").over(Window.partitionBy()))
-    floor = floor.where(F.col("upto") >= F.floor(F.col("n") * 0.9) + 1).agg(F.min("hits")).first()[0]
-    return h.agg(F.expr("percentile_disc(0.5) within group (order by hits)").cast("long").alias("p50"), F.expr("percentile_disc(0.9) within group (order by hits)").cast("long").alias("p90"), F.median("hits").alias("middle"), F.max("hits").alias("most"), F.lit(floor).cast("long").alias("p90_floor"))
+    return percentiles(h, [], "hits", p50=("rank", 0.5), p90=("rank", 0.9), middle=("middle", 0), most=("rank", 1.0), p90_floor=("floor", 0.9))
 
 
-@query(f"WITH {_REUSE}, j AS (SELECT h.atom, hits, length(text) - length(replace(text, chr(10), '')) + 1 AS lines, CASE doc_id % 5 WHEN 0 THEN 'L0' WHEN 1 THEN 'L1' WHEN 2 THEN 'L2' WHEN 3 THEN 'L3' END AS level FROM h LEFT JOIN documents ON doc_id = atom * 3) SELECT coalesce(level, 'unknown') AS level, count(*) AS atoms, sum(hits)::BIGINT AS hits, sum(hits * lines)::BIGINT AS lines_saved FROM j GROUP BY 1")
+@query(f"WITH {_REUSE}, j AS (SELECT h.atom, hits, length(text) - length(replace(text, chr(10), '')) + 1 AS lines, CASE doc_id % 5 WHEN 0 THEN 'L0' WHEN 1 THEN 'L1' WHEN 2 THEN 'L2' WHEN 3 THEN 'L3' END AS level FROM h LEFT JOIN documents ON doc_id // 3 = atom) SELECT coalesce(level, 'unknown') AS level, count(*) AS atoms, sum(hits)::BIGINT AS hits, sum(hits * lines)::BIGINT AS lines_saved FROM j GROUP BY 1")
 def grain_histogram(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select((F.col("doc_id") / 3).alias("a"), "doc_id", "text").where("doc_id % 3 = 0").select(F.expr("doc_id div 3").alias("atom"), "doc_id", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("lines"))
+    d = table(spark, sf_dir, "documents").select(F.expr("doc_id div 3").alias("atom"), "doc_id", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("lines"))
     rows = T.reuse(events(spark, sf_dir)).join(d, "atom", "left")
     level = F.when(F.col("doc_id") % 5 < 4, F.concat(F.lit("L"), F.col("doc_id") % 5))
     return rows.groupBy(F.coalesce(level, F.lit("unknown")).alias("level")).agg(F.count("*").alias("atoms"), F.sum("hits").alias("hits"), F.sum(F.col("hits") * F.col("lines")).alias("lines_saved"))
