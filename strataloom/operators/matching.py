@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import against
+
 PURITY = ("impure", "io", "stateful", "pure")
 THREADS = ("unsafe", "sequential", "safe")
 
@@ -40,6 +42,39 @@ def reasons(want_in: Column, have_in: Column, want_out: Column, have_out: Column
     )
 
 
+def reason_counts(wants: DataFrame, haves: DataFrame) -> DataFrame:
+    """(reason, n): for how many pairs of a want and a have each reason of ``reasons`` holds, without making the pairs. Both sides: ins, outs, errs, purity, thread, time.
+
+    A reason depends on one part of both sides, so rows are counted by that part first, and products of counts are summed: of sizes, ranks and costs, which are
+    few, over all pairs of theirs; of the parts themselves over equal ones, which are taken from the pairs of equal size.
+    """
+
+    def sums(part: Column, bad, name: str) -> DataFrame:
+        side = lambda df, key, n: df.groupBy(part.alias(key)).agg(F.count("*").alias(n)).withColumn("_j", F.lit(0))
+        both = side(wants, "w", "kw").join(F.broadcast(side(haves, "h", "kh")), "_j")  # as many rows as there are sizes, ranks or costs
+        return both.where(bad(F.col("w"), F.col("h"))).agg(F.sum(F.col("kw") * F.col("kh")).alias("n")).withColumn("reason", F.lit(name))
+
+    def equal(part: str) -> DataFrame:
+        side = lambda df, n: df.groupBy(part).agg(F.count("*").alias(n))
+        return side(wants, "kw").join(side(haves, "kh"), part).agg(F.sum(F.col("kw") * F.col("kh")).alias("same"))
+
+    def sized(part: str, count: str, mismatch: str) -> list[DataFrame]:
+        size = F.size(part)
+        apart = sums(size, lambda w, h: w == h, mismatch).withColumn("_j", F.lit(0)).join(equal(part).withColumn("_j", F.lit(0)), "_j")  # one row each
+        return [sums(size, lambda w, h: w != h, count), apart.select((F.coalesce("n", F.lit(0)) - F.coalesce("same", F.lit(0))).alias("n"), "reason")]
+
+    classes = lambda df, key, n: df.groupBy(F.array_sort(F.array_distinct("errs")).alias(key)).agg(F.count("*").alias(n))
+    errors = against(classes(wants, "we", "kw"), classes(haves, "he", "kh")).where(F.size(F.array_except("he", "we")) > 0).agg(F.sum(F.col("kw") * F.col("kh")).alias("n")).withColumn("reason", F.lit("undeclared_error"))
+    tables = [
+        *sized("ins", "input_count", "input_mismatch"), *sized("outs", "output_count", "output_mismatch"), errors,
+        sums(F.col("purity"), lambda w, h: h < w, "purity"), sums(F.col("thread"), lambda w, h: h < w, "thread_safety"), sums(F.col("time"), lambda w, h: w != h, "time"),
+    ]
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out.where("n > 0").select("reason", F.col("n").cast("long").alias("n"))
+
+
 def strict_enough(want: Column, have: Column) -> Column:
     """A missing side passes."""
     return F.coalesce(have >= want, F.lit(True))
