@@ -189,6 +189,24 @@ def schema_checks(spark, sf_dir):
     return p.select(F.col("p_partkey").alias("id"), C.schema_valid(doc, _SCHEMA).alias("valid"))
 
 
+_NESTED = {
+    "$ref": "#/$defs/part",
+    "$defs": {"part": {"type": "object", "properties": {"name": {"type": "string"}, "size": {"type": "integer", "maximum": 45}, "within": {"type": "array", "prefixItems": [{"$ref": "#/$defs/part"}, {"type": "number"}], "items": False}}, "required": ["name"], "unevaluatedProperties": False}},
+}
+
+
+@query("WITH p AS (SELECT p_partkey AS id, p_size AS size, p_partkey % 5 AS k, p_partkey % 4 AS deep FROM part) SELECT id, size <= 45 AND k <> 1 AND (deep = 0 OR k <> 2) AND (deep < 2 OR k <> 3) AS valid FROM p")
+def schema_nested(spark, sf_dir):
+    """Parts within parts, up to three deep, against a schema that recurs; faults stand on the outermost, the next, or the innermost of three levels."""
+    p = table(spark, sf_dir, "part")
+    k, deep, size = F.col("p_partkey") % 5, F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    part = lambda more: F.concat(F.lit('{"name":"'), F.col("p_name"), F.lit('"'), more, F.lit("}"))
+    third = F.when(k == 3, '{"size":1}').otherwise('{"name":"x"}')
+    second = F.concat(F.when(k == 2, ',"odd":1').otherwise(""), F.when(deep >= 2, F.concat(F.lit(',"within":['), third, F.lit(",2]"))).otherwise(""))
+    first = F.concat(F.lit(',"size":'), size, F.when(k == 1, ',"odd":1').otherwise(""), F.when(deep >= 1, F.concat(F.lit(',"within":['), part(second), F.lit("]"))).otherwise(""))
+    return C.schema_checked(p.select(F.col("p_partkey").alias("id"), part(first).alias("doc")), "id", "doc", _NESTED)
+
+
 @query(r"""WITH p AS (SELECT *, p_partkey % 7 <> 0 AS fine FROM part)
 SELECT p_partkey AS id, CASE WHEN fine THEN p_name || ' // .7' END AS name, CASE WHEN fine THEN p_size + 0.5 END AS size, CASE WHEN fine THEN p_partkey % 3 END::INT AS first,
 CASE WHEN fine THEN 'it''s .5, /* not */ "x.5"\' END AS note, CASE WHEN fine THEN p_size + 16 END::INT AS hex FROM p""")

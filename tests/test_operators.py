@@ -358,7 +358,7 @@ def test_uncovered_parts(spark):
 def test_schemas_that_are_refused():
     from strataloom.operators import validation
 
-    for schema in ({"unevaluatedProperties": False}, {"$defs": {"a": {"items": {"$ref": "#/$defs/a"}}}, "$ref": "#/$defs/a"}):
+    for schema in ({"unknownKeyword": False}, {"$defs": {"a": {"items": {"$ref": "#/$defs/a"}}}, "$ref": "#/$defs/a"}):
         with pytest.raises(ValueError):
             validation._valid(F.lit(None), schema, schema, ())
 
