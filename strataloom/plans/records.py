@@ -313,15 +313,15 @@ def tree_totals(spark, sf_dir):
     return W.rolled_up(e, leaves)
 
 
-@query(f"""WITH RECURSIVE {_TREE}, k AS (SELECT p_partkey AS node FROM part WHERE p_partkey % 5 <> 4), w AS (SELECT a AS root, a AS node, 0 AS depth, true AS ok FROM (SELECT DISTINCT a FROM e WHERE a NOT IN (SELECT b FROM e)) UNION ALL SELECT root, b, depth + 1, b % 5 <> 4 FROM w JOIN e ON e.a = w.node WHERE ok),
-r AS (SELECT *, row_number() OVER (PARTITION BY root, ok ORDER BY depth, node) AS n FROM w) SELECT root, node, depth::INT AS depth, CASE WHEN NOT ok THEN 'unresolved' WHEN n <= 60 THEN 'module' ELSE 'limit' END AS kind FROM r WHERE depth = 0 OR node // 8 IN (SELECT node FROM r WHERE ok AND n <= 60)""")
+@query(f"""WITH RECURSIVE {_TREE}, w AS (SELECT a AS root, a AS node, 0 AS depth, true AS ok FROM (SELECT DISTINCT a FROM e WHERE a NOT IN (SELECT b FROM e)) UNION ALL SELECT root, b, depth + 1, b % 5 <> 4 FROM w JOIN e ON e.a = w.node WHERE ok)
+SELECT root, node, depth::INT AS depth, CASE WHEN ok THEN 'module' ELSE 'unresolved' END AS kind FROM w""")
 def module_walk(spark, sf_dir):
-    """Modules reached from the tree's root, sixty at most; every fifth can't be resolved, and neither these nor those beyond the limit are gone through."""
+    """All modules reached from the tree's roots; every fifth can't be resolved, and these aren't gone through."""
     p = table(spark, sf_dir, "part")
     e = p.select(F.expr("p_partkey div 8").alias("a"), F.col("p_partkey").alias("b")).where("a != b")
     roots = e.select(F.col("a").alias("node")).distinct().join(e.select(F.col("b").alias("node")).distinct(), "node", "left_anti")
     known = p.where("p_partkey % 5 != 4").select(F.col("p_partkey").alias("node")).unionByName(roots)
-    return W.walked(e, roots, known, most=60)
+    return W.walked(e, roots, known, most=None)
 
 
 _CHAIN = "e AS (SELECT p_partkey AS a, lead(p_partkey) OVER o AS b, p_size AS w, lag(p_partkey) OVER o AS before, sum(p_size) OVER (PARTITION BY p_brand, p_type ORDER BY p_size DESC, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS d, p_brand, p_type, row_number() OVER o AS n FROM part WINDOW o AS (PARTITION BY p_brand, p_type ORDER BY p_size DESC, p_partkey))"
