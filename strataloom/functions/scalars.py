@@ -217,9 +217,9 @@ def hash_embedding(s: Column, dims: int = 384) -> Column:
     """An offline vector: bytes of sha256(text|i) as (b - 128) / 128, normalised to length 1."""
     blocks = -(-dims // 32)
     hexed = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.sha2(F.concat(s, F.lit("|"), i.cast("string")).cast("binary"), 256)), "")
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: (F.conv(F.substr(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("double") - 128) / 128)
+    raw = F.transform(F.array(hexed), lambda h: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: (F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10).cast("double") - 128) / 128))[0]
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    # The length is a value of its own: within the inner transform it would be taken anew for each component.
+    # Digests and the length are values of their own: within the inner transforms they would be taken anew for each component.
     return F.transform(F.transform(F.array(raw), lambda v: F.struct(v.alias("v"), norm(v).alias("n"))), lambda s: F.transform(s["v"], lambda x: x / s["n"]))[0]
 
 
