@@ -290,7 +290,7 @@ def subset_rules(spark, sf_dir):
 def atom_sources(spark, sf_dir):
     """Control-flow boundaries, and whether a source is a single typed exported function."""
     rows = code(spark, sf_dir)
-    return SRC.control_flow(rows).join(SRC.single_typed_function(rows, SRC.signatures(sources(spark, sf_dir), rows)), "id")
+    return SRC.atoms(rows, SRC.signatures(sources(spark, sf_dir), rows)).where("single is not null")
 
 
 @query("""WITH t AS (SELECT p_partkey AS id, split_part(p_name, ' ', 1) || '_' AS a, p_partkey % 3 AS k, p_partkey % 4 AS m, p_size AS n, replace(p_brand, '#', ' # ') AS brand FROM part)

@@ -119,3 +119,16 @@ def test_single_typed_function(of):
     texts = [good, good + "\nf('x')", good.replace("x: T", "x"), good.replace("): number", ")"), good.replace("/** Doc. */", "// Doc."), good.replace("return 1", ""), good + "\nexport function g(): void { h() }", "/** D. */ export const f = (x: T): T => { return x }"]
     df, _, rows = of(texts)
     assert by_id(S.single_typed_function(rows, S.signatures(df, rows)), len(texts), "single") == [True, False, False, False, False, False, False, True]
+
+
+@pytest.mark.parametrize("what", ["canonical", "rules", "atoms", "signatures"])
+def test_tokens_are_neither_shuffled_nor_broadcast(spark, tmp_path, what):
+    """A small file of sources looks as if its tokens were few; only texts may be shuffled, and nothing broadcast."""
+    path = str(tmp_path / "s")
+    spark.range(50).selectExpr("id", "concat('export function f(a: int) { const b', id, ' = a; return b', id, '; }') AS source").write.parquet(path)
+    df = spark.read.parquet(path)
+    rows = S.code(S.tokens(df))
+    got = {"canonical": lambda: S.canonical_sources(rows), "rules": lambda: S.broken_rules(rows), "atoms": lambda: S.atoms(rows, S.signatures(df, rows)), "signatures": lambda: S.signatures(df, rows)}[what]()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    assert plan.count("Exchange hashpartitioning(id") == plan.count("Exchange") == {"canonical": 1, "rules": 1, "atoms": 3, "signatures": 2}[what]
