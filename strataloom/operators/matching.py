@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import against
+from .blocks import against, best
 
 PURITY = ("impure", "io", "stateful", "pure")
 THREADS = ("unsafe", "sequential", "safe")
@@ -75,6 +75,38 @@ def reason_counts(wants: DataFrame, haves: DataFrame) -> DataFrame:
     return out.where("n > 0").select("reason", F.col("n").cast("long").alias("n"))
 
 
+def search(wants: DataFrame, haves: DataFrame, k: int) -> DataFrame:
+    """(a, b, n, rank): of each want (id a) the k haves (id b) with the fewest ``reasons``, n of them, then the smaller id. Both sides: id, ins, outs, errs, purity, thread, time.
+
+    Rows are not paired. Inputs and outputs only count as equal or not, and the other parts take few values, so haves are classes by these, with their k least ids each. For
+    each choice of the two parts, classes of wants meet classes of haves that are equal in them, and the rest of the two counts as unequal. A have's fewest reasons of
+    the four are the right ones, and what is told too many elsewhere can't push out a better one.
+    """
+    rest, both = ("errs", "purity", "thread", "time"), ("ins", "outs")
+    known = lambda df: df.withColumns({"errs": F.array_sort(F.array_distinct("errs")), **{f"no_{c}": F.col(c).isNull() for c in both}})
+    w, h = known(wants), known(haves)
+    found = None
+    for equal in ((), ("ins",), ("outs",), both):
+        free = [f"no_{c}" for c in both if c not in equal]
+        key = [*equal, *free, *rest]
+        classes = w.select(*key).distinct()
+        some = best(h.select("id", *key), key, [F.col("id")], k, F.col("id")).drop("rank")
+        left = classes.select(*equal, *[F.col(c).alias(f"w_{c}") for c in [*free, *rest]])
+        right = some.select(*equal, "id", *[F.col(c).alias(f"h_{c}") for c in [*free, *rest]])
+        met = left.join(right.hint("merge"), list(equal)) if equal else against(left, right)
+        of = lambda c: (F.col(f"w_{c}"), F.col(f"h_{c}"))
+        none = F.array().cast("array<string>")
+        told = F.size(reasons(none, none, none, none, *of("errs"), *of("purity"), *of("thread"), costs={"time": of("time")}))
+        n = sum(((~F.col(f"w_{c}") & ~F.col(f"h_{c}")).cast("int") for c in free), told)
+        met = met.select(*equal, *[F.col(f"w_{c}").alias(c) for c in [*free, *rest]], F.col("id").alias("b"), n.alias("n"))
+        first = best(met, key, [F.col("n"), F.col("b")], k, F.col("b")).drop("rank").withColumnsRenamed({c: f"_{c}" for c in key})
+        same = [w[c].eqNullSafe(first[f"_{c}"]) for c in key]
+        part = w.join(first.hint("merge"), same).select(F.col("id").alias("a"), "b", "n")
+        found = part if found is None else found.unionByName(part)
+    right = found.groupBy("a", "b").agg(F.min("n").alias("n"))
+    return right.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("n", "b"))).where(F.col("rank") <= k)
+
+
 def strict_enough(want: Column, have: Column) -> Column:
     """A missing side passes."""
     return F.coalesce(have >= want, F.lit(True))

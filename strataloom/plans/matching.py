@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import matching as M
-from ..operators.blocks import against, best
+from ..operators.blocks import against
 from .registering import slice_of, table
 
 QUERIES, SQL, query = slice_of()
@@ -19,16 +19,6 @@ def specs(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.transform(F.split("p_name", " "), lambda x: F.struct(x.alias("name"), F.col("p_type").alias("type"))).alias("ins"), F.array(F.struct(F.lit("out").alias("name"), F.col("p_type").alias("type"))).alias("outs"), F.array("p_brand").alias("errs"), (F.col("p_size") % 4).alias("purity"), (F.col("p_size") % 3).alias("thread"), F.when(F.col("p_size") % 5 != 0, F.col("p_size") % 2).alias("time"))
 
 
-def pairs(spark, sf_dir):
-    """Every hundredth specification against all."""
-    s = specs(spark, sf_dir)
-    a = s.where("id % 100 = 0").select(F.col("id").alias("a"), *[F.col(c).alias(f"w_{c}") for c in s.columns[1:]])
-    b = s.select(F.col("id").alias("b"), *[F.col(c).alias(f"h_{c}") for c in s.columns[1:]])
-    rows = against(a, b)
-    got = M.reasons(*[F.col(f"{side}_{c}") for c in ("ins", "outs", "errs", "purity", "thread") for side in ("w", "h")], costs={"time": (F.col("w_time"), F.col("h_time"))})
-    return rows.withColumn("reasons", got)
-
-
 @query(f"{_PAIRS}, r AS (SELECT a, b, {_REASONS} AS reasons FROM p) SELECT a, b FROM r WHERE len(reasons) = 0")
 def structural_match(spark, sf_dir):
     """What matches has equal inputs and outputs, so those join; the other reasons are told of these pairs only."""
@@ -64,5 +54,5 @@ def nf_score(spark, sf_dir):
 @query(f"{_PAIRS}, r AS (SELECT a, b, 1.0 - len({_REASONS}) / 8.0 AS match FROM p), o AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY match DESC, b) AS rank FROM r) SELECT a, b, round(match, 6)::DOUBLE AS match, rank::INT AS rank FROM o WHERE rank <= 5")
 def structural_search(spark, sf_dir):
     """The five best candidates by the share of checks that hold."""
-    rows = pairs(spark, sf_dir).select("a", "b", (1 - F.size("reasons") / 8).alias("match"))
-    return best(rows, ["a"], [F.desc("match"), F.col("b")], 5, F.col("b")).withColumn("match", F.round("match", 6))
+    s = specs(spark, sf_dir)
+    return M.search(s.where("id % 100 = 0"), s, 5).select("a", "b", F.round(1 - F.col("n") / 8, 6).alias("match"), "rank")

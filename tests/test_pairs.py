@@ -37,3 +37,16 @@ def test_reason_counts(spark):
     told = M.reasons(*[F.col(f"{s}_{c}") for c in ("ins", "outs", "errs", "purity", "thread") for s in ("w", "h")], costs={"time": (F.col("w_time"), F.col("h_time"))})
     want = Counter(x for r in pairs.select(told.alias("r")).collect() for x in r["r"])
     assert {r["reason"]: r["n"] for r in M.reason_counts(df.where("id % 7 = 0"), df).collect()} == want
+
+
+def test_search_makes_no_pairs(spark):
+    rng = random.Random(4)
+    some = lambda k: None if rng.random() < 0.05 else rng.choices("abc", k=rng.randint(0, k))
+    rows = [(i, some(2), some(1), some(2) or [], rng.choice([0, 1, 2, None]), rng.choice([0, 1, None]), rng.choice([0, 1, None])) for i in range(150)]
+    df = spark.createDataFrame(rows, "id int, ins array<string>, outs array<string>, errs array<string>, purity int, thread int, time int")
+    a = df.where("id % 7 = 0").select(*[F.col(c).alias(f"w_{c}") for c in df.columns])
+    told = M.reasons(*[F.col(f"{s}_{c}") for c in ("ins", "outs", "errs", "purity", "thread") for s in ("w", "h")], costs={"time": (F.col("w_time"), F.col("h_time"))})
+    pairs = a.crossJoin(df.select(*[F.col(c).alias(f"h_{c}") for c in df.columns])).select("w_id", "h_id", F.size(told).alias("n")).collect()
+    want = {(x, b, n, r + 1) for x in {p.w_id for p in pairs} for r, (n, b) in enumerate(sorted((p.n, p.h_id) for p in pairs if p.w_id == x)[:4])}
+    found = M.search(df.where("id % 7 = 0"), df, 4)
+    assert {tuple(r) for r in found.select("a", "b", "n", "rank").collect()} == want
