@@ -6,10 +6,11 @@ or empty: none told), inputs, outputs (arrays of name and type), functional (the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .similarity import WEIGHTS, common, jaccard, majority, normalized
+from .blocks import against, best
+from .similarity import WEIGHTS, common, jaccard_of_sets, majority, normalized
 
 FIELDS = ("behavior", "preconditions", "postconditions", "invariants", "effects", "errors", "inputs", "outputs", "functional")
 #: Weaknesses of the family, in order.
@@ -44,24 +45,32 @@ def _texts(c: Column) -> Column:
     return F.array_distinct(F.transform(F.coalesce(c, F.expr("cast(array() as array<string>)")), lambda x: normalized(x)))
 
 
+def features(c: dict[str, Column]) -> dict[str, Column]:
+    """What likeness depends on, made once a contract: flags, normalized texts, and sets of them in order."""
+    told = lambda k: _texts(F.filter(F.transform(c["errors"], lambda e: e[k]), lambda t: t.isNotNull()))
+    named = lambda k: F.array_distinct(F.transform(F.coalesce(c[k], F.expr("cast(array() as array<struct<name:string,type:string>>)")), lambda p: F.concat(normalized(p["name"]), F.lit("::"), normalized(p["type"]))))
+    sets = {"post": _texts(c["postconditions"]), "descriptions": told("description"), "types": told("type"), "ins": named("inputs"), "outs": named("outputs")}
+    flags = {f"weak_{i}": w for i, w in enumerate(open_to(c).values())} | {"no_errors": _none(c["errors"]), "silent": c["functional"].isNull()}
+    return flags | {k: normalized(c["functional"][k]) for k in ("time", "space")} | {k: F.array_sort(v) for k, v in sets.items()}
+
+
 def _claims(a: Column, b: Column) -> Column:
     """1 where both sides are silent or say the same, else 0."""
-    return (normalized(a).eqNullSafe(normalized(b))).cast("double")
+    return a.eqNullSafe(b).cast("double")
+
+
+def _alike(x: dict[str, Column], y: dict[str, Column]) -> dict[str, Column]:
+    same = [(x[f"weak_{i}"] == y[f"weak_{i}"]).cast("int") for i in range(len(WEAKNESSES))]
+    security = sum(same[1:], same[0]) / len(WEAKNESSES)
+    of = lambda k: jaccard_of_sets(x[k], y[k])
+    errors = F.when(x["no_errors"] & y["no_errors"], 1.0).when(x["no_errors"] | y["no_errors"], 0.0).otherwise(0.7 * of("descriptions") + 0.3 * of("types"))
+    performance = F.when(x["silent"] & y["silent"], 1.0).when(x["silent"] | y["silent"], 0.0).otherwise(0.5 * _claims(x["time"], y["time"]) + 0.5 * _claims(x["space"], y["space"]))
+    return dict(zip(DIMENSIONS, (security, of("post"), errors, performance, 0.5 * of("ins") + 0.5 * of("outs")), strict=True))
 
 
 def dimensions(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
     """How alike two contracts are in five ways, each from 0 to 1."""
-    x, y = open_to(a), open_to(b)
-    security = sum(((x[n] == y[n]).cast("int") for n in WEAKNESSES[1:]), (x[WEAKNESSES[0]] == y[WEAKNESSES[0]]).cast("int")) / len(WEAKNESSES)
-    told = lambda c, k: _texts(F.filter(F.transform(c["errors"], lambda e: e[k]), lambda t: t.isNotNull()))
-    both = 0.7 * jaccard(told(a, "description"), told(b, "description")) + 0.3 * jaccard(told(a, "type"), told(b, "type"))
-    errors = F.when(_none(a["errors"]) & _none(b["errors"]), 1.0).when(_none(a["errors"]) | _none(b["errors"]), 0.0).otherwise(both)
-    silent = lambda c: c["functional"].isNull()
-    cost = lambda k: _claims(a["functional"][k], b["functional"][k])
-    performance = F.when(silent(a) & silent(b), 1.0).when(silent(a) | silent(b), 0.0).otherwise(0.5 * cost("time") + 0.5 * cost("space"))
-    named = lambda c, k: F.array_distinct(F.transform(F.coalesce(c[k], F.expr("cast(array() as array<struct<name:string,type:string>>)")), lambda p: F.concat(normalized(p["name"]), F.lit("::"), normalized(p["type"]))))
-    interface = 0.5 * jaccard(named(a, "inputs"), named(b, "inputs")) + 0.5 * jaccard(named(a, "outputs"), named(b, "outputs"))
-    return dict(zip(DIMENSIONS, (security, jaccard(_texts(a["postconditions"]), _texts(b["postconditions"])), errors, performance, interface), strict=True))
+    return _alike(features(a), features(b))
 
 
 def variance(a: dict[str, Column], b: dict[str, Column], weights: dict[str, float] | None = None) -> Column:
@@ -71,13 +80,36 @@ def variance(a: dict[str, Column], b: dict[str, Column], weights: dict[str, floa
         raise ValueError(f"no weight for {missing}")
     if abs(sum(weights[d] for d in DIMENSIONS) - 1) > 1e-9:
         raise ValueError("weights must sum to 1")
-    found = dimensions(a, b)
+    return _weighed(dimensions(a, b), weights)
+
+
+def _weighed(found: dict[str, Column], weights: dict[str, float]) -> Column:
     out = F.lit(0.0)
     for d in DIMENSIONS:
         out = out + weights[d] * found[d]
     return out
 
 
+def likest(wants: DataFrame, haves: DataFrame, k: int) -> DataFrame:
+    """(a, b, score, rank): for each want (id a) the k other haves (id b) of largest ``variance`` to 9 places, then of smaller id. Both sides: id and FIELDS.
+
+    Contracts of equal ``features`` are a class. Only classes meet: of the k + 1 best classes by their least id, k + 1 ids each are ranked, as one may be the want itself.
+    """
+    made = lambda df: df.select("id", *[c.alias(n) for n, c in features(of()).items()])
+    w, h = made(wants), made(haves)
+    names = w.columns[1:]
+    asked = w.groupBy(*names).agg(F.min("id").alias("wid"))
+    known = best(h, names, [F.col("id")], k + 1, F.col("id")).groupBy(*names).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    side = lambda df, key, p: df.select(key, *[F.col(n).alias(f"{p}{n}") for n in names])
+    score = _weighed(_alike({n: F.col(f"x_{n}") for n in names}, {n: F.col(f"y_{n}") for n in names}), dict(zip(DIMENSIONS, WEIGHTS, strict=True)))
+    met = against(side(asked, "wid", "x_"), side(known, "ids", "y_")).select("wid", "ids", score.alias("score"))
+    order = lambda b: [F.desc(F.round("score", 9)), b]
+    top = best(met, ["wid"], order(F.col("ids")[0]), k + 1, F.col("ids")[0]).select("wid", F.explode("ids").alias("b"), "score")
+    same = [w[n].eqNullSafe(asked[n]) for n in names]
+    rows = w.join(asked, same).select(F.col("id").alias("a"), "wid").join(top, "wid").where("a != b").select("a", "b", "score")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(*order(F.col("b"))))).where(F.col("rank") <= k)
+
+
 def merged(rows: DataFrame, by: str) -> DataFrame:
     """by, contributors, preconditions, invariants, clear (in all contracts of the group), postconditions (said at least half as often as there are contracts),
     behavior (the first of all), ties (how many behaviors it was chosen from, 0 if one), effects (of any). Texts are normalized but for behavior; arrays are sorted."""

@@ -49,3 +49,14 @@ def test_merged(table):
     got = {r["g"]: r.asDict() for r in K.merged(rows, "g").collect()}
     assert got["a"] == {"g": "a", "contributors": 2, "behavior": "Adds", "ties": 2, "preconditions": ["x > 0"], "invariants": ["i"], "clear": ["CWE-440", "CWE-474", "CWE-573", "CWE-710"], "postconditions": ["b", "sum is right"], "effects": ["writes"]}
     assert got["b"]["behavior"] is None and got["b"]["ties"] == 0 and got["b"]["clear"] == ["CWE-684"] and got["b"]["postconditions"] == []
+
+
+def test_likest_is_the_best_of_all_pairs(spark, sf):
+    from strataloom.plans import similar
+
+    c = similar.contracts(spark, sf).where("id < 120")
+    c = c.unionByName(c.withColumn("id", c["id"] + 1000))  # each contract twice
+    side = lambda key, p: c.select(c["id"].alias(key), *[c[f].alias(f"{p}{f}") for f in K.FIELDS])
+    rows = side("a", "x_").where("a % 10 = 0").crossJoin(side("b", "y_")).where("a != b").select("a", "b", K.variance(K.of("x_"), K.of("y_")).alias("s")).collect()
+    want = {(x, r.b, round(r.s, 6), i + 1) for x in {r.a for r in rows} for i, r in enumerate(sorted((r for r in rows if r.a == x), key=lambda r: (-round(r.s, 9), r.b))[:3])}
+    assert {(r.a, r.b, round(r.score, 6), r["rank"]) for r in K.likest(c.where("id % 10 = 0"), c, 3).collect()} == want
