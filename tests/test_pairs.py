@@ -50,3 +50,12 @@ def test_search_makes_no_pairs(spark):
     want = {(x, b, n, r + 1) for x in {p.w_id for p in pairs} for r, (n, b) in enumerate(sorted((p.n, p.h_id) for p in pairs if p.w_id == x)[:4])}
     found = M.search(df.where("id % 7 = 0"), df, 4)
     assert {tuple(r) for r in found.select("a", "b", "n", "rank").collect()} == want
+
+
+def test_alike_shuffles_no_pairs(spark):
+    """Copies meet at the end: no shuffle lies above the last join."""
+    rows = spark.range(400).selectExpr("id AS b", "array('a', 'b', concat('c', id % 3)) AS y")
+    found = S.alike(rows.selectExpr("b AS a", "y AS x"), rows, 0.3)
+    assert found.count() == 400 * 400
+    plan = found._jdf.queryExecution().sparkPlan().toString().split("\n")
+    assert [line for line in plan if "Join" in line or "Aggregate" in line][0].lstrip("+- :").startswith("SortMergeJoin [y#")
