@@ -135,7 +135,7 @@ def route_many(spark, sf_dir):
     brand = p.select(F.concat(F.lit("brand:"), "p_brand").alias("rule_id"), F.array(F.lit("b"), F.col("p_brand"), F.lit(":id")).alias("parts")).distinct()
     rules = lit.unionByName(brand).unionByName(spark.createDataFrame([("any", ["*"])], "rule_id string, parts array<string>"))
     k, n = F.col("o_custkey"), F.col("o_orderkey") % 4
-    rows = table(spark, sf_dir, "orders").join(p.select(F.col("p_partkey").alias("o_custkey"), "p_brand"), "o_custkey")
+    rows = table(spark, sf_dir, "orders").join(p.select(F.col("p_partkey").alias("o_custkey"), "p_brand").hint("merge"), "o_custkey")
     path = F.when(n == 0, F.array(F.lit("else"), F.lit("where"))).when(n == 3, F.array(F.lit("b"), F.col("p_brand"), F.lit("none"))).otherwise(F.array(F.lit("b"), F.col("p_brand"), k.cast("string")))
     paths = rows.select(F.col("o_orderkey").alias("path_id"), path.alias("segments"))
     return G.routed(paths, rules).select("path_id", F.col("rule_id").alias("rule"), F.array_join("captures", ",").alias("captures"))

@@ -370,3 +370,15 @@ def test_walk_stops_at_its_limit(spark):
     known = spark.createDataFrame([(i,) for i in (0, 1, 2, 3, 4, 10)], "node long")
     got = {r.node: (r.depth, r.kind) for r in trees.walked(edges, known.where("node = 0"), known, most=3).collect()}
     assert got == {0: (0, "module"), 1: (1, "module"), 2: (1, "module"), 3: (1, "limit"), 4: (1, "limit"), 5: (1, "unresolved"), 10: (2, "limit")}
+
+
+def test_a_key_of_many_paths_gathers_in_no_task(spark, monkeypatch):
+    monkeypatch.setattr(G, "HOT", 20)
+    rules = spark.createDataFrame([("any", ["*"]), ("id", ["b", ":x"]), ("one", ["b", "1"]), ("also", ["b", "1"])], "rule_id string, parts array<string>")
+    paths = spark.range(200).selectExpr("id AS path_id", "CASE WHEN id % 4 = 0 THEN array('z') ELSE array('b', cast(id % 50 AS string)) END AS segments")
+    found = G.routed(paths, rules)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") == 1 and "Union" in plan
+    got = {r.path_id: (r.rule_id, r.captures) for r in found.collect()}
+    want = {i: ("any", []) if i % 4 == 0 else ("also", []) if i % 50 == 1 else ("id", [str(i % 50)]) for i in range(200)}
+    assert got == want
