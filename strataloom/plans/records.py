@@ -16,7 +16,7 @@ from ..operators import texts as T
 from ..operators import trees as W
 from ..operators import validation as C
 from ..operators import vectors as V
-from ..operators.blocks import best
+from ..operators.blocks import best, spread
 from ..operators.cluster import new_path
 from .registering import slice_of, table
 
@@ -182,7 +182,7 @@ _SCHEMA = {
 AND CASE k WHEN 0 THEN size < 30 WHEN 1 THEN (size % 2 = 0) <> (size % 3 = 0) WHEN 2 THEN false WHEN 3 THEN size < 30 WHEN 4 THEN false WHEN 5 THEN false ELSE true END AS valid FROM p""")
 def schema_checks(spark, sf_dir):
     """Documents of seven forms against one schema."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"))
     size, k = F.col("p_size").cast("string"), F.col("p_partkey") % 7
     more = F.when(k == 0, "").when(k == 1, F.concat(F.lit(',"kind":"a","price":'), size)).when(k == 2, ',"kind":"b"').when(k == 3, ',"tags":["x",null]').when(k == 4, ',"tags":["x","x"]').when(k == 5, ',"extra":1').otherwise(',"kind":3')
     doc = F.concat(F.lit('{"name":"'), F.col("p_name"), F.lit('","size":'), size, more, F.lit("}"))
@@ -224,7 +224,7 @@ def json5_rows(spark, sf_dir):
 @query(r"""SELECT p_partkey AS id, CASE WHEN p_partkey % 6 = 5 THEN NULL ELSE '{"B":1,"a":[' || CASE WHEN p_partkey % 3 = 0 THEN '0' ELSE p_size::VARCHAR END || ',' || CASE WHEN p_partkey % 6 = 4 THEN (p_size * 100)::VARCHAR ELSE p_size || '.5' END || ',"x \"-0.50\"/\\"],"b":{"c":null,"d":true},"😀":"' || p_name || '","｡":"\u000b"}' END AS canonical FROM part""")
 def canonical_texts(spark, sf_dir):
     """Nested texts in canonical form; every sixth has a number that needs an exponent and is refused."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"))
     size, k = F.col("p_size").cast("string"), F.col("p_partkey")
     number = F.when(k % 6 == 5, F.concat(size, F.lit("e-9"))).when(k % 6 == 4, F.concat(size, F.lit(".0e2"))).otherwise(F.concat(size, F.lit(".50")))
     text = F.concat(F.lit('{ "｡": "\\u000B", "\\ud83d\\ude00":"'), F.col("p_name"), F.lit('", "b": {"d":true, "c":null},\n"a": ['), F.when(k % 3 == 0, "-0").otherwise(F.concat(size, F.lit(".0"))), F.lit(", "), number, F.lit(', "x \\"-0.50\\"\\/\\\\"], "B":1.0 }'))

@@ -93,3 +93,11 @@ def test_a_failed_rewrite_changes_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="torn"):
         RG.rewrite(bad, path, ["f"], "digest", F.col("f") % 4)
     assert files(path) == before
+
+
+def test_small_files_are_spread(spark, sf):
+    """What costs much a row runs on all cores, though the file is one task."""
+    from strataloom.plans import records
+
+    for query in (records.canonical_texts, records.schema_checks):
+        assert query(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
