@@ -124,7 +124,7 @@ def claim_timers(spark, sf_dir):
     reveals.unionByName(commits).select(columns).write.parquet(f"{out}/in/0")
     for n in (1, 2, 3):  # later events move the watermark, one file a batch
         spark.range(1).select(F.lit(-1).cast("long").alias("bounty"), F.lit(-1).cast("long").alias("claim"), F.lit("tick").alias("kind"), (F.lit(1_700_000_000_000 + 91_000_000 + late * 3_600_000) + n - 1).alias("at"), *[F.lit(1 << 50).alias(c) for c in ("opens", "closes", "ends")]).coalesce(1).write.parquet(f"{out}/in/{n}")
-    stream = spark.readStream.schema(spark.read.parquet(f"{out}/in/0").schema).option("maxFilesPerTrigger", 64).option("recursiveFileLookup", True).parquet(f"{out}/in/0")
+    stream = spark.readStream.schema(spark.read.parquet(f"{out}/in/0").schema).option("recursiveFileLookup", True).parquet(f"{out}/in/0")
     ticks = spark.readStream.schema(spark.read.parquet(f"{out}/in/0").schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in/[123]")
     events = stream.unionByName(ticks).withColumn("ts", F.timestamp_millis("at"))
     with BO.rocks(spark):

@@ -65,3 +65,43 @@ def test_bounties(spark, tmp_path):
     found = {(r["bounty"], r["status"], r["at"]) for r in got if r["bounty"] >= 0}
     want = {(b, "COMMIT", o) for b, _, o, _, _ in rows} | {(b, "REVEAL", c) for b, _, _, c, _ in rows if c <= now} | {(b, "CHECK", e) for b, _, _, _, e in rows if e <= now}
     assert found == want
+
+
+def test_claims_share_the_state_of_their_block(spark, tmp_path):
+    """Many claims of a bounty take few rows of state and few timers; what comes in later batches still meets its claim."""
+    opens, closes, ends = START * HOUR, (START + 2) * HOUR, (START + 4) * HOUR
+    later = ends + 100 * HOUR
+    numbers = [*range(3000), -1, -(1 << 62), (1 << 62) + 5, None]
+    life = lambda c, kind, at: (7, c, kind, at, opens, closes, later if c and c % 2 else ends)
+    commits = [life(c, "commit", opens + 1) for c in numbers]
+    reveals = [life(c, "reveal", closes + 1) for c in numbers if c and c % 3 == 0]
+    again = [life(c, kind, at) for c in numbers[:50] for kind, at in (("commit", opens + 2), ("reveal", closes + 2))]
+    bounds = ends + 2
+    tick = lambda at: [(-1, -1, "tick", at, 0, 0, at + 10**10)]
+    df = spark.createDataFrame(commits, "bounty long, claim long, kind string, at long, opens long, closes long, ends long")
+    files = [reveals[:500], commits, reveals[500:], again, tick(bounds + 90 * HOUR), tick(bounds + 90 * HOUR + 1)]
+    got, q = run(spark, tmp_path, df, lambda r: B.claim_transitions(r, "90 hours"), files)
+    found = sorted(((r["claim"], r["status"], r["at"]) for r in got if r["bounty"] == 7), key=str)
+    revealed = {c: closes + 1 for c in numbers if c and c % 3 == 0} | {c: closes + 2 for c in numbers[:50] if c % 3}
+    revealed[0] = closes + 2
+    want = [(c, "COMMITTED", opens + 1) for c in numbers] + [(c, "REVEALED", at) for c, at in revealed.items()]
+    want += [(c, "LAPSED", ends) for c in numbers if c not in revealed and not (c and c % 2)]
+    assert found == sorted(want, key=str)
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(held) < 100 and held[-1] < max(held)
+
+
+def test_claim_timers_over_many_files(spark, sf, tmp_path):
+    """All of the table comes before the ticks that move the watermark, however many files it makes."""
+    from strataloom.plans import streams
+
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    part.repartition(80).write.parquet(str(tmp_path / "part.parquet"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    want = streams.claim_timers(spark, sf).collect()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        got = streams.claim_timers(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(got) == sorted(want) and want
