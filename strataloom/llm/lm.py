@@ -128,13 +128,12 @@ def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 SHAPES = {"emb": (CLASSES, DIM), "pos": (WINDOW, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "o": (DIM, DIM), "w1": (DIM, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, DIM), "grp": (DIM, GROUPS), "gb": (GROUPS,), "out": (GROUPS, DIM, MEMBERS), "b": (GROUPS, MEMBERS)}
 
 
+_SIZES = {k: int(np.prod(s)) for k, s in SHAPES.items()}
+_FIRST = dict(zip(SHAPES, np.cumsum([0, *_SIZES.values()]).tolist(), strict=False))
+
+
 def parts(flat: np.ndarray) -> dict[str, np.ndarray]:
-    out, a = {}, 0
-    for k, s in SHAPES.items():
-        n = int(np.prod(s))
-        out[k] = flat[a : a + n].reshape(s)
-        a += n
-    return out
+    return {k: flat[_FIRST[k] : _FIRST[k] + _SIZES[k]].reshape(s) for k, s in SHAPES.items()}
 
 
 def fresh(prior: np.ndarray, seed: int = 11) -> np.ndarray:
@@ -149,33 +148,90 @@ def fresh(prior: np.ndarray, seed: int = 11) -> np.ndarray:
     return flat
 
 
-_EARLIER = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+#: Places that ask at once: they meet the places up to their own last one, so little of what lies later is computed.
+ASKING = 32
+#: Windows whose weights are made and used at once, so that they stay in the cache.
+NEAR = 32
+_EARLIER = np.tril(np.ones((ASKING, ASKING), np.float32))
 #: A column of ones: sums over the last axis are products with it.
-_ONES = {n: np.ones((n, 1), np.float32) for n in (GROUPS, MEMBERS, WINDOW)}
+_ONES = {n: np.ones((n, 1), np.float32) for n in (GROUPS, MEMBERS)}
 
 
-def hidden(p: dict[str, np.ndarray], x_in: np.ndarray) -> tuple:
-    """States (B * WINDOW, DIM) of windows of input classes, and what the backward pass needs.
+def asking(p: dict[str, np.ndarray]) -> np.ndarray:
+    """What takes a state to its query (scaled), key and value, side by side."""
+    return np.concatenate([p["q"] * np.asarray(DIM**-0.5, p["q"].dtype), p["k"], p["v"]], 1)
+
+
+def _cut(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return x[:, :, :DIM], x[:, :, DIM : 2 * DIM], x[:, :, 2 * DIM :]
+
+
+def _askings(n: int) -> list[tuple[slice, int]]:
+    """(windows, first asking place); the last places of a window ask all of it, so they come first and the others add to what they give."""
+    return [(slice(i, i + NEAR), a) for i in range(0, n, NEAR) for a in range(WINDOW - ASKING, -1, -ASKING)]
+
+
+def attended(x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """Means of values over the places so far, a state's length a place, and what the backward pass needs: queries, keys and values with ones, sums of weights, weights.
 
-    Attention to later places is masked out. Scores stay small (they are scaled, and parameters are fitted from
-    small ones), so the exponentials need a bound but no shift.
+    Scores stay small (they are scaled, and parameters are fitted from small ones), so the exponentials need a bound but no shift. Weights are
+    divided by their sums after the means; the ones beside the values give the sums.
     """
-    n = len(x_in)
-    x = p["emb"][x_in]
+    qkv = x @ np.concatenate([w, np.zeros((DIM, 1), w.dtype)], 1)
+    qkv[:, -1] = 1
+    qkv = qkv.reshape(-1, WINDOW, 3 * DIM + 1)
+    q, k, v = _cut(qkv)
+    z, weights = np.empty((len(qkv), WINDOW, DIM + 1), x.dtype), []
+    for i, a in _askings(len(qkv)):
+        b = a + ASKING
+        e = q[i, a:b] @ k[i, :b].transpose(0, 2, 1)
+        if e.max(initial=0) > 60:
+            np.minimum(e, 60, out=e)
+        np.exp(e, out=e)
+        e[:, :, a:] *= _EARLIER
+        np.matmul(e, v[i, :b], out=z[i, a:b])
+        weights.append(e)
+    z = z.reshape(-1, DIM + 1)
+    total = z[:, DIM:]
+    return z[:, :DIM] / total, (qkv, total, weights)
+
+
+def attended_back(dz: np.ndarray, z: np.ndarray, given: tuple) -> np.ndarray:
+    """Gradient of queries, keys and values, side by side, from that of the means."""
+    qkv, total, weights = given
+    q, k, v = _cut(qkv)
+    both = np.empty((len(dz), DIM + 1), dz.dtype)
+    np.divide(dz, total, out=both[:, :DIM])
+    both[:, DIM] = -np.einsum("ij,ij->i", both[:, :DIM], z)  # z is the weights' product with the values
+    both = both.reshape(-1, WINDOW, DIM + 1)
+    dz = both[:, :, :DIM]
+    out = np.empty((len(qkv), WINDOW, 3 * DIM), z.dtype)
+    dq, dk, dv = _cut(out)
+    for (i, a), e in zip(_askings(len(qkv)), weights, strict=True):
+        b = a + ASKING
+        de = both[i, a:b] @ v[i, :b].transpose(0, 2, 1)
+        de *= e
+        np.matmul(de, k[i, :b], out=dq[i, a:b])
+        if b == WINDOW:
+            np.matmul(e.transpose(0, 2, 1), dz[i, a:b], out=dv[i])
+            np.matmul(de.transpose(0, 2, 1), q[i, a:b], out=dk[i])
+        else:
+            dv[i, :b] += e.transpose(0, 2, 1) @ dz[i, a:b]
+            dk[i, :b] += de.transpose(0, 2, 1) @ q[i, a:b]
+    return out.reshape(-1, 3 * DIM)
+
+
+def hidden(p: dict[str, np.ndarray], x_in: np.ndarray) -> tuple:
+    """States (B * WINDOW, DIM) of windows of input classes, and what the backward pass needs."""
+    x = p["emb"].take(x_in, axis=0)
     x += p["pos"]
     x = x.reshape(-1, DIM)
-    q, k, v = ((x @ w).reshape(n, WINDOW, DIM) for w in (p["q"] * np.asarray(DIM**-0.5, p["q"].dtype), p["k"], p["v"]))
-    a = q @ k.transpose(0, 2, 1)
-    np.minimum(a, 60, out=a)
-    np.exp(a, out=a)
-    a *= _EARLIER
-    a /= a @ _ONES[WINDOW]
-    z = (a @ v).reshape(-1, DIM)
+    z, a = attended(x, asking(p))
     y = x + z @ p["o"]
     u = y @ p["w1"]
     u += p["b1"]
     np.maximum(u, 0, out=u)
-    return y + u @ p["w2"], (x, q, k, v, a, z, y, u)
+    return y + u @ p["w2"], (x, a, z, y, u)
 
 
 def by_group(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,35 +241,51 @@ def by_group(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.append(0, np.cumsum(np.bincount(group, minlength=GROUPS)))
 
 
-def _softmax(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log-softmax at one place a row; ``logits``, taken within +-60 so that no exponential or sum leaves the range, become the probabilities."""
-    np.minimum(logits, 60, out=logits)
-    np.maximum(logits, -60, out=logits)
+def _softmax(logits: np.ndarray, at: np.ndarray, shares: bool = True) -> np.ndarray:
+    """Log-softmax at one place a row; ``logits``, taken within +-60 so that no exponential or sum leaves the range, become the probabilities (with ``shares``)."""
+    if logits.max(initial=0) > 60 or logits.min(initial=0) < -60:
+        np.clip(logits, -60, 60, out=logits)
     got = logits[np.arange(len(at)), at]
     np.exp(logits, out=logits)
     total = logits @ _ONES[logits.shape[1]].astype(logits.dtype)
-    logits /= total
+    if shares:
+        logits /= total
     return got - np.log(total[:, 0])
 
 
+def _affine(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = x @ w
+    out += b
+    return out
+
+
 def _total(x: np.ndarray) -> np.ndarray:
     """Sums of the columns, as a product."""
     return np.ones(len(x), x.dtype) @ x
 
 
-def log_probs(p: dict[str, np.ndarray], x_in: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural log of each target class's probability, (B, WINDOW)."""
-    t = target.reshape(-1)
+def _members(p: dict[str, np.ndarray], h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """Logits of the members of each row's group, for rows in order of groups; and the rows of each group."""
+    out = np.empty((len(h), MEMBERS), h.dtype)
+    some = [(j, slice(first[j], first[j + 1])) for j in np.flatnonzero(np.diff(first)).tolist()]
+    for j, at in some:
+        d = out[at]
+        np.matmul(h[at], p["out"][j], out=d)
+        d += p["b"][j]
+    return out, some
+
+
+def log_probs(p: dict[str, np.ndarray], x_in: np.ndarray, target: np.ndarray, asked: np.ndarray | None = None) -> np.ndarray:
+    """Natural log of each target class's probability, (B, WINDOW); with ``asked`` only at these places, and 0 elsewhere."""
+    places = np.arange(target.size) if asked is None else np.flatnonzero(asked)
+    t = target.reshape(-1)[places]
     order, first = by_group(t)
     t = t[order]
-    h = hidden(p, x_in)[0][order]
-    got = _softmax(h @ p["grp"] + p["gb"], t // MEMBERS)
-    member = t % MEMBERS
-    for g in np.flatnonzero(np.diff(first)).tolist():
-        a, b = first[g], first[g + 1]
-        got[a:b] += _softmax(h[a:b] @ p["out"][g] + p["b"][g], member[a:b])
-    out = np.empty_like(got)
-    out[order] = got
+    h = hidden(p, x_in)[0].take(places[order], axis=0)
+    got = _softmax(_affine(h, p["grp"], p["gb"]), t // MEMBERS, False)
+    got += _softmax(_members(p, h, first)[0], t % MEMBERS, False)
+    out = np.zeros(target.size, got.dtype)
+    out[places[order]] = got
     return out.reshape(target.shape)
 
 
@@ -222,29 +294,28 @@ def gradient(flat: np.ndarray, x_in: np.ndarray, target: np.ndarray, mask: np.nd
     p = parts(flat)
     out = np.zeros_like(flat)
     g = parts(out)
-    h, (x, q, k, v, a, z, y, u) = hidden(p, x_in)
+    h, (x, a, z, y, u) = hidden(p, x_in)
     n, t = max(1.0, float(mask.sum())), target.reshape(-1)
     order, first = by_group(t)
     t, m = t[order], (mask.reshape(-1)[order] / n).astype(flat.dtype)
-    h = h[order]
+    h = h.take(order, axis=0)
     rows = np.arange(len(t))
-    d = h @ p["grp"] + p["gb"]
-    loss = -float(_softmax(d, t // MEMBERS) @ m)
-    d[rows, t // MEMBERS] -= 1
+    d = _affine(h, p["grp"], p["gb"])
+    group, member = t // MEMBERS, t % MEMBERS
+    loss = -float(_softmax(d, group) @ m)
+    d[rows, group] -= 1
     d *= m[:, None]
     g["grp"][:] = h.T @ d
     g["gb"][:] = _total(d)
     dh = d @ p["grp"].T
-    member = t % MEMBERS
-    for j in np.flatnonzero(np.diff(first)).tolist():
-        at = slice(first[j], first[j + 1])
-        d = h[at] @ p["out"][j] + p["b"][j]
-        loss -= float(_softmax(d, member[at]) @ m[at])
-        d[rows[: len(d)], member[at]] -= 1
-        d *= m[at][:, None]
-        g["out"][j] = h[at].T @ d
-        g["b"][j] = _total(d)
-        dh[at] += d @ p["out"][j].T
+    d, some = _members(p, h, first)
+    loss -= float(_softmax(d, member) @ m)
+    d[rows, member] -= 1
+    d *= m[:, None]
+    for j, at in some:
+        g["out"][j] = h[at].T @ d[at]
+        g["b"][j] = _total(d[at])
+        dh[at] += d[at] @ p["out"][j].T
     back = np.empty_like(dh)
     back[order] = dh
     dh = back
@@ -255,23 +326,16 @@ def gradient(flat: np.ndarray, x_in: np.ndarray, target: np.ndarray, mask: np.nd
     g["b1"][:] = _total(du)
     dy = dh + du @ p["w1"].T
     g["o"][:] = z.T @ dy
-    dz = (dy @ p["o"].T).reshape(v.shape)
-    da = dz @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dz
-    da -= (dz * z.reshape(v.shape)).sum(2, keepdims=True)  # z is the weights' product with v
-    da *= a
-    scale = np.asarray(DIM**-0.5, flat.dtype)
-    dq, dk = (da @ k) * scale, da.transpose(0, 2, 1) @ q  # q is scaled already
-    dx = dy
-    for name, part in (("q", dq), ("k", dk), ("v", dv)):
-        part = part.reshape(-1, DIM)
-        g[name][:] = x.T @ part
-        dx = dx + part @ p[name].T
+    d = attended_back(dy @ p["o"].T, z, a)
+    each = x.T @ d
+    g["q"][:], g["k"][:], g["v"][:] = each[:, :DIM] * np.asarray(DIM**-0.5, flat.dtype), each[:, DIM : 2 * DIM], each[:, 2 * DIM :]
+    dx = dy + d @ asking(p).T
     g["pos"][:] = dx.reshape(-1, WINDOW, DIM).sum(0)
     ids = x_in.reshape(-1).astype(np.uint16)
     order = np.argsort(ids, kind="stable")
-    seen, first = np.unique(ids[order], return_index=True)
-    g["emb"][seen] = np.add.reduceat(dx[order], first)
+    many = np.bincount(ids, minlength=CLASSES)
+    seen = np.flatnonzero(many)
+    g["emb"][seen] = np.add.reduceat(dx.take(order, axis=0), (np.cumsum(many) - many)[seen])
     return loss, out
 
 
@@ -387,9 +451,9 @@ def scored(batches: Iterator[pa.RecordBatch], ranks_path: str, given) -> Iterato
             for a in range(0, len(text), SCORE_BATCH):
                 own, start = text[a : a + SCORE_BATCH], begin[a : a + SCORE_BATCH]
                 before, at, inside = tokens_at(first, own, start)
-                lp = log_probs(p, _classed(before, ids, cls), cls[ids[at]])
                 inside &= start[:, None] + np.arange(WINDOW) >= fresh_from[a : a + SCORE_BATCH, None]
-                score += np.bincount(own, weights=(lp * inside).sum(1, dtype=np.float64), minlength=rows)
+                lp = log_probs(p, _classed(before, ids, cls), cls[ids[at]], inside)
+                score += np.bincount(own, weights=lp.sum(1, dtype=np.float64), minlength=rows)
             out = [pa.array(rid + np.arange(rows)), b.column(0), b.column(1), pa.array(n_words + 1), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(score / np.log(10)), rare.cast(rare_type)]
             rid += rows
             yield pa.RecordBatch.from_arrays(out, names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
