@@ -58,20 +58,71 @@ def keep_freed() -> None:
         pass
 
 
-def coder_of(ranks_path: str) -> tv.Coded:
-    """Subword ids of " word", for one task; only the vocabulary outlives it."""
+def vocabulary(ranks_path: str) -> tuple:
+    """(encoder, whether each id's bytes begin with a space); it outlives a task."""
     if ranks_path not in _vocabularies:
-        _vocabularies[ranks_path] = bpe(ranks_path)
-    enc = _vocabularies[ranks_path]
-    return tv.Coded(lambda ws: [enc.encode_ordinary(" " + w) for w in ws])
+        enc = bpe(ranks_path)
+        opens = np.zeros(enc.max_token_value + 1, bool)
+        opens[[enc.encode_single_token(b) for b in enc.token_byte_values() if b[:1] == b" "]] = True
+        _vocabularies[ranks_path] = enc, opens
+    return _vocabularies[ranks_path]
+
+
+def coded(ranks_path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Subword ids of " word" for all words, one after another, and how many each has.
+
+    The words are coded as one text: its pieces end before a space that a word follows, so they are those of the words alone, and only a
+    word's first id begins with a space. Words with other white space in them (Unicode has more of it) are coded one by one.
+    """
+    enc, opens = vocabulary(ranks_path)
+    text = " ".join(["", *words])
+    if text.split() == words:
+        ids = np.array(enc.encode_ordinary(text), np.uint32)
+        return ids, np.diff(np.append(np.flatnonzero(opens[ids]), len(ids)))
+    odd = [i for i, w in enumerate(words) if w.split() != [w]]
+    ids, size = coded(ranks_path, [w if w.split() == [w] else "a" for w in words])
+    runs = np.split(ids, np.cumsum(size)[:-1])
+    for i in odd:
+        runs[i] = np.array(enc.encode_ordinary(" " + words[i]), np.uint32)
+    return np.concatenate(runs), np.array([len(r) for r in runs], np.int64)
+
+
+def coder_of(ranks_path: str) -> tv.Coded:
+    """Subword ids of " word", for one task."""
+    return tv.Coded(lambda words: coded(ranks_path, words))
+
+
+def numbered_coder(ranks_path: str, number: dict[str, int]) -> tv.Coded:
+    """A word's number, 0 if it has none, and then the subword ids of " word", for one task."""
+
+    def code(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, size = coded(ranks_path, words)
+        return np.insert(ids, np.cumsum(size) - size, [number.get(w, 0) for w in words]), size + 1
+
+    return tv.Coded(code)
+
+
+class BatchWords:
+    """The distinct words of a batch: their hashes (rising), each word's number among them, the first word of each text."""
 
+    def __init__(self, data: np.ndarray, off: np.ndarray):
+        keys, starts, ends, self.first = tv.words(data, off)
+        found = pa.array(keys).dictionary_encode()
+        seen, number = found.dictionary.to_numpy(), found.indices.to_numpy()
+        where = np.empty(len(seen), np.int64)
+        where[number] = np.arange(len(number))
+        order = np.argsort(seen)
+        rank = np.empty(len(seen), np.int64)
+        rank[order] = np.arange(len(seen))
+        self.keys, where, self.inverse = seen[order], where[order], rank[number]
+        self._raw, self._starts, self._ends = data.tobytes().lower(), starts[where].tolist(), ends[where].tolist()
 
-def batch_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
-    """(hashes of the distinct words, the words, each word's number among them, first word of each text)."""
-    keys, starts, ends, first = tv.words(data, off)
-    uniq, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    raw = data.tobytes()
-    return uniq, [raw[a:b].lower().decode("utf-8", "replace") for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)], inverse, first
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def name(self, i: int) -> str:
+        """A word, A-Z lower-cased."""
+        return self._raw[self._starts[i] : self._ends[i]].decode("utf-8", "replace")
 
 
 def word_counts(batches: Iterator[pa.RecordBatch], most: int = 300_000) -> Iterator[pa.RecordBatch]:
@@ -83,8 +134,8 @@ def word_counts(batches: Iterator[pa.RecordBatch], most: int = 300_000) -> Itera
 
     for whole in batches:
         for b in tv.slices(whole, "text"):
-            _, names, inverse, _ = batch_words(*tv.utf8(b.column(0)))
-            for w, n in zip(names, np.bincount(inverse, minlength=len(names)).tolist(), strict=True):
+            found = BatchWords(*tv.utf8(b.column(0)))
+            for w, n in zip(map(found.name, range(len(found))), np.bincount(found.inverse, minlength=len(found)).tolist(), strict=True):
                 held[w] = held.get(w, 0) + n
             held[END] = held.get(END, 0) + b.num_rows
             if len(held) > most:
@@ -96,15 +147,13 @@ def word_counts(batches: Iterator[pa.RecordBatch], most: int = 300_000) -> Itera
 
 def id_counts(batches: Iterator[pa.RecordBatch], ranks_path: str) -> Iterator[pa.RecordBatch]:
     """Rows (word, c) -> subword id, count."""
-    enc = bpe(ranks_path)
     total = np.zeros(VOCAB, np.int64)
     for b in batches:
-        for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if w == END:
-                total[END_ID] += c
-            else:
-                for i in enc.encode_ordinary(" " + w):
-                    total[i] += c
+        words, c = b.column(0).to_pylist(), b.column(1).to_numpy()
+        own = np.array([w != END for w in words], bool)
+        total[END_ID] += c[~own].sum()
+        ids, size = coded(ranks_path, [w for w in words if w != END])
+        np.add.at(total, ids, np.repeat(c[own], size))
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "c"])
 
@@ -148,8 +197,8 @@ def fresh(prior: np.ndarray, seed: int = 11) -> np.ndarray:
     return flat
 
 
-#: Places that ask at once: they meet the places up to their own last one, so little of what lies later is computed.
-ASKING = 32
+#: Places of half a window: the earlier half asks itself, the later half both, so what lies later is mostly not computed.
+ASKING = WINDOW // 2
 #: Windows whose weights are made and used at once, so that they stay in the cache.
 NEAR = 32
 _EARLIER = np.tril(np.ones((ASKING, ASKING), np.float32))
@@ -157,81 +206,107 @@ _EARLIER = np.tril(np.ones((ASKING, ASKING), np.float32))
 _ONES = {n: np.ones((n, 1), np.float32) for n in (GROUPS, MEMBERS)}
 
 
+def _beside(*columns: np.ndarray) -> np.ndarray:
+    return np.concatenate(columns, -1)
+
+
+def joined(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The parameters for states that end with a one: what is added stands below what multiplies, and the one stays.
+
+    ``qkv`` takes a state to its query (scaled), key and value, side by side, and a one.
+    """
+    dtype = p["q"].dtype
+    qkv = np.zeros((DIM + 1, 3 * DIM + 1), dtype)
+    qkv[:DIM, :-1], qkv[DIM, -1] = asking(p), 1
+    none = {n: np.zeros((n, 1), dtype) for n in (WINDOW, DIM, HIDDEN)}
+    return {
+        "emb": _beside(p["emb"], np.ones((CLASSES, 1), dtype)),
+        "pos": _beside(p["pos"], none[WINDOW]),
+        "qkv": qkv,
+        "o": _beside(p["o"], none[DIM]),
+        "w1": np.concatenate([p["w1"], p["b1"][None]]),
+        "w2": _beside(p["w2"], none[HIDDEN]),
+        "grp": np.concatenate([p["grp"], p["gb"][None]]),
+        "out": np.concatenate([p["out"], p["b"][:, None]], 1),
+    }
+
+
 def asking(p: dict[str, np.ndarray]) -> np.ndarray:
     """What takes a state to its query (scaled), key and value, side by side."""
-    return np.concatenate([p["q"] * np.asarray(DIM**-0.5, p["q"].dtype), p["k"], p["v"]], 1)
+    return _beside(p["q"] * np.asarray(DIM**-0.5, p["q"].dtype), p["k"], p["v"])
 
 
 def _cut(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x[:, :, :DIM], x[:, :, DIM : 2 * DIM], x[:, :, 2 * DIM :]
 
 
-def _askings(n: int) -> list[tuple[slice, int]]:
-    """(windows, first asking place); the last places of a window ask all of it, so they come first and the others add to what they give."""
-    return [(slice(i, i + NEAR), a) for i in range(0, n, NEAR) for a in range(WINDOW - ASKING, -1, -ASKING)]
+def _weights(q: np.ndarray, k: np.ndarray) -> np.ndarray:
+    e = q @ k.transpose(0, 2, 1)
+    if e.max(initial=0) > 60:
+        np.minimum(e, 60, out=e)
+    np.exp(e, out=e)
+    e[:, :ASKING] *= _EARLIER
+    return e
 
 
 def attended(x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Means of values over the places so far, a state's length a place, and what the backward pass needs: queries, keys and values with ones, sums of weights, weights.
+    """Means of values over the places so far, a state's length a place, and what the backward pass needs: queries, keys and values with ones, shares of sums, weights.
 
     Scores stay small (they are scaled, and parameters are fitted from small ones), so the exponentials need a bound but no shift. Weights are
-    divided by their sums after the means; the ones beside the values give the sums.
+    divided by their sums after the means; the ones beside the values give the sums. Weights are held for the keys of the first half of a
+    window (all places ask them) and for those of the second (its own places ask them).
     """
-    qkv = x @ np.concatenate([w, np.zeros((DIM, 1), w.dtype)], 1)
-    qkv[:, -1] = 1
-    qkv = qkv.reshape(-1, WINDOW, 3 * DIM + 1)
+    qkv = (x @ w).reshape(-1, WINDOW, 3 * DIM + 1)
     q, k, v = _cut(qkv)
     z, weights = np.empty((len(qkv), WINDOW, DIM + 1), x.dtype), []
-    for i, a in _askings(len(qkv)):
-        b = a + ASKING
-        e = q[i, a:b] @ k[i, :b].transpose(0, 2, 1)
-        if e.max(initial=0) > 60:
-            np.minimum(e, 60, out=e)
-        np.exp(e, out=e)
-        e[:, :, a:] *= _EARLIER
-        np.matmul(e, v[i, :b], out=z[i, a:b])
-        weights.append(e)
+    for i in (slice(i, i + NEAR) for i in range(0, len(qkv), NEAR)):
+        e, late = _weights(q[i], k[i, :ASKING]), _weights(q[i, ASKING:], k[i, ASKING:])
+        np.matmul(e, v[i, :ASKING], out=z[i])
+        z[i, ASKING:] += late @ v[i, ASKING:]
+        weights.append((i, e, late))
     z = z.reshape(-1, DIM + 1)
-    total = z[:, DIM:]
-    return z[:, :DIM] / total, (qkv, total, weights)
+    share = 1 / z[:, DIM:]
+    return z[:, :DIM] * share, (qkv, share, weights)
 
 
 def attended_back(dz: np.ndarray, z: np.ndarray, given: tuple) -> np.ndarray:
     """Gradient of queries, keys and values, side by side, from that of the means."""
-    qkv, total, weights = given
+    qkv, share, weights = given
     q, k, v = _cut(qkv)
     both = np.empty((len(dz), DIM + 1), dz.dtype)
-    np.divide(dz, total, out=both[:, :DIM])
+    np.multiply(dz, share, out=both[:, :DIM])
     both[:, DIM] = -np.einsum("ij,ij->i", both[:, :DIM], z)  # z is the weights' product with the values
     both = both.reshape(-1, WINDOW, DIM + 1)
     dz = both[:, :, :DIM]
     out = np.empty((len(qkv), WINDOW, 3 * DIM), z.dtype)
     dq, dk, dv = _cut(out)
-    for (i, a), e in zip(_askings(len(qkv)), weights, strict=True):
-        b = a + ASKING
-        de = both[i, a:b] @ v[i, :b].transpose(0, 2, 1)
+    for i, e, late in weights:
+        de = both[i] @ v[i, :ASKING].transpose(0, 2, 1)
         de *= e
-        np.matmul(de, k[i, :b], out=dq[i, a:b])
-        if b == WINDOW:
-            np.matmul(e.transpose(0, 2, 1), dz[i, a:b], out=dv[i])
-            np.matmul(de.transpose(0, 2, 1), q[i, a:b], out=dk[i])
-        else:
-            dv[i, :b] += e.transpose(0, 2, 1) @ dz[i, a:b]
-            dk[i, :b] += de.transpose(0, 2, 1) @ q[i, a:b]
+        np.matmul(e.transpose(0, 2, 1), dz[i], out=dv[i, :ASKING])
+        np.matmul(de.transpose(0, 2, 1), q[i], out=dk[i, :ASKING])
+        np.matmul(de, k[i, :ASKING], out=dq[i])
+        de = both[i, ASKING:] @ v[i, ASKING:].transpose(0, 2, 1)
+        de *= late
+        np.matmul(late.transpose(0, 2, 1), dz[i, ASKING:], out=dv[i, ASKING:])
+        np.matmul(de.transpose(0, 2, 1), q[i, ASKING:], out=dk[i, ASKING:])
+        dq[i, ASKING:] += de @ k[i, ASKING:]
     return out.reshape(-1, 3 * DIM)
 
 
-def hidden(p: dict[str, np.ndarray], x_in: np.ndarray) -> tuple:
-    """States (B * WINDOW, DIM) of windows of input classes, and what the backward pass needs."""
-    x = p["emb"].take(x_in, axis=0)
-    x += p["pos"]
-    x = x.reshape(-1, DIM)
-    z, a = attended(x, asking(p))
-    y = x + z @ p["o"]
-    u = y @ p["w1"]
-    u += p["b1"]
+def hidden(w: dict[str, np.ndarray], x_in: np.ndarray) -> tuple:
+    """States (B * WINDOW, DIM and a one) of windows of input classes under joined parameters, and what the backward pass needs."""
+    x = w["emb"].take(x_in, axis=0)
+    x += w["pos"]
+    x = x.reshape(-1, DIM + 1)
+    z, a = attended(x, w["qkv"])
+    y = z @ w["o"]
+    y += x
+    u = y @ w["w1"]
     np.maximum(u, 0, out=u)
-    return y + u @ p["w2"], (x, a, z, y, u)
+    h = u @ w["w2"]
+    h += y
+    return h, (x, a, z, y, u)
 
 
 def by_group(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,29 +324,16 @@ def _softmax(logits: np.ndarray, at: np.ndarray, shares: bool = True) -> np.ndar
     np.exp(logits, out=logits)
     total = logits @ _ONES[logits.shape[1]].astype(logits.dtype)
     if shares:
-        logits /= total
+        logits *= 1 / total
     return got - np.log(total[:, 0])
 
 
-def _affine(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = x @ w
-    out += b
-    return out
-
-
-def _total(x: np.ndarray) -> np.ndarray:
-    """Sums of the columns, as a product."""
-    return np.ones(len(x), x.dtype) @ x
-
-
-def _members(p: dict[str, np.ndarray], h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+def _members(w: dict[str, np.ndarray], h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
     """Logits of the members of each row's group, for rows in order of groups; and the rows of each group."""
     out = np.empty((len(h), MEMBERS), h.dtype)
     some = [(j, slice(first[j], first[j + 1])) for j in np.flatnonzero(np.diff(first)).tolist()]
     for j, at in some:
-        d = out[at]
-        np.matmul(h[at], p["out"][j], out=d)
-        d += p["b"][j]
+        np.matmul(h[at], w["out"][j], out=out[at])
     return out, some
 
 
@@ -280,12 +342,12 @@ def log_probs(p: dict[str, np.ndarray], x_in: np.ndarray, target: np.ndarray, as
     places = np.arange(target.size) if asked is None else np.flatnonzero(asked)
     t = target.reshape(-1)[places]
     order, first = by_group(t)
-    t = t[order]
-    h = hidden(p, x_in)[0].take(places[order], axis=0)
-    got = _softmax(_affine(h, p["grp"], p["gb"]), t // MEMBERS, False)
-    got += _softmax(_members(p, h, first)[0], t % MEMBERS, False)
+    t, places, w = t[order], places[order], joined(p)
+    h = hidden(w, x_in)[0].take(places, axis=0)
+    got = _softmax(h @ w["grp"], t // MEMBERS, False)
+    got += _softmax(_members(w, h, first)[0], t % MEMBERS, False)
     out = np.zeros(target.size, got.dtype)
-    out[places[order]] = got
+    out[places] = got
     return out.reshape(target.shape)
 
 
@@ -293,50 +355,51 @@ def gradient(flat: np.ndarray, x_in: np.ndarray, target: np.ndarray, mask: np.nd
     """Mean cross-entropy over the masked places and its gradient."""
     p = parts(flat)
     out = np.zeros_like(flat)
-    g = parts(out)
-    h, (x, a, z, y, u) = hidden(p, x_in)
-    n, t = max(1.0, float(mask.sum())), target.reshape(-1)
+    g, w = parts(out), joined(p)
+    h, (x, a, z, y, u) = hidden(w, x_in)
+    places = np.flatnonzero(mask)
+    t = target.reshape(-1)[places]
     order, first = by_group(t)
-    t, m = t[order], (mask.reshape(-1)[order] / n).astype(flat.dtype)
-    h = h.take(order, axis=0)
+    t, places = t[order], places[order]
+    h = h.take(places, axis=0)
     rows = np.arange(len(t))
-    d = _affine(h, p["grp"], p["gb"])
     group, member = t // MEMBERS, t % MEMBERS
-    loss = -float(_softmax(d, group) @ m)
+    d = h @ w["grp"]
+    loss = -float(_softmax(d, group).sum())
     d[rows, group] -= 1
-    d *= m[:, None]
-    g["grp"][:] = h.T @ d
-    g["gb"][:] = _total(d)
-    dh = d @ p["grp"].T
-    d, some = _members(p, h, first)
-    loss -= float(_softmax(d, member) @ m)
+    both = h.T @ d
+    g["grp"][:], g["gb"][:] = both[:DIM], both[DIM]
+    part = d @ p["grp"].T
+    d, some = _members(w, h, first)
+    loss -= float(_softmax(d, member).sum())
     d[rows, member] -= 1
-    d *= m[:, None]
     for j, at in some:
-        g["out"][j] = h[at].T @ d[at]
-        g["b"][j] = _total(d[at])
-        dh[at] += d[at] @ p["out"][j].T
-    back = np.empty_like(dh)
-    back[order] = dh
-    dh = back
+        both = h[at].T @ d[at]
+        g["out"][j], g["b"][j] = both[:DIM], both[DIM]
+        part[at] += d[at] @ p["out"][j].T
+    dh = np.zeros((x_in.size, DIM), flat.dtype)
+    dh[places] = part
     du = dh @ p["w2"].T
     du *= u > 0
     g["w2"][:] = u.T @ dh
-    g["w1"][:] = y.T @ du
-    g["b1"][:] = _total(du)
-    dy = dh + du @ p["w1"].T
+    both = y.T @ du
+    g["w1"][:], g["b1"][:] = both[:DIM], both[DIM]
+    dy = du @ p["w1"].T
+    dy += dh
     g["o"][:] = z.T @ dy
     d = attended_back(dy @ p["o"].T, z, a)
     each = x.T @ d
-    g["q"][:], g["k"][:], g["v"][:] = each[:, :DIM] * np.asarray(DIM**-0.5, flat.dtype), each[:, DIM : 2 * DIM], each[:, 2 * DIM :]
-    dx = dy + d @ asking(p).T
-    g["pos"][:] = dx.reshape(-1, WINDOW, DIM).sum(0)
+    g["q"][:], g["k"][:], g["v"][:] = each[:DIM, :DIM] * np.asarray(DIM**-0.5, flat.dtype), each[:DIM, DIM : 2 * DIM], each[:DIM, 2 * DIM :]
+    dy += d @ asking(p).T  # now of x
+    g["pos"][:] = dy.reshape(-1, WINDOW, DIM).sum(0)
     ids = x_in.reshape(-1).astype(np.uint16)
     order = np.argsort(ids, kind="stable")
     many = np.bincount(ids, minlength=CLASSES)
     seen = np.flatnonzero(many)
-    g["emb"][seen] = np.add.reduceat(dx.take(order, axis=0), (np.cumsum(many) - many)[seen])
-    return loss, out
+    g["emb"][seen] = np.add.reduceat(dy.take(order, axis=0), (np.cumsum(many) - many)[seen])
+    n = max(1, len(t))
+    out *= np.asarray(1 / n, flat.dtype)
+    return loss / n, out
 
 
 def windows(n: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -348,36 +411,36 @@ def windows(n: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray
     return text, begin, np.where(number == 0, 0, begin + WINDOW - stride)
 
 
-def streams(data: np.ndarray, off: np.ndarray, coder: tv.Coded) -> tuple[np.ndarray, np.ndarray, tuple]:
-    """(subword ids of all texts with an end each, first id of each text, what batch_words gave)."""
-    keys, names, inverse, first = batch_words(data, off)
-    at = coder.look(keys, keys, lambda i: names[i])[inverse] if len(keys) else np.zeros(0, np.int64)
-    size = coder.size[at]
-    ids = tv.ragged(coder.flat, coder.first[at], size) if len(at) else np.zeros(0, np.uint32)
-    cuts = np.append(0, np.cumsum(size))[first]
-    ids = np.insert(ids.astype(np.int64), cuts[1:], END_ID)
-    return ids, cuts + np.arange(len(cuts)), (names, inverse, first)
+def streams(data: np.ndarray, off: np.ndarray, coder: tv.Coded, lead: int = 0) -> tuple[np.ndarray, np.ndarray, BatchWords, np.ndarray]:
+    """(subword ids of all texts with an end each, first id of each text, the words, place of each distinct word in the coder's ids).
+
+    ``lead`` entries stand before a word's ids in the coder.
+    """
+    found = BatchWords(data, off)
+    at = coder.look(found.keys, found.keys, found.name) if len(found) else np.zeros(0, np.int64)
+    first, size = coder.first[at], coder.size[at] - lead
+    each = size[found.inverse]
+    ids = tv.ragged(coder.flat, (first + lead)[found.inverse], each) if len(each) else np.zeros(0, np.uint32)
+    cuts = np.append(0, np.cumsum(each))[found.first]
+    return np.insert(ids, cuts[1:], END_ID), cuts + np.arange(len(cuts)), found, first
 
 
-def tokens_at(first: np.ndarray, text: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places of the inputs, -1 for the end that stands before a text; places of the targets; whether these lie in the text) of windows."""
-    place = begin[:, None] + np.arange(WINDOW)
-    inside = place < np.diff(first)[text][:, None]
-    at = first[text][:, None] + np.minimum(place, (np.diff(first)[text] - 1)[:, None])
-    before = np.where(place == 0, -1, at - 1)
-    return before, at, inside
+def classed(ids: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """Classes of the end, of the ids, and of a window of ends: the class before each id, and that of it one place on. Every text ends with an end, as one stands before the first."""
+    return cls[np.concatenate([[END_ID], ids, np.full(WINDOW, END_ID)])]
 
 
-def _classed(before: np.ndarray, ids: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    return np.where(before < 0, cls[END_ID], cls[ids[np.maximum(before, 0)]])
+def shown(of: np.ndarray, first: np.ndarray, text: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(input classes, target classes, whether the targets lie in the text) of windows; places that don't are later than all that do."""
+    at = (first[text] + begin)[:, None] + np.arange(WINDOW)
+    return of[at], of[at + 1], np.arange(WINDOW) < (np.diff(first)[text] - begin)[:, None]
 
 
 def cut_windows(b: pa.RecordBatch, coder: tv.Coded, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows (text) -> training windows, one after another without overlap: input classes, target classes, and which places count."""
-    ids, first, _ = streams(*tv.utf8(b.column(0)), coder)
+    ids, first, _, _ = streams(*tv.utf8(b.column(0)), coder)
     text, begin, _ = windows(np.diff(first), WINDOW)
-    before, at, inside = tokens_at(first, text, begin)
-    return _classed(before, ids, cls), cls[ids[at]], inside
+    return shown(classed(ids, cls), first, text, begin)
 
 
 def train_part(batches: Iterator[pa.RecordBatch], ranks_path: str, cls: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -426,7 +489,8 @@ def scored(batches: Iterator[pa.RecordBatch], ranks_path: str, given) -> Iterato
     """Rows (id, held_out, text) -> token counts, the base over the broadcast words, the model's score, and the other words."""
     keep_freed()
     top, total, distinct, cls, within, flat = given.value
-    p, coder = parts(flat), coder_of(ranks_path)
+    p, coder = parts(flat), numbered_coder(ranks_path, {w: i for i, w in enumerate(top, 1)})
+    count_of = np.fromiter((0, *top.values()), np.int64, len(top) + 1)
     low = np.log10(total + 0.5 * (distinct + 1))
     end = np.log10(top.get(END, 0) + 0.5) - low
     rid = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
@@ -434,25 +498,27 @@ def scored(batches: Iterator[pa.RecordBatch], ranks_path: str, given) -> Iterato
     for whole in batches:
         for b in tv.slices(whole, "text"):
             rows = b.num_rows
-            ids, first, (names, inverse, word_first) = streams(*tv.utf8(b.column(2)), coder)
-            n_words = np.diff(word_first)
+            ids, first, found, where = streams(*tv.utf8(b.column(2)), coder, 1)
+            n_words = np.diff(found.first)
             doc = np.repeat(np.arange(rows), n_words)
-            c = np.fromiter((top.get(w, -1) for w in names), np.int64, len(names))
-            known = c[inverse] > 0 if len(names) else np.zeros(0, bool)
-            log = np.log10(np.maximum(c, 0) + 0.5) - low
-            base = np.bincount(doc[known], weights=log[inverse[known]], minlength=rows) + end
-            n_known = np.bincount(doc[known], minlength=rows) + (top.get(END, 0) > 0)
-            pair, k = np.unique(doc[~known] * max(1, len(names)) + inverse[~known], return_counts=True)
-            who, what = pair // max(1, len(names)), pair % max(1, len(names))
+            c = count_of[coder.flat[where]]
+            known = c > 0
+            base = np.bincount(doc, weights=np.where(known, np.log10(c + 0.5) - low, 0.0)[found.inverse], minlength=rows) + end
+            other = np.flatnonzero(~known[found.inverse])
+            n_known = n_words - np.bincount(doc[other], minlength=rows) + (top.get(END, 0) > 0)
+            pair, k = np.unique(doc[other] * max(1, len(found)) + found.inverse[other], return_counts=True)
+            who, what = pair // max(1, len(found)), pair % max(1, len(found))
             offsets = np.searchsorted(who, np.arange(rows + 1)).astype(np.int32)
-            rare = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array([names[i] for i in what.tolist()], pa.string()), pa.array(k.astype(np.int64))], names=["w", "k"]))
+            new, what = np.flatnonzero(~known), (np.cumsum(~known) - 1)[what]
+            rare = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array([found.name(i) for i in new.tolist()], pa.string()).take(pa.array(what)), pa.array(k.astype(np.int64))], names=["w", "k"]))
             score = np.bincount(np.repeat(np.arange(rows), np.diff(first)), weights=within[ids], minlength=rows)
             text, begin, fresh_from = windows(np.diff(first))
+            of = classed(ids, cls)
             for a in range(0, len(text), SCORE_BATCH):
                 own, start = text[a : a + SCORE_BATCH], begin[a : a + SCORE_BATCH]
-                before, at, inside = tokens_at(first, own, start)
+                x, y, inside = shown(of, first, own, start)
                 inside &= start[:, None] + np.arange(WINDOW) >= fresh_from[a : a + SCORE_BATCH, None]
-                lp = log_probs(p, _classed(before, ids, cls), cls[ids[at]], inside)
+                lp = log_probs(p, x, y, inside)
                 score += np.bincount(own, weights=lp.sum(1, dtype=np.float64), minlength=rows)
             out = [pa.array(rid + np.arange(rows)), b.column(0), b.column(1), pa.array(n_words + 1), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(score / np.log(10)), rare.cast(rare_type)]
             rid += rows

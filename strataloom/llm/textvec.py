@@ -171,7 +171,7 @@ class Known:
 class Coded:
     """What a slow function makes of distinct segments, kept between the batches of a task.
 
-    Each value is a run of uint32 ids. Beyond ``most`` segments or 16 * ``most`` ids only those that came in several batches stay, or none
+    Each value is a run of uint32 ids; the function gives them as a list, or one after another with the size of each. Beyond ``most`` segments or 16 * ``most`` ids only those that came in several batches stay, or none
     if these are many as well, so memory stays bounded and every segment is still coded in full.
     """
 
@@ -210,14 +210,16 @@ class Coded:
         got, new = self.known.look(keys, checks)
         if len(new):
             runs = self.code([text_of(i) for i in new.tolist()])
-            sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+            if not isinstance(runs, tuple):
+                runs = np.concatenate([np.asarray(r, np.uint32) for r in runs]), np.fromiter(map(len, runs), np.int64, len(runs))
+            coded, sizes = runs
             total, n = int(sizes.sum()), len(self.known)
             base = n - len(new)
             self._grow("flat", self.used + total)
             self._grow("first", n)
             self._grow("size", n)
             if total:
-                self.flat[self.used : self.used + total] = np.concatenate([np.asarray(r, np.uint32) for r in runs])
+                self.flat[self.used : self.used + total] = coded
             self.size[base:n] = sizes
             self.first[base:n] = self.used + np.cumsum(sizes) - sizes
             self.used += total
