@@ -333,7 +333,7 @@ def path_steps(spark, sf_dir):
     w = Window.partitionBy("p_brand", "p_type").orderBy(F.desc("p_size"), "p_partkey")
     e = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("a"), F.lead("p_partkey").over(w).alias("b"), F.col("p_size").cast("double").alias("w")).where("b is not null")
     nodes = table(spark, sf_dir, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("node"))
-    return G.last_steps(e, G.shortest(e, nodes)).drop("hops")
+    return G.stepped(e, nodes).drop("hops")
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT query_id, vec_id AS id, round(sqrt(greatest(0, 2 - 2 * list_cosine_similarity(q.e, v.embedding::DOUBLE[]))), 6) AS distance FROM q, embeddings v), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d)
