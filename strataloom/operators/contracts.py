@@ -102,9 +102,10 @@ def likest(wants: DataFrame, haves: DataFrame, k: int) -> DataFrame:
     known = best(h, names, [F.col("id")], k + 1, F.col("id")).groupBy(*names).agg(F.sort_array(F.collect_list("id")).alias("ids"))
     side = lambda df, key, p: df.select(key, *[F.col(n).alias(f"{p}{n}") for n in names])
     score = _weighed(_alike({n: F.col(f"x_{n}") for n in names}, {n: F.col(f"y_{n}") for n in names}), dict(zip(DIMENSIONS, WEIGHTS, strict=True)))
-    met = against(side(asked, "wid", "x_"), side(known, "ids", "y_")).select("wid", "ids", score.alias("score"))
+    known = known.withColumn("first", F.col("ids")[0])
+    met = against(side(asked, "wid", "x_"), side(known, "first", "y_"), per_rows=1000).select("wid", "first", score.alias("score"))
     order = lambda b: [F.desc(F.round("score", 9)), b]
-    top = best(met, ["wid"], order(F.col("ids")[0]), k + 1, F.col("ids")[0]).select("wid", F.explode("ids").alias("b"), "score")
+    top = best(met, ["wid"], order(F.col("first")), k + 1, F.col("first")).join(known.select("first", "ids"), "first").select("wid", F.explode("ids").alias("b"), "score")
     same = [w[n].eqNullSafe(asked[n]) for n in names]
     rows = w.join(asked, same).select(F.col("id").alias("a"), "wid").join(top, "wid").where("a != b").select("a", "b", "score")
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(*order(F.col("b"))))).where(F.col("rank") <= k)
